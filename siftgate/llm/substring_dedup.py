@@ -26,8 +26,8 @@ from . import common as C
 from . import windows as K
 
 WINDOW = 13
-BATCH = 2_000_000
-CHUNK = 1 << 20
+BATCH = 1_000_000
+CHUNK = 1 << 19
 BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
 ODD = np.uint64(0x9FB21C651E98DF25)
 ODD_INVERSE = np.uint64(pow(int(ODD), -1, 2**64))
@@ -159,7 +159,7 @@ def _next(size: int, last: bool):
         f = np.flatnonzero(f)
         e = np.r_[f[1:], len(r)] - 1 if len(f) else f
         none = len(f)
-        yield pa.record_batch([pa.array(np.zeros(none, bool)), *(pa.nulls(none, pa.int64()) for _ in range(3)), pa.nulls(none, pa.bool_()), pa.array(r[f]), pa.array(q[f].astype(np.int32)), pa.array((q[e] - q[f] + 1).astype(np.int32)), pa.nulls(none, pair)], names)
+        yield pa.record_batch([pa.array(np.zeros(none, bool)), pa.array(r[f]), pa.array(q[f]), pa.array(np.zeros(none, np.int64)), pa.array(np.ones(none, bool)), pa.array(r[f]), pa.array(q[f].astype(np.int32)), pa.array((q[e] - q[f] + 1).astype(np.int32)), pa.nulls(none, pair)], names)
         # one row for each string; what is as open as its first place travels along
         rest = np.flatnonzero(~known & ~new)
         n = np.bincount(which[rest], minlength=len(at))
@@ -236,17 +236,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     for size in [x for x in steps[1:]] or steps:
         last = size == window
         asked = alive.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("asked"))
-        dense = C.table(long.join(asked, "rid").select("rid", "doc_id", "text", "asked").mapInArrow(_next(size, last), DENSE), "strings")
-        each = Window.partitionBy("h", "g")
-        met = dense.where("ship").repartition(n, "h")
+        dense = long.join(asked, "rid").select("rid", "doc_id", "text", "asked").mapInArrow(_next(size, last), DENSE)
+        # one shuffle and no copy on disk: what is decided travels along under its own place as key
+        each = Window.partitionBy("h", "g", "ship")
+        dense = dense.repartition(n, "h")
         if last:
-            met = met.withColumn("least", F.min("doc_id").over(each)).where("doc_id > least")
+            dense = dense.withColumn("least", F.min("doc_id").over(each)).where("NOT ship OR doc_id > least")
         else:
-            met = met.withColumn("c", F.count("*").over(each)).where("c > 1 AND NOT known")
-        places = F.explode(F.concat(F.array(F.struct("rid", "lo")), "more")).alias("x")
-        met = met.select(places).select("x.rid", "x.lo", F.lit(1).alias("run"))
-        found = C.table(met.unionByName(dense.where("NOT ship").select("rid", "lo", "run")), "alive")
-        C.drop(alive, dense)
+            dense = dense.withColumn("c", F.count("*").over(each)).where("NOT ship OR (c > 1 AND NOT known)")
+        first = F.array(F.struct("rid", "lo", "run"))
+        places = F.when(F.col("more").isNull(), first).otherwise(F.concat(first, F.transform("more", lambda x: F.struct(x["rid"].alias("rid"), x["lo"].alias("lo"), F.lit(1).alias("run")))))
+        found = C.table(dense.select(F.explode(places).alias("x")).select("x.*"), "alive")
+        C.drop(alive)
         alive = found
     runs = alive.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("runs"))
     return d.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, kept binary, spans array<struct<start:long,end:long>>")
