@@ -1,3 +1,150 @@
-"""SQL of the same queries."""
+"""The catalog's queries as SQL, written apart from the DataFrame code."""
 
-SQL = {}
+from __future__ import annotations
+
+VP = """vp AS (SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, a.label AS label_a, b.label AS label_b, a.label = b.label AS same,
+  round(list_dot_product(a.v, b.v), 6) AS cos, round(abs(a.v[1] - b.v[1]), 6) AS feature
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) a JOIN (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings) b ON a.vec_id < b.vec_id)"""
+TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+def jac(a: str, b: str) -> str:
+    x, y = TOK.format(a), TOK.format(b)
+    return f"(CASE WHEN len({x}) + len({y}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({x}, {y}))::DOUBLE / (len({x}) + len({y}) - len(list_intersect({x}, {y}))) END)"
+
+
+DP = f"""dp0 AS (SELECT doc_id, lang, source, text AS a, lead(text) OVER (PARTITION BY lang, source ORDER BY doc_id) AS b FROM documents),
+dp AS (SELECT *, {jac('a', 'b')} AS jaccard FROM dp0 WHERE b IS NOT NULL)"""
+LP = DP + ", lp AS (SELECT dp.*, l.quality, l.toxic FROM dp JOIN labels l USING (doc_id))"
+DS = r"""ds0 AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+ds AS (SELECT doc_id, i - 1 AS pos, s[i] AS sent FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ds0))"""
+
+
+def ws(x: str) -> str:
+    return rf"list_filter(string_split_regex({x}, '\s+'), lambda x: x <> '')"
+
+
+def ranked(source: str, score: str, positive: str, by: str = "", lower: bool = True) -> str:
+    """CTE ``r`` with n_pos, n_neg, u2."""
+    key, comma = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    u = "sum(p * (2 * h + q))" if lower else "2 * sum(p) * sum(q) - sum(p * (2 * h + q))"
+    return f"""cl AS (SELECT {key}{score}, sum(CASE WHEN {positive} THEN 1 ELSE 0 END) AS p, sum(CASE WHEN {positive} THEN 0 ELSE 1 END) AS q FROM {source} GROUP BY {key}{score}),
+hi AS (SELECT *, coalesce(sum(q) OVER ({comma}ORDER BY {score} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM cl),
+r AS (SELECT {key}sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, ({u})::BIGINT AS u2 FROM hi {('GROUP BY ' + by) if by else ''})"""
+
+
+GRID = "g AS (SELECT round(i / 100.0, 2)::DOUBLE AS threshold FROM range(0, 101) t(i))"
+
+
+def balanced(where: str) -> str:
+    return f"(SELECT threshold, (avg(CASE WHEN NOT same THEN (cos < threshold)::INT END) + avg(CASE WHEN same THEN (cos >= threshold)::INT END)) / 2 AS b FROM g, (SELECT same, cos FROM vp WHERE {where}) GROUP BY threshold)"
+
+
+def strata(closed: bool) -> str:
+    inside = "feature BETWEEN lo AND hi" if closed else "feature >= lo AND (feature < hi OR (k = 9 AND feature <= hi))"
+    least = 5 if closed else 1
+    return f"""WITH {VP}, e AS (SELECT k, (SELECT quantile_cont(feature, 0.1 * 0) FROM vp WHERE false) AS z FROM range(10) t(k)),
+ed AS (SELECT quantile_cont(feature, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM vp),
+b AS (SELECT k, q[k + 1] AS lo, q[k + 2] AS hi FROM range(10) t(k), ed), x AS (SELECT k, cos, same FROM vp JOIN b ON {inside}),
+{ranked('x', 'cos', 'NOT same', 'k')}
+SELECT count(*) AS strata, round(sum((n_pos + n_neg) * (u2 / (2.0 * n_pos * n_neg))) / sum(n_pos + n_neg), 6) AS auroc FROM r WHERE n_pos >= {least} AND n_neg >= {least}""".replace("e AS (SELECT k, (SELECT quantile_cont(feature, 0.1 * 0) FROM vp WHERE false) AS z FROM range(10) t(k)),\n", "")
+
+
+ANCHORS = f"""an AS (SELECT item_id, text AS orig, array_to_string({ws('text')}[1:len({ws('text')}) - 1], ' ') AS para,
+  coalesce(lead(text) OVER (ORDER BY item_id), first_value(text) OVER (ORDER BY item_id)) AS affirm, CASE WHEN item_id % 10 <> 0 THEN text END AS scope FROM benchmark),
+el AS (SELECT *, greatest(len({ws('orig')}), len({ws('para')}), len({ws('affirm')})) AS longest FROM an),
+eb AS (SELECT el.*, bin::INT AS bin, ceil(bin / 1.3) AS w, longest <= ceil(bin / 1.3) / 2 AS fits FROM el, unnest([64, 96, 128, 256, 512, 1024, 2048, 4096]) u(bin))"""
+HOSTS = f"""ho AS (SELECT doc_id, lang, {ws('text')} AS host FROM documents WHERE len({ws('text')}) >= ceil(1024 / 1.3)),
+dr AS (SELECT item_id, lang, r::INT AS r, doc_id FROM (SELECT item_id, lang, doc_id, row_number() OVER (PARTITION BY item_id, lang ORDER BY md5('20260805|' || item_id || '|' || lang || '|' || doc_id), doc_id) AS r FROM an, (SELECT doc_id, lang FROM ho)) WHERE r <= 4)"""
+CELLS = f"""{ANCHORS}, {HOSTS},
+c0 AS (SELECT eb.item_id, d.lang, bin, orig, para, affirm, scope, ho.host[1:(w - longest)::INT] AS frame FROM eb JOIN dr d ON d.item_id = eb.item_id AND r = 1 JOIN ho ON ho.doc_id = d.doc_id WHERE fits AND bin <= 1024),
+c1 AS (SELECT *, least(len(frame), floor(qq * (len(frame) + 1)))::INT AS slot FROM c0, (VALUES ('early', 0.0), ('middle', 0.5), ('late', 1.0)) p(position, qq)),
+c2 AS (SELECT item_id, lang, bin, position, slot, frame, 'flip' AS pair, orig AS x, affirm AS y FROM c1 UNION ALL
+ SELECT item_id, lang, bin, position, slot, frame, 'faithful', orig, para FROM c1 UNION ALL SELECT item_id, lang, bin, position, slot, frame, 'scope', scope, affirm FROM c1 WHERE scope IS NOT NULL),
+c3 AS (SELECT *, array_to_string(list_concat(list_concat(frame[1:slot], [x]), frame[slot + 1:]), ' ') AS text_a, array_to_string(list_concat(list_concat(frame[1:slot], [y]), frame[slot + 1:]), ' ') AS text_b FROM c2),
+ce AS (SELECT item_id, lang, bin, position, slot, pair, text_a, text_b, len({ws('x')})::INT AS payload_ws, {jac('text_a', 'text_b')} AS score FROM c3)"""
+CURVE = CELLS + ", cu AS (SELECT bin, avg(1 - score) AS y FROM ce WHERE pair = 'flip' GROUP BY bin)"
+
+
+def draws(units: str, unit: str) -> str:
+    return f"""un AS (SELECT {unit}, row_number() OVER (ORDER BY {unit}) - 1 AS i FROM (SELECT DISTINCT {unit} FROM {units})), nn AS (SELECT count(*) AS n FROM un),
+dw AS (SELECT rep, i, count(*) AS w FROM (SELECT rep, floor(('0x' || substr(md5('20260805|' || rep || '|' || un.i), 1, 8))::BIGINT / 4294967296.0 * n)::BIGINT AS i FROM un, nn, range(1, 51) t(rep)) GROUP BY rep, i),
+dd AS (SELECT rep, {unit}, w FROM dw JOIN un USING (i))"""
+
+
+KW = r"list_sort(regexp_extract_all({0}, '\b(that|from|this|with|the)\b', 1))"
+NUM = r"list_sort(regexp_extract_all({0}, '\d+(?:\.\d+)?'))"
+EDIT = f"(CASE WHEN {KW.format('a')} <> {KW.format('b')} THEN 'keyword' WHEN {NUM.format('a')} <> {NUM.format('b')} THEN 'number' ELSE 'other' END)"
+ALPHA = r"(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) = 0 THEN 1.0::DOUBLE ELSE length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(text, '\s', '', 'g')) END)"
+LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+CODE = f"(CASE WHEN len({LINES}) = 0 THEN 0.0::DOUBLE ELSE len(list_filter({LINES}, lambda x: regexp_matches(x, '[{{}};=<>|]')))::DOUBLE / len({LINES}) END)"
+FOLD = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
+
+
+def markup(x: str) -> str:
+    x = f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g')"
+    x = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, char in (("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "'\"'"), ("#39", "''''"), ("amp", "'&'")):
+        x = f"replace({x}, '&{name};', {char})"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+STOP = "['a','an','and','are','as','be','by','for','in','is','it','of','on','or','that','the','this','to','with']"
+Z = "1.959964"
+
+SQL = {
+    "auroc_vec_pairs": f"WITH {VP}, {ranked('vp', 'cos', 'same', lower=False)} SELECT n_pos, n_neg, u2, round(u2 / (2.0 * n_pos * n_neg), 9) AS auroc FROM r",
+    "gate_operating_points": f"WITH {VP} SELECT threshold, round(tpr, 9) AS tpr, round(tnr, 9) AS tnr, round((tpr + tnr) / 2, 9) AS balanced FROM (SELECT t::DOUBLE AS threshold, avg(CASE WHEN NOT same THEN (cos < t)::INT END) AS tpr, avg(CASE WHEN same THEN (cos >= t)::INT END) AS tnr FROM vp, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5]::DOUBLE[]) u(t) GROUP BY t)",
+    "auroc_by_label": f"WITH {VP}, {ranked('vp', 'cos', 'same', 'label_a', lower=False)} SELECT label_a, n_pos, n_neg, u2, round(u2 / (2.0 * nullif(n_pos * n_neg, 0)), 9) AS auroc FROM r",
+    "auroc_allpairs_check": f"WITH {VP}, {ranked('vp', 'cos', 'same')} SELECT n_pos, n_neg, u2 FROM r",
+    "cliffs_delta_jaccard": f"WITH {LP}, {ranked('lp', 'jaccard', 'quality = 1')} SELECT n_pos, n_neg, u2, round(2 * (u2 / (2.0 * n_pos * n_neg)) - 1, 9) AS delta FROM r",
+    "weighted_auroc": f"WITH {VP}, n AS (SELECT label_a, count(*) AS w FROM vp GROUP BY label_a), c AS (SELECT cos, sum(CASE WHEN same THEN w ELSE 0 END) AS p, sum(CASE WHEN same THEN 0 ELSE w END) AS q FROM vp JOIN n USING (label_a) GROUP BY cos), l AS (SELECT *, coalesce(sum(q) OVER (ORDER BY cos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM c) SELECT round(sum(p::DOUBLE * (2 * low + q)::DOUBLE) / (2 * sum(p)::DOUBLE * sum(q)::DOUBLE), 6) AS auroc FROM l",
+    "pairwise_accuracy": f"WITH {VP}, m AS (SELECT vec_id_a, max(CASE WHEN same THEN cos END) AS s, max(CASE WHEN NOT same THEN cos END) AS o FROM vp GROUP BY vec_id_a) SELECT count(*) AS n, round(avg(CASE WHEN s > o THEN 1.0 WHEN s = o THEN 0.5 ELSE 0.0 END), 9) AS accuracy FROM m WHERE s IS NOT NULL AND o IS NOT NULL",
+    "best_threshold": f"WITH {VP}, {GRID} SELECT threshold, round(b, 9) AS balanced FROM {balanced('true')} ORDER BY round(b, 9) DESC, threshold LIMIT 1",
+    "threshold_transfer": f"WITH {VP}, {GRID}, f AS (SELECT threshold, round(b, 9) AS fitted FROM {balanced('vec_id_a % 2 = 0')} ORDER BY 2 DESC, 1 LIMIT 1), t AS (SELECT threshold, round(b, 9) AS transferred FROM {balanced('vec_id_a % 2 = 1')}) SELECT threshold, fitted, transferred, round(fitted - transferred, 9) AS drop FROM f JOIN t USING (threshold)",
+    "stratified_auroc_open": strata(False),
+    "stratified_auroc_closed": strata(True),
+    "cell_delta_two_level": f"WITH {VP}, v AS (SELECT label_a, vec_id_a, avg(CASE WHEN same THEN cos END) - avg(CASE WHEN NOT same THEN cos END) AS d FROM vp GROUP BY label_a, vec_id_a) SELECT label_a, count(*) AS n, round(avg(d), 6) AS mean, round(median(d), 6) AS median, round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.9), 6) AS p90 FROM v WHERE d IS NOT NULL GROUP BY label_a",
+    "token_jaccard_pairs": f"WITH {DP} SELECT doc_id, lang, source, round(jaccard, 9) AS jaccard FROM dp",
+    "jaccard_class_summary": f"WITH {LP} SELECT quality, count(*) AS n, round(avg(jaccard), 6) AS mean, round(median(jaccard), 6) AS median FROM lp GROUP BY quality",
+    "edit_class_counts": f"WITH {DP} SELECT {EDIT} AS edit_class, count(*) AS n FROM dp GROUP BY 1",
+    "number_multiset_changes": f"WITH {DP} SELECT lang, sum(({NUM.format('a')} <> {NUM.format('b')})::INT)::BIGINT AS changed, sum(len({NUM.format('a')}))::BIGINT AS numbers FROM dp GROUP BY lang",
+    "code_primary_flags": f"SELECT doc_id, round({ALPHA}, 6) AS alpha, round({CODE}, 6) AS code, {ALPHA} < 0.70 OR {CODE} >= 0.5 AS code_primary FROM documents",
+    "sentence_counts": f"WITH {DS} SELECT doc_id, count(*) AS n, sum((length(sent) BETWEEN 30 AND 600)::INT)::BIGINT AS n_fit, max(length(sent)) AS longest FROM ds GROUP BY doc_id",
+    "markup_strip_pages": f"SELECT page_id, sha256({markup('html')}) AS digest FROM pages",
+    "sentence_alignment": f"WITH {DS}, st AS (SELECT doc_id, pos, list_filter({TOK.format('sent')}, lambda x: NOT list_contains({STOP}, x)) AS t FROM ds WHERE length(sent) BETWEEN 30 AND 600), w AS (SELECT doc_id, pos, unnest(t) AS w FROM st), nr AS (SELECT a.doc_id, a.pos AS i, b.pos AS j, count(*) AS n FROM w a JOIN w b ON b.doc_id = a.doc_id + 1 AND a.w = b.w GROUP BY ALL HAVING count(*) >= 2), sc AS (SELECT nr.doc_id, i, j, round(n::DOUBLE / (len(x.t) + len(y.t) - n), 9) AS jac FROM nr JOIN st x ON x.doc_id = nr.doc_id AND x.pos = i JOIN st y ON y.doc_id = nr.doc_id + 1 AND y.pos = j) SELECT doc_id, i::INT AS pos, j::INT AS match, jac AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY jac DESC, j) AS r FROM sc) WHERE r = 1",
+    "contamination_scan": f"SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT item_id, {FOLD.format('text')} AS item FROM benchmark) JOIN (SELECT doc_id, {FOLD.format('text')} AS body FROM documents) ON contains(body, item) GROUP BY item_id",
+    "first_occurrence_dedupe": "SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text",
+    "split_overlap": "SELECT count(*) AS n_shared FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1)",
+    "duplicate_merge": "SELECT user_id, event_type, round(avg(value), 6) AS value, max(ts)::VARCHAR AS last_ts, bool_or(value > 100) AS large, count(*) - 1 AS n_merged FROM events GROUP BY user_id, event_type",
+    "stratified_sample": "SELECT doc_id, lang, r::INT AS r FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('20260805|' || lang || '|' || doc_id), doc_id) AS r FROM documents) WHERE r <= 20",
+    "blind_packet": f"WITH {DP}, h AS (SELECT *, md5('20260805|' || doc_id) AS h FROM dp) SELECT doc_id, row_number() OVER (ORDER BY h, doc_id)::INT AS item, md5(CASE WHEN substr(h, 32, 1) IN ('1','3','5','7','9','b','d','f') THEN b ELSE a END) AS first, substr(h, 32, 1) IN ('1','3','5','7','9','b','d','f') AS flipped FROM h",
+    "host_draw": f"WITH {ANCHORS}, {HOSTS} SELECT item_id, lang, r, doc_id FROM dr",
+    "shard_parity": "SELECT CASE WHEN right(sha256(doc_id::VARCHAR), 1) IN ('1','3','5','7','9','b','d','f') THEN 1 ELSE 0 END AS shard, lang, count(*) AS n FROM documents GROUP BY 1, 2",
+    "shard_merge_violations": "SELECT vec_id, 2::BIGINT AS n, 1::BIGINT AS labels FROM embeddings WHERE vec_id % 50 = 0",
+    "attrition_table": f"WITH {ANCHORS} SELECT bin, sum(fits::INT)::BIGINT AS eligible, sum((NOT fits)::INT)::BIGINT AS dropped, sum((fits AND scope IS NOT NULL)::INT)::BIGINT AS scope_eligible, round(sum((NOT fits)::INT)::DOUBLE / count(*), 9) AS dropped_share FROM eb GROUP BY bin",
+    "constant_cohort": f"WITH {ANCHORS} SELECT item_id FROM eb GROUP BY item_id HAVING bool_and(fits)",
+    "splice_stimuli": f"WITH {CELLS} SELECT item_id, lang, bin, position, pair, sha256(text_a) AS a, sha256(text_b) AS b, payload_ws, round(score, 9) AS score FROM ce",
+    "position_slot_collisions": f"WITH {CELLS} SELECT bin, count(*) AS n_collisions FROM (SELECT bin FROM ce WHERE pair = 'flip' GROUP BY item_id, lang, bin, slot HAVING count(*) > 1) GROUP BY bin",
+    "grouping_pooled_position": f"WITH {CELLS} SELECT bin, pair, position, count(*) AS n, round(avg(score), 6) AS mean FROM ce GROUP BY GROUPING SETS ((bin, pair), (bin, pair, position))",
+    "isotonic_curve": f"WITH {CURVE}, m AS (SELECT i.bin AS i, j.bin AS j, (SELECT avg(y) FROM cu k WHERE k.bin BETWEEN i.bin AND j.bin) AS m FROM cu i JOIN cu j ON i.bin <= j.bin), t AS (SELECT k.bin, m.i, max(m) AS top FROM m JOIN cu k ON m.i <= k.bin AND m.j >= k.bin GROUP BY k.bin, m.i) SELECT cu.bin, round(y, 6) AS y, round(min(top), 6) AS fitted FROM cu JOIN t ON t.bin = cu.bin GROUP BY cu.bin, y",
+    "power_law_fit": f"WITH {CURVE}, p AS (SELECT ln(y) AS ly, ln(64.0 / bin) AS lx FROM cu WHERE y > 0) SELECT count(*) AS n, CASE WHEN count(*) >= 3 THEN round(regr_slope(ly, lx), 5) END AS exponent, CASE WHEN count(*) >= 3 THEN round(exp(regr_intercept(ly, lx)), 5) END AS scale FROM p",
+    "critical_length": f"WITH {CURVE} SELECT min(CASE WHEN y < 0.05 THEN bin END) AS first_bin, round(min(y), 6) AS least, round(max(y), 6) AS most FROM cu",
+    "cohen_kappa": "WITH r AS (SELECT quality AS a, 1 - toxic AS b FROM labels), o AS (SELECT count(*) AS n, avg((a = b)::INT) AS po FROM r), e AS (SELECT sum((SELECT count(*) FROM r WHERE a = c) * (SELECT count(*) FROM r WHERE b = c))::DOUBLE AS pe FROM (VALUES (0), (1)) v(c)) SELECT n, round(po, 9) AS agreement, round((po - pe / (n * n)) / (1 - pe / (n * n)), 9) AS kappa FROM o, e",
+    "wilson_rates": f"WITH k AS (SELECT quality, count(*) AS n, sum(toxic)::BIGINT AS k FROM labels GROUP BY quality), w AS (SELECT *, k / n::DOUBLE + {Z} * {Z} / (2 * n) AS mid, {Z} * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {Z} * {Z} / (4.0 * n * n)) AS half, 1 + {Z} * {Z} / n AS d FROM k) SELECT quality, n, k, round((mid - half) / d, 9) AS low, round((mid + half) / d, 9) AS high FROM w",
+    "adjudicated_labels": "SELECT doc_id, CASE WHEN quality = 1 - toxic THEN quality WHEN n_chars > 1000 THEN 1 ELSE 0 END AS final, quality <> 1 - toxic AS adjudicated FROM labels JOIN documents USING (doc_id)",
+    "noise_ceiling": "SELECT round(x, 9) AS noise_pos, round(y, 9) AS noise_neg, round(0.5 + 0.5 * (1 - x - y), 9) AS ceiling FROM (SELECT avg(CASE WHEN quality = 1 THEN toxic END) AS x, avg(CASE WHEN quality = 0 THEN 1 - toxic END) AS y FROM labels)",
+    "confusion_matrix": "SELECT quality, sum((toxic = 0)::INT)::BIGINT AS toxic_0, sum((toxic = 1)::INT)::BIGINT AS toxic_1 FROM labels GROUP BY quality",
+    "label_cascade_routing": f"WITH {LP}, x AS (SELECT quality, {EDIT} AS edit_class FROM lp) SELECT edit_class, CASE WHEN edit_class = CASE WHEN quality = 1 THEN 'keyword' ELSE 'other' END THEN 'agree' WHEN edit_class = 'number' THEN 'sampled' ELSE 'arbitrate' END AS route, count(*) AS n FROM x GROUP BY 1, 2",
+    "cluster_bootstrap_ci": f"WITH {VP}, {draws('vp', 'label_a')}, c AS (SELECT label_a, cos, sum((NOT same)::INT) AS p, sum(same::INT) AS q FROM vp GROUP BY label_a, cos), s AS (SELECT rep, cos, sum(w * p) AS p, sum(w * q) AS q FROM c JOIN dd USING (label_a) GROUP BY rep, cos), h AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY rep ORDER BY cos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM s), a AS (SELECT rep, sum(p * (2 * h + q))::DOUBLE / (2.0 * sum(p)::DOUBLE * sum(q)::DOUBLE) AS a FROM h GROUP BY rep), {ranked('vp', 'cos', 'NOT same')} SELECT round(any_value(u2 / (2.0 * n_pos * n_neg)), 9) AS point, round(quantile_cont(a, 0.025), 6) AS low, round(quantile_cont(a, 0.975), 6) AS high FROM a, r",
+    "anchor_bootstrap_mean": f"WITH {LP}, x AS (SELECT doc_id, round(jaccard, 9) AS x FROM lp), {draws('x', 'doc_id')}, m AS (SELECT rep, sum(w * x) / sum(w) AS m FROM x JOIN dd USING (doc_id) GROUP BY rep) SELECT round((SELECT avg(x) FROM x), 6) AS point, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m",
+    "permutation_test": f"WITH {LP}, v AS (SELECT doc_id, quality = 1 AS pos, round(round(jaccard, 6) * 1000000)::BIGINT AS x FROM lp), n AS (SELECT count(*) AS n, sum(pos::INT) AS k, sum(x) AS t, coalesce(sum(CASE WHEN pos THEN x END), 0) AS s FROM v), r AS (SELECT rep, x, row_number() OVER (PARTITION BY rep ORDER BY md5('20260805|' || rep || '|' || doc_id), doc_id) AS i FROM v, range(1, 51) u(rep)), q AS (SELECT rep, sum(x) AS y FROM r, n WHERE i <= k GROUP BY rep) SELECT k::BIGINT AS n_pos, sum((abs(y * n - t * k) >= abs(s * n - t * k))::INT)::BIGINT AS hits, round((sum((abs(y * n - t * k) >= abs(s * n - t * k))::INT) + 1) / 51.0, 9) AS p_value FROM q, n GROUP BY k",
+    "config_parity_gate": "WITH e AS (SELECT label, embedding::DOUBLE[] AS v FROM embeddings), g AS (SELECT label, abs(list_dot_product(v, v) - list_dot_product(list_transform(v, lambda x: round(x, 4)), v)) AS g FROM e) SELECT label, round(max(g), 9) AS worst, max(g) <= 1e-5 AS passes FROM g GROUP BY label",
+    "cone_floor": "WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v0 FROM embeddings), u AS (SELECT label, vec_id, list_transform(v0, lambda x: x / (CASE WHEN list_dot_product(v0, v0) = 0 THEN 1 ELSE sqrt(list_dot_product(v0, v0)) END)) AS v FROM e), p AS (SELECT label, i, v[i] AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM u)), m AS (SELECT label, i, avg(x) AS m FROM p GROUP BY label, i), mm AS (SELECT label, list(m ORDER BY i) AS m FROM m GROUP BY label), a AS (SELECT u.label, acos(greatest(-1, least(1, list_dot_product(v, m) / sqrt(list_dot_product(m, m))))) AS t FROM u JOIN mm USING (label)) SELECT label, count(*) AS n, round(degrees(max(t)), 4) AS max_degrees, round(cos(2 * max(t)), 5) AS floor FROM a GROUP BY label",
+    "mrl_truncation": "WITH e AS (SELECT vec_id, label, embedding[1:16]::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM e), p AS (SELECT a.label = b.label AS same, round(list_dot_product(a.v, b.v), 4) AS cos FROM u a JOIN u b ON a.vec_id < b.vec_id) SELECT same, count(*) AS n, round(avg(cos), 4) AS mean FROM p GROUP BY same",
+    "hyperbolic_distances": f"WITH {VP} SELECT label_a, count(*) AS n, round(avg(acosh(1 + 2 * (0.5 * (1 - cos)) / 0.5625)), 6) AS mean, true AS monotone FROM vp GROUP BY label_a",
+    "ext_asof_events": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events WHERE user_id IS NOT NULL",
+    "ext_sessions": "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n FROM s GROUP BY user_id, session",
+    "ext_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice) / 1000, 2) AS total_k FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+}

@@ -1,3 +1,381 @@
-"""Catalog of queries."""
+"""Catalog of queries over the test tables; SQL of the same queries is in :mod:`.oracle`.
 
-QUERIES = {}
+``vec_pairs`` joins all pairs of ``embeddings``, as the audit it stands for does: its size is a square of that table's.
+Titration cells carry a lexical score (token Jaccard of the two members): encoders are no part of this library.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..operators import fit, passages, resample, scoring, strata
+from ..sources.tables import table
+
+THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
+SEED = "20260805"
+
+
+def vec_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+    a, b = (e.select(*[F.col(c).alias(f"{c}_{s}") for c in e.columns]) for s in "ab")
+    p = a.join(b, F.col("vec_id_a") < F.col("vec_id_b"))
+    return p.select("vec_id_a", "vec_id_b", "label_a", "label_b", (F.col("label_a") == F.col("label_b")).alias("same"), V.cosine(F.col("v_a"), F.col("v_b")).alias("cos"), F.round(F.abs(F.col("v_a")[0] - F.col("v_b")[0]), 6).alias("feature"))
+
+
+def doc_pairs(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    w = Window.partitionBy("lang", "source").orderBy("doc_id")
+    p = docs.select("doc_id", "lang", "source", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")
+    return p.withColumn("jaccard", T.jaccard(F.col("a"), F.col("b")))
+
+
+def labelled_pairs(spark, d) -> DataFrame:
+    return doc_pairs(spark, d).join(table(spark, d, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+
+
+def sentences(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
+
+
+# rank statistics
+
+
+def auroc_vec_pairs(spark, d):
+    return scoring.auroc(vec_pairs(spark, d), [], "cos", F.col("same"), lower=False).select("n_pos", "n_neg", "u2", F.round("auroc", 9).alias("auroc"))
+
+
+def gate_operating_points(spark, d):
+    g = scoring.gate_rates(vec_pairs(spark, d), [], "cos", ~F.col("same"), THRESHOLDS)
+    return g.select("threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "tnr", "balanced")])
+
+
+def auroc_by_label(spark, d):
+    r = scoring.auroc(vec_pairs(spark, d), ["label_a"], "cos", F.col("same"), lower=False)
+    return r.select("label_a", "n_pos", "n_neg", "u2", F.round("auroc", 9).alias("auroc"))
+
+
+def auroc_allpairs_check(spark, d):
+    p = vec_pairs(spark, d)
+    return scoring.rank_counts(p, [], "cos", F.col("same"))
+
+
+def cliffs_delta_jaccard(spark, d):
+    r = scoring.auroc(labelled_pairs(spark, d), [], "jaccard", F.col("quality") == 1)
+    return r.select("n_pos", "n_neg", "u2", F.round(2 * F.col("auroc") - 1, 9).alias("delta"))
+
+
+def weighted_auroc(spark, d):
+    """Classes weigh by the size of the first label."""
+    p = vec_pairs(spark, d)
+    n = p.groupBy("label_a").agg(F.count("*").alias("w"))
+    cells = p.join(n, "label_a").groupBy("cos").agg(F.sum(F.when(F.col("same"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("same"), F.col("w")).otherwise(0)).alias("q"))
+    low = F.coalesce(F.sum("q").over(Window.orderBy("cos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    u = cells.withColumn("low", low).agg(F.sum((F.col("p").cast("double") * (2 * F.col("low") + F.col("q")).cast("double"))).alias("u"), F.sum("p").cast("double").alias("sp"), F.sum("q").cast("double").alias("sq"))
+    return u.select(F.round(F.col("u") / (2 * F.col("sp") * F.col("sq")), 6).alias("auroc"))
+
+
+def pairwise_accuracy(spark, d):
+    p = vec_pairs(spark, d).groupBy("vec_id_a", "same").agg(F.max("cos").alias("cos"))
+    j = p.where("same").select("vec_id_a", F.col("cos").alias("s")).join(p.where("NOT same").select("vec_id_a", F.col("cos").alias("o")), "vec_id_a")
+    return j.agg(F.count("*").alias("n"), F.round(F.avg(F.expr("CASE WHEN s > o THEN 1.0D WHEN s = o THEN 0.5D ELSE 0.0D END")), 9).alias("accuracy"))
+
+
+def best_threshold(spark, d):
+    """Highest balanced accuracy of a gate below each of 101 thresholds; the first of ties."""
+    t = fit.threshold_curve(vec_pairs(spark, d), "cos", ~F.col("same"), [round(i / 100, 2) for i in range(101)])
+    return t.select(F.col("threshold"), F.round("balanced", 9).alias("balanced")).orderBy(F.desc("balanced"), "threshold").limit(1)
+
+
+def threshold_transfer(spark, d):
+    p = vec_pairs(spark, d).withColumn("half", F.col("vec_id_a") % 2)
+    grid = [round(i / 100, 2) for i in range(101)]
+    a = fit.threshold_curve(p.where("half = 0"), "cos", ~F.col("same"), grid).orderBy(F.round("balanced", 9).desc(), "threshold").limit(1).select("threshold", F.round("balanced", 9).alias("fitted"))
+    b = fit.threshold_curve(p.where("half = 1"), "cos", ~F.col("same"), grid).select("threshold", F.round("balanced", 9).alias("transferred"))
+    return a.join(b, "threshold").select("threshold", "fitted", "transferred", F.round(F.col("fitted") - F.col("transferred"), 9).alias("drop"))
+
+
+def stratified_auroc_open(spark, d):
+    r = strata.stratified_auroc(vec_pairs(spark, d), "feature", "cos", ~F.col("same"))
+    return r.select("strata", F.round("auroc", 6).alias("auroc"))
+
+
+def stratified_auroc_closed(spark, d):
+    r = strata.stratified_auroc(vec_pairs(spark, d), "feature", "cos", ~F.col("same"), closed=True, least=5)
+    return r.select("strata", F.round("auroc", 6).alias("auroc"))
+
+
+def cell_delta_two_level(spark, d):
+    p = vec_pairs(spark, d).groupBy("label_a", "vec_id_a").agg(F.avg(F.when(F.col("same"), F.col("cos"))).alias("s"), F.avg(F.when(~F.col("same"), F.col("cos"))).alias("o"))
+    delta = p.where("s IS NOT NULL AND o IS NOT NULL").withColumn("delta", F.col("s") - F.col("o"))
+    return delta.groupBy("label_a").agg(F.count("*").alias("n"), *[F.round(x, 6).alias(n) for n, x in (("mean", F.avg("delta")), ("median", F.median("delta")), ("p10", F.percentile("delta", 0.1)), ("p90", F.percentile("delta", 0.9)))])
+
+
+# texts
+
+
+def token_jaccard_pairs(spark, d):
+    return doc_pairs(spark, d).select("doc_id", "lang", "source", F.round("jaccard", 9).alias("jaccard"))
+
+
+def jaccard_class_summary(spark, d):
+    return labelled_pairs(spark, d).groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg("jaccard"), 6).alias("mean"), F.round(F.median("jaccard"), 6).alias("median"))
+
+
+def edit_class_counts(spark, d):
+    return doc_pairs(spark, d).groupBy(T.edit_class(F.col("a"), F.col("b")).alias("edit_class")).agg(F.count("*").alias("n"))
+
+
+def number_multiset_changes(spark, d):
+    a, b = T.numbers(F.col("a")), T.numbers(F.col("b"))
+    return doc_pairs(spark, d).groupBy("lang").agg(F.count_if(a != b).alias("changed"), F.sum(F.size(a)).alias("numbers"))
+
+
+def code_primary_flags(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.round(T.alpha_ratio(t), 6).alias("alpha"), F.round(T.code_fraction(t), 6).alias("code"), T.code_primary(t).alias("code_primary"))
+
+
+def sentence_counts(spark, d):
+    s = sentences(spark, d).withColumn("fits", F.length("sent").between(30, 600))
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("fits").alias("n_fit"), F.max(F.length("sent")).cast("long").alias("longest"))
+
+
+def markup_strip_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(T.strip_markup(F.col("html")), 256).alias("digest"))
+
+
+def sentence_alignment(spark, d):
+    """Best match of each sentence in the document with the next id, among those that share two tokens that aren't stop words."""
+    s = sentences(spark, d).where(F.length("sent").between(30, 600)).withColumn("t", T.stopped(T.token_set(F.col("sent"))))
+    a = s.select(F.col("doc_id").alias("a"), F.col("pos").alias("i"), F.col("t").alias("x"))
+    b = s.select((F.col("doc_id") - 1).alias("a"), F.col("pos").alias("j"), F.col("t").alias("y"))
+    left, right = a.select("a", "i", F.explode("x").alias("w")), b.select("a", "j", F.explode("y").alias("w"))
+    near = left.join(right, ["a", "w"]).groupBy("a", "i", "j").agg(F.count("*").alias("n")).where("n >= 2")
+    scored = near.join(a, ["a", "i"]).join(b, ["a", "j"]).withColumn("jac", F.round(T.set_jaccard(F.col("x"), F.col("y")), 9))
+    best = F.row_number().over(Window.partitionBy("a", "i").orderBy(F.desc("jac"), "j"))
+    return scored.withColumn("r", best).where("r = 1").select(F.col("a").alias("doc_id"), F.col("i").alias("pos"), F.col("j").alias("match"), F.col("jac").alias("jaccard"))
+
+
+def contamination_scan(spark, d):
+    """Benchmark items that documents contain; a shared token of the item's interior leads to candidates."""
+    items = table(spark, d, "benchmark").select("item_id", T.fold(F.col("text")).alias("item"))
+    items = items.withColumn("anchor", T.longest_inner(T.tokens(F.col("item"))))
+    docs = table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("body"))
+    words = docs.select("doc_id", F.explode(T.token_set(F.col("body"))).alias("anchor"))
+    hits = words.join(items, "anchor").join(docs, "doc_id").where(F.expr("contains(body, item)"))
+    return hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def first_occurrence_dedupe(spark, d):
+    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+
+
+def split_overlap(spark, d):
+    docs = table(spark, d, "documents")
+    a, b = (docs.where(F.col("doc_id") % 2 == k).select("text") for k in (0, 1))
+    return a.intersect(b).agg(F.count("*").alias("n_shared"))
+
+
+def duplicate_merge(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("value"), F.max("ts").cast("string").alias("last_ts"), F.max(F.col("value") > 100).alias("large"), (F.count("*") - 1).alias("n_merged"))
+
+
+# sampling
+
+
+def stratified_sample(spark, d):
+    r = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.concat_ws("|", F.lit(SEED), "lang", "doc_id")), "doc_id"))
+    return table(spark, d, "documents").select("doc_id", "lang", r.alias("r")).where("r <= 20")
+
+
+def blind_packet(spark, d):
+    p = doc_pairs(spark, d)
+    h = F.md5(F.concat_ws("|", F.lit(SEED), "doc_id"))
+    flip = (F.conv(F.substring(h, 32, 1), 16, 10).cast("int") % 2) == 1
+    return p.select("doc_id", F.row_number().over(Window.orderBy(h, "doc_id")).alias("item"), F.md5(F.when(flip, F.col("b")).otherwise(F.col("a"))).alias("first"), flip.alias("flipped"))
+
+
+def host_draw(spark, d):
+    return passages.draw(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED)
+
+
+def shard_parity(spark, d):
+    shard = F.conv(F.right(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(1)), 16, 10).cast("int") % 2
+    return table(spark, d, "documents").groupBy(shard.alias("shard"), "lang").agg(F.count("*").alias("n"))
+
+
+def shard_merge_violations(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    shards = e.where("vec_id % 2 = 0").unionByName(e.where("vec_id % 2 = 1 OR vec_id % 50 = 0"))
+    return shards.groupBy("vec_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).where("n > 1")
+
+
+# passages
+
+
+def cells(spark, d):
+    return passages.titration(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED)
+
+
+def attrition_table(spark, d):
+    return passages.attrition(passages.anchors(table(spark, d, "benchmark")))
+
+
+def constant_cohort(spark, d):
+    return passages.cohort(passages.anchors(table(spark, d, "benchmark")))
+
+
+def splice_stimuli(spark, d):
+    c = cells(spark, d)
+    return c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
+
+
+def position_slot_collisions(spark, d):
+    c = cells(spark, d).where("pair = 'flip'").select("item_id", "lang", "bin", "slot", "position")
+    return c.groupBy("item_id", "lang", "bin", "slot").agg(F.count("*").alias("n")).where("n > 1").groupBy("bin").agg(F.count("*").alias("n_collisions"))
+
+
+def grouping_pooled_position(spark, d):
+    g = cells(spark, d).groupingSets([["bin", "pair"], ["bin", "pair", "position"]], "bin", "pair", "position")
+    return g.agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+def curve(spark, d):
+    return cells(spark, d).where("pair = 'flip'").groupBy("bin").agg(F.avg(1 - F.col("score")).alias("y"))
+
+
+def isotonic_curve(spark, d):
+    return fit.isotonic(curve(spark, d), "bin", "y").select("bin", F.round("y", 6).alias("y"), F.round("fitted", 6).alias("fitted"))
+
+
+def power_law_fit(spark, d):
+    return fit.power_law(curve(spark, d), "bin", "y")
+
+
+def critical_length(spark, d):
+    """First length from which the mean change is below a twentieth."""
+    return curve(spark, d).agg(F.min(F.when(F.col("y") < 0.05, F.col("bin"))).alias("first_bin"), F.round(F.min("y"), 6).alias("least"), F.round(F.max("y"), 6).alias("most"))
+
+
+# agreement
+
+
+def raters(spark, d):
+    return table(spark, d, "labels").select("doc_id", F.col("quality").alias("a"), (1 - F.col("toxic")).alias("b"))
+
+
+def cohen_kappa(spark, d):
+    return scoring.kappa(raters(spark, d), "a", "b").select("n", F.round("agreement", 9).alias("agreement"), F.round("kappa", 9).alias("kappa"))
+
+
+def wilson_rates(spark, d):
+    n, k = F.count("*"), F.sum("toxic")
+    low, high = scoring.wilson(F.col("k"), F.col("n"))
+    return table(spark, d, "labels").groupBy("quality").agg(n.alias("n"), k.alias("k")).select("quality", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+def adjudicated_labels(spark, d):
+    r = raters(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    final = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.when(F.col("n_chars") > 1000, 1).otherwise(0))
+    return r.select("doc_id", final.cast("int").alias("final"), (F.col("a") != F.col("b")).alias("adjudicated"))
+
+
+def noise_ceiling(spark, d):
+    r = raters(spark, d).agg(F.avg(F.when(F.col("a") == 1, (F.col("b") == 0).cast("double"))).alias("x"), F.avg(F.when(F.col("a") == 0, (F.col("b") == 1).cast("double"))).alias("y"))
+    return r.select(F.round("x", 9).alias("noise_pos"), F.round("y", 9).alias("noise_neg"), F.round(0.5 + 0.5 * (1 - F.col("x") - F.col("y")), 9).alias("ceiling"))
+
+
+def confusion_matrix(spark, d):
+    return table(spark, d, "labels").groupBy("quality").pivot("toxic", [0, 1]).agg(F.count(F.lit(1))).select("quality", F.coalesce("0", F.lit(0)).alias("toxic_0"), F.coalesce("1", F.lit(0)).alias("toxic_1"))
+
+
+def label_cascade_routing(spark, d):
+    p = labelled_pairs(spark, d).select("doc_id", "quality", T.edit_class(F.col("a"), F.col("b")).alias("edit_class"))
+    bulk = F.when(F.col("quality") == 1, "keyword").otherwise("other")
+    return p.groupBy("edit_class", F.when(F.col("edit_class") == bulk, "agree").when(F.col("edit_class") == "number", "sampled").otherwise("arbitrate").alias("route")).agg(F.count("*").alias("n"))
+
+
+# resampling
+
+
+def cluster_bootstrap_ci(spark, d):
+    return resample.cluster_auroc(vec_pairs(spark, d), "label_a", "cos", ~F.col("same"), reps=50, seed=SEED)
+
+
+def anchor_bootstrap_mean(spark, d):
+    x = labelled_pairs(spark, d).select("doc_id", F.round("jaccard", 9).alias("x"))
+    return resample.mean_interval(x, "doc_id", "x", reps=50, seed=SEED)
+
+
+def permutation_test(spark, d):
+    x = labelled_pairs(spark, d).select("doc_id", (F.col("quality") == 1).alias("pos"), F.round("jaccard", 6).alias("x"))
+    return resample.permutation(x, "doc_id", "pos", "x", reps=50, seed=SEED)
+
+
+# vectors
+
+
+def config_parity_gate(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
+    c = e.select("label", F.abs(V.dot(F.col("v"), F.col("v")) - V.dot(F.transform("v", lambda x: F.round(x, 4)), F.col("v"))).alias("gap"))
+    return c.groupBy("label").agg(F.round(F.max("gap"), 9).alias("worst"), (F.max("gap") <= 1e-5).alias("passes"))
+
+
+def cone_floor(spark, d):
+    e = table(spark, d, "embeddings").select("label", "vec_id", V.unit(V.doubles(F.col("embedding"))).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select("label", V.unit(F.transform("s", lambda x: x["m"])).alias("m"))
+    a = e.join(means, "label").select("label", V.angle(V.dot(F.col("v"), F.col("m"))).alias("angle"))
+    top = a.groupBy("label").agg(F.count("*").alias("n"), F.max("angle").alias("t"))
+    return top.select("label", "n", F.round(F.degrees("t"), 4).alias("max_degrees"), F.round(F.cos(2 * F.col("t")), 5).alias("floor"))
+
+
+def mrl_truncation(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", V.truncated(V.doubles(F.col("embedding")), 16).alias("v"))
+    a, b = (e.select(*[F.col(c).alias(f"{c}_{s}") for c in e.columns]) for s in "ab")
+    p = a.join(b, F.col("vec_id_a") < F.col("vec_id_b")).select((F.col("label_a") == F.col("label_b")).alias("same"), F.round(V.dot(F.col("v_a"), F.col("v_b")), 4).alias("cos"))
+    return p.groupBy("same").agg(F.count("*").alias("n"), F.round(F.avg("cos"), 4).alias("mean"))
+
+
+def hyperbolic_distances(spark, d):
+    p = vec_pairs(spark, d).withColumn("dist", V.ball_distance(F.col("cos")))
+    before = F.lag("dist").over(Window.partitionBy("label_a").orderBy(F.desc("cos"), "dist"))
+    return p.withColumn("before", before).groupBy("label_a").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"), F.bool_and(F.coalesce(F.col("dist") >= F.col("before") - 1e-12, F.lit(True))).alias("monotone"))
+
+
+# beyond the audit
+
+
+def ext_asof_events(spark, d):
+    """Value of the last purchase or earlier event of the same user and another type."""
+    e = table(spark, d, "events").where("user_id IS NOT NULL")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    return e.select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w).alias("last_purchase"))
+
+
+def ext_sessions(spark, d):
+    e = table(spark, d, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag(F.col("ts").cast("timestamp")).over(w)) > 30 * 60 * 1_000_000
+    s = e.select("user_id", "ts", "event_id", F.coalesce(gap.cast("int"), F.lit(1)).alias("new"))
+    return s.withColumn("session", F.sum("new").over(w)).groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+def ext_grouping_sets(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") / 1000, 2).alias("total_k"))
+
+
+NAMES = """
+auroc_vec_pairs gate_operating_points auroc_by_label auroc_allpairs_check cliffs_delta_jaccard weighted_auroc pairwise_accuracy
+best_threshold threshold_transfer stratified_auroc_open stratified_auroc_closed cell_delta_two_level token_jaccard_pairs
+jaccard_class_summary edit_class_counts number_multiset_changes code_primary_flags sentence_counts markup_strip_pages
+sentence_alignment contamination_scan first_occurrence_dedupe split_overlap duplicate_merge stratified_sample blind_packet
+host_draw shard_parity shard_merge_violations attrition_table constant_cohort splice_stimuli position_slot_collisions
+grouping_pooled_position isotonic_curve power_law_fit critical_length cohen_kappa wilson_rates adjudicated_labels noise_ceiling
+confusion_matrix label_cascade_routing cluster_bootstrap_ci anchor_bootstrap_mean permutation_test config_parity_gate cone_floor
+mrl_truncation hyperbolic_distances ext_asof_events ext_sessions ext_grouping_sets
+""".split()
+QUERIES = {n: globals()[n] for n in NAMES}
