@@ -11,7 +11,7 @@ the next rank. A suffix without a partner is done. If all partners share its blo
 Otherwise the windows are told apart one by one in a dense pass over those extents alone.
 
 Within a batch equal suffixes become one entry before any shuffle, so a key has a row for each batch at most,
-however hot it is. Digests have 64 bits for cores (only a filter) and core plus block, or two digests of one
+however hot it is. Digests have 64 bits for cores (only a filter) and core plus block, and 96 for a
 window, where a match decides.
 
 Cases: null text is empty; shorter texts keep everything; repeated rows are repeats of each other; ids may be
@@ -32,7 +32,7 @@ from . import windows as K
 LENGTH = 400
 #: Entries of a batch: bounds a task's memory.
 BATCH = 1_000_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
 #: Status of an entry: no partner, all windows repeated, partners differ.
 NONE, FULL, MIXED = 0, 1, 2
@@ -57,7 +57,7 @@ def _span(levels: dict[int, np.ndarray], m: int, start: np.ndarray, size, most:
 
 def _sizes(length: int) -> tuple[int, int, int]:
     """Owner range, core and the short strings among which owners are found."""
-    w = max(1, length * 12 // 25)
+    w = max(1, length * 8 // 25)
     core = length - w + 1
     return w, core, 1 << min(4, core.bit_length() - 1)
 
@@ -201,7 +201,7 @@ def _dense(length: int):
         f = np.flatnonzero(f)
         e = np.r_[f[1:], len(r)] - 1 if len(f) else f
         s = np.flatnonzero(new)
-        yield pa.record_batch([pa.array(np.zeros(len(f), bool)), pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.int64()), pa.array(r[f]), pa.array(q[f].astype(np.int32)), pa.array((q[e] - q[f] + 1).astype(np.int32)), pa.nulls(len(f), pa.bool_())], NAMES)
+        yield pa.record_batch([pa.array(np.zeros(len(f), bool)), pa.array(r[f]), pa.array(q[f]), pa.array(r[f]), pa.array(q[f].astype(np.int32)), pa.array((q[e] - q[f] + 1).astype(np.int32)), pa.array(np.ones(len(f), bool))], NAMES)
         yield pa.record_batch([pa.array(np.ones(len(s), bool)), pa.array(h[s].view(np.int64)), pa.array(g[s].view(np.int64)), pa.array(rid[s]), pa.array(p[s].astype(np.int32)), pa.array(np.ones(len(s), np.int32)), pa.array(~alone[s])], NAMES)
 
     NAMES = ["ship", "h", "g", "rid", "lo", "run", "known"]
@@ -218,9 +218,9 @@ def _dense(length: int):
                 p = np.repeat(lo + offsets[row] - np.r_[0, np.cumsum(run)[:-1]], run) + np.arange(run.sum())
                 h = _levels(data, m)
                 row = np.repeat(row, run)
-                held.append((_span(h, m, p, length, length), _span(h, small, p, length, length), rid[i:j][row], p - offsets[row]))
+                held.append((_span(h, m, p, length, length), _span(h, small, p, length, length) >> np.uint64(32), rid[i:j][row], p - offsets[row]))
                 size += len(p)
-                if size >= 2 * BATCH:
+                if size >= BATCH:
                     yield from out(held)
                     held, size = [], 0
         if held:
@@ -272,17 +272,20 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     local = entries.where(f"NOT ship OR status = {FULL}").select("rid", "lo", "run", "status")
     found = C.table(scanned.unionByName(local), "matches")
     C.drop(entries)
+    del entries, scanned, local  # else their shuffles stay
+    C.release(spark)
 
     asked = found.where(f"status = {MIXED}").groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("asked"))
     # the asked ranges go first and stay small: the join needs no copy of documents without any
     texts = long.select("rid", "text").join(asked, "rid").select("rid", "text", "asked")
-    dense = C.table(texts.mapInArrow(_dense(length), "ship boolean, h long, g long, rid long, lo int, run int, known boolean"), "dense")
-    each = Window.partitionBy("h", "g")
-    # rows of a key: one for each batch
-    met = dense.where("ship").withColumn("c", F.count("*").over(each)).where("c > 1 AND NOT known").select("rid", "lo", "run")
-    sure = found.where(f"status = {FULL}").select("rid", "lo", "run").unionByName(dense.where("NOT ship").select("rid", "lo", "run")).unionByName(met)
+    dense = texts.mapInArrow(_dense(length), "ship boolean, h long, g long, rid long, lo int, run int, known boolean")
+    # one shuffle and no copy on disk: what is decided travels along under its own place as key; rows of a key: one for each batch
+    dense = dense.repartition(n, "h").withColumn("c", F.count("*").over(Window.partitionBy("h", "g", "ship"))).where("NOT ship OR (c > 1 AND NOT known)")
+    sure = found.where(f"status = {FULL}").select("rid", "lo", "run").unionByName(dense.select("rid", "lo", "run"))
     runs = C.table(sure.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("runs")), "repeats")
-    C.drop(found, dense)
+    C.drop(found)
+    del found, asked, texts, dense, sure
+    C.release(spark)
     out = d.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut(length), "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
     return out.withColumn("n_bytes", F.octet_length("kept").cast("long") + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])).select("doc_id", "n_bytes", "kept", "spans")
 
