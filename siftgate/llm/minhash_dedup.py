@@ -4,11 +4,12 @@ Only ``COLLECTIONS`` small collections of ``ROWS`` minhashes are computed; every
 table. Documents that agree in two collections meet in a table, so the work for minhashes is about a square root of that
 of independent tables. At the least similarity that counts the chance to meet is over 0.9999 (0.999 at 80 percent).
 
-Documents with the same shingle set are one class before anything is paired. In a bucket the first class is compared
-with all others, then the second, and so on, but only with classes that are not in its component yet: a bucket of copies
-is done after one round, and no link between different texts is lost, as classes in one component need no further link.
-Once few pairs remain in all buckets together they are compared at once. Links are confirmed on the full sets.
-Components are found by handing on the least id, in tables in the shared folder.
+Documents with the same shingle set are one class before anything is paired. Classes that meet in a bucket of up to
+``BIG`` are compared pair by pair. Larger buckets are never paired out: those that share classes form a group, a group is
+cut by hash into blocks of about ``BLOCK`` classes, and each pair of blocks goes to one task, which counts all
+intersections as matrix products and returns a spanning forest of its links only. Links are always confirmed on the
+full sets, and no link between different texts that meet is lost. Components are found by handing on the least id, in
+tables in the shared folder.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one;
 repeated rows and ids are documents of their own (rows that share an id share its component id); columns besides
@@ -30,6 +31,7 @@ SHINGLE = 5
 PERCENT = 85
 COLLECTIONS, ROWS = 10, 2
 CHUNK = 1 << 20
+BIG, BLOCK = 32, 128
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(0, 2**63, COLLECTIONS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _r.integers(0, 2**64, COLLECTIONS * ROWS, np.uint64)
@@ -102,6 +104,48 @@ def _sets(size: int):
     return go
 
 
+def _compare(percent: int):
+    """Links within (x = y) or between two blocks, as a spanning forest."""
+
+    def go(table: pa.Table) -> pa.Table:
+        c, own, x, y = (table.column(k).to_numpy() for k in ("c", "own", "x", "y"))
+        lists = table.column("shingles").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(c)), n)
+        o = np.argsort(code, kind="stable")
+        code, row = code[o], row[o]
+        both = np.zeros((len(c), len(c)), np.float32)
+        step = 4096
+        cuts = np.searchsorted(code, np.arange(0, (code[-1] if len(code) else 0) + step + 1, step))
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = np.zeros((len(c), step), np.float32)
+            part[row[i:j], code[i:j] - k * step] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        if x[0] != y[0]:
+            link &= own[:, None] != own[None, :]
+        head = list(range(len(c)))
+
+        def find(i):
+            while head[i] != i:
+                head[i] = head[head[i]]
+                i = head[i]
+            return i
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
+            p, q = find(int(i)), find(int(j))
+            if p != q:
+                head[q] = p
+                out.append((c[i], c[j]))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return go
+
+
 def components(links: DataFrame) -> DataFrame:
     """``c, comp``: the least id reachable, for every id in ``links(a, b)``. Neighbours hand on their least id until none falls."""
     both = C.table(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
@@ -119,8 +163,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document ``doc_id, n_shingles, component_id, kept`` and ``n_links`` (confirmed links that its class took part in)."""
-    return near_groups(C.keyed(docs), shingle, percent).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    """Per document ``doc_id, n_shingles, component_id, kept``."""
+    return near_groups(C.keyed(docs), shingle, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -140,8 +184,7 @@ def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("bands")[i], F.col("bands")[j]) for i, j in pairs])).alias("key")
     rows = classes.select("c", "n_shingles", keys)
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = rows.join(full, "key").select("key", "c", "n_shingles")
-    # rank within a bucket: the order in which its classes are compared with the rest
+    buckets = rows.join(full, "key").select("key", "size", "c", "n_shingles")
     buckets = C.table(buckets, "buckets")
     ids = buckets.select("c").distinct()
     texts = d.select(F.col("rid").alias("c"), "text").join(ids, "c").select("c", "text")
@@ -153,42 +196,28 @@ def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return candidates.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    close = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") < F.col("b"))
-    links, label = None, None
-    open_ = buckets.withColumn("comp", F.col("c"))
-    while True:
-        # a bucket's next class meets the others; then it leaves the bucket
-        each = open_.groupBy("key").agg(F.min(F.struct("c", "n_shingles", "comp")).alias("f"), F.count("*").alias("size"))
-        met = open_.join(each, "key").where("c <> f.c AND comp <> f.comp")
-        todo = met.select(F.least("c", "f.c").alias("a"), F.greatest("c", "f.c").alias("b"), F.when(F.col("c") < F.col("f.c"), F.col("n_shingles")).otherwise(F.col("f.n_shingles")).alias("na"), F.when(F.col("c") < F.col("f.c"), F.col("f.n_shingles")).otherwise(F.col("n_shingles")).alias("nb"))
-        todo = todo.where(close).select("a", "b").distinct()
-        new = C.table(confirmed(todo), "confirmed")
-        links = new if links is None else C.table(links.union(new), "confirmed")
-        rest = open_.join(each.select("key", F.col("f.c").alias("fc")), "key").where("c <> fc").drop("fc", "comp")
-        label = components(links)
-        now = rest.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        many = now.groupBy("key").agg(F.count_distinct("comp").alias("k"), F.count("*").alias("n")).where("k > 1")
-        now = C.table(now.join(many.select("key"), "key").select("key", "c", "n_shingles", "comp"), "open")
-        C.drop(open_)
-        n, worst = now.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()
-        open_ = now
-        if not n:
-            break
-        if worst <= 4 * n:
-            x, y = (now.select("key", F.col("c").alias(v), F.col("comp").alias(f"comp{v}"), F.col("n_shingles").alias(f"n{v}")) for v in "ab")
-            rest = x.join(y, "key").where(close & (F.col("compa") != F.col("compb"))).select("a", "b").distinct()
-            links = C.table(links.union(C.table(confirmed(rest), "confirmed")), "confirmed")
-            label = components(links)
-            break
-    ends = links.select(F.col("a").alias("c")).union(links.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    named = classes.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(ends, "c", "left")
+    # large buckets: groups of those that share classes, compared block by block
+    big = buckets.where(f"size > {BIG}")
+    group = components(big.join(big.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b").distinct()).withColumnRenamed("comp", "g")
+    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
+    cut = group.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("c"), "n").cast("int"))
+    meet = cut.select("g", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("g", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    forest = meet.join(sets, "c").groupBy("g", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+
+    # small ones: pairs, but for those that a group has settled
+    x, y = (buckets.where(f"size <= {BIG}").join(group, "c", "left").select("key", F.col("c").alias(v), F.col("g").alias(f"g{v}"), F.col("n_shingles").alias(f"n{v}")) for v in "ab")
+    close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ga").isNull() | F.col("gb").isNull() | (F.col("ga") != F.col("gb")))
+    some = C.table(x.join(y, "key").where(close).select("a", "b").distinct(), "pairs")
+    links = C.table(confirmed(some).union(forest), "confirmed")
+    label = components(links)
+    named = classes.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     order = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "c", F.col("doc_id").alias("component_id"))).alias("x")
     heads = named.groupBy("comp").agg(order).select("comp", "x.component_id", F.col("x.c").alias("head_rid"))
-    named = named.join(heads, "comp").select("s", "t", "n_shingles", "component_id", "head_rid", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.join(heads, "comp").select("s", "t", "n_shingles", "component_id", "head_rid")
     some = signed.where("n_shingles > 0").select("rid", "doc_id", "n_shingles", "s", "t").join(named, ["s", "t", "n_shingles"])
-    none = signed.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("rid").alias("head_rid"), F.lit(0).cast("long").alias("n_links"))
+    none = signed.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("rid").alias("head_rid"))
     out = some.select(*none.columns).unionByName(none)
-    return out.select("rid", (F.col("rid") == F.col("head_rid")).alias("head"), "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    return out.select("rid", (F.col("rid") == F.col("head_rid")).alias("head"), "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
