@@ -13,6 +13,7 @@ number falls into a range of a pattern's slots: sequence and offset follow witho
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 
@@ -26,52 +27,67 @@ from . import common as C
 CAPACITY = 2048
 END = 0
 #: Words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 700_000
 #: Buckets in which the pieces of a length are ranked.
 BUCKETS = 1024
 
 
+#: How a byte-level BPE of this family splits texts (a fixed value of the public format).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def encoder(tokenizer_path: str):
+    """A function from text to ids for a byte-level BPE file of the library tokenizers.
+
+    Merging is left to tiktoken, with the vocabulary of that file: the ids are the same (tests compare them) at a third
+    of the time. Any other kind of tokenizer is used as it is.
+    """
+    import json
+
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(x for x in range(256) if x not in set(plain))}
+    split = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer"):
+        import tiktoken
+
+        special = {x["content"] for x in spec.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path)
+    t.encode_special_tokens = True
+    return lambda x: t.encode(x, add_special_tokens=False).ids
+
+
 class _Ids(dict):
     """Token ids of a stretch of text that starts with a blank, as little-endian 32-bit words.
 
-    The pattern of a byte-level BPE always splits before a blank that stands between two other characters, so
-    such stretches are independent of each other.
+    The pattern always splits before a blank that stands alone between two other characters, so such stretches
+    are independent of each other.
     """
 
     def __init__(self, tokenizer_path: str):
         super().__init__()
-        if tokenizer_path.endswith(".json"):
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(tokenizer_path)
-            t.encode_special_tokens = True
-            self.encode = lambda x: t.encode(x, add_special_tokens=False).ids
-        else:
-            raise ValueError("a tokenizer file of the library tokenizers (.json) is expected")
+        self.encode = encoder(tokenizer_path)
 
     def __missing__(self, stretch: str) -> bytes:
         out = np.array(self.encode(stretch), "<u4").tobytes()
-        if len(stretch) < 64:
-            if len(self) >= CACHE:
-                self.clear()
+        if len(self) < CACHE and len(stretch) < 32:
             self[stretch] = out
         return out
 
 
+_touching = re.compile(r" \s|\s ").search
+
+
 def stretches(text: str) -> list[str]:
-    """Splits before each single blank between characters that aren't white space."""
-    if not text:
-        return []
-    head, *rest = text.split(" ")
-    out, now = [], head
-    for x in rest:
-        if x and not x[0].isspace() and now and not now[-1].isspace():
-            out.append(now)
-            now = " " + x
-        else:
-            now += " " + x
-    out.append(now)
-    return out
+    """Splits before each blank; a text with blanks next to other white space stays whole."""
+    if _touching(text) or "\0" in text:
+        return [text]
+    return text.replace(" ", "\0 ").split("\0")
 
 
 def _pieces(path: str, capacity: int):
