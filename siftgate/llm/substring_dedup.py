@@ -9,7 +9,7 @@ windows whose string occurs once are done. Those that are left are tested at twi
 itself is reached or no candidates survive. Longer lengths could not change what is removed.
 
 At each level a batch (what a task has read, up to ``BATCH`` strings) settles its own repeats and sends one row
-for each string, so no key has more rows than there are batches. Strings are told by two digests of 64 bits.
+for each string, so no key has more rows than there are batches. Strings are told by digests of 96 bits.
 
 Cases: null text has no words; fewer words than the window keep everything; repeated rows with one id leave each
 other alone; ids may be null or repeated; columns besides doc_id and text are ignored; an empty table gives no rows.
@@ -180,7 +180,7 @@ def _next(size: int, last: bool):
                 lo, run = (flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "run"))
                 p = np.repeat(lo + at[row] - np.r_[0, np.cumsum(run)[:-1]], run) + np.arange(run.sum())
                 row = np.repeat(row, run)
-                held.append((grams(h, size)[p], check_grams(h, size)[p], doc[i:j][row], rid[i:j][row], p - at[row]))
+                held.append((grams(h, size)[p], check_grams(h, size)[p] >> np.uint64(32), doc[i:j][row], rid[i:j][row], p - at[row]))
                 n += len(p)
                 if n >= BATCH:
                     yield from out(held)
@@ -233,6 +233,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     met = entries.where("ship").repartition(n, "h").withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1 OR known")
     alive = C.table(met.select("rid", "lo", "run").unionByName(entries.where("NOT ship").select("rid", "lo", "run")), "alive")
     C.drop(entries)
+    del entries, met  # else their shuffles stay
+    C.release(docs.sparkSession)
     for size in [x for x in steps[1:]] or steps:
         last = size == window
         asked = alive.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("asked"))
@@ -249,6 +251,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found = C.table(dense.select(F.explode(places).alias("x")).select("x.*"), "alive")
         C.drop(alive)
         alive = found
+        del asked, dense, found
+        C.release(docs.sparkSession)
     runs = alive.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("runs"))
     return d.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, kept binary, spans array<struct<start:long,end:long>>")
 
