@@ -105,7 +105,7 @@ def _sets(size: int):
 
 
 def _compare(percent: int):
-    """Links within (x = y) or between two blocks, as a spanning forest."""
+    """Links within (x = y) or between two blocks, as a spanning forest; between two, one link for each join of their parts."""
 
     def go(table: pa.Table) -> pa.Table:
         c, own, x, y = (table.column(k).to_numpy() for k in ("c", "own", "x", "y"))
@@ -124,8 +124,8 @@ def _compare(percent: int):
             both += part @ part.T
         both = both.astype(np.int64)
         link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-        if x[0] != y[0]:
-            link &= own[:, None] != own[None, :]
+        link = np.triu(link, 1)
+        inner = own[:, None] == own[None, :] if x[0] != y[0] else np.zeros_like(link)
         head = list(range(len(c)))
 
         def find(i):
@@ -134,12 +134,16 @@ def _compare(percent: int):
                 i = head[i]
             return i
 
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(link, 1)), strict=True):
-            p, q = find(int(i)), find(int(j))
-            if p != q:
-                head[q] = p
-                out.append((c[i], c[j]))
+        def unite(links):
+            for i, j in zip(*np.nonzero(links), strict=True):
+                p, q = find(int(i)), find(int(j))
+                if p != q:
+                    head[q] = p
+                    yield c[i], c[j]
+
+        # a block's own task returns the links within it: here they only join what needs no further link
+        list(unite(link & inner))
+        out = list(unite(link & ~inner))
         a, b = zip(*out, strict=True) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

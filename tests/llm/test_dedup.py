@@ -126,3 +126,38 @@ def test_empty_tables(spark):
     e = frame(spark, [])
     for f in (suffix_dedup.suffix_array_dedup, substring_dedup.substring_dedup, minhash_dedup.minhash_dedup, minhash_dedup.one_of_each, line_dedup.line_dedup, line_dedup.dedup_documents):
         assert f(e).collect() == []
+
+
+def test_links_of_blocks_join_the_same_rows_as_all_links():
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    sets = []
+    for _ in range(200):
+        b = rnd.randrange(4) * 1000
+        s = {b + x for x in range(200)}
+        for _ in range(rnd.randrange(45)):
+            s.discard(b + rnd.randrange(200))
+            s.add(10**6 + rnd.randrange(10**6))
+        sets.append(s)
+    own = [rnd.randrange(4) for _ in sets]
+
+    def parts(links):
+        name = list(range(len(sets)))
+        for a, b in links:
+            name = [name[a] if x == name[b] else x for x in name]
+        return len(set(name))
+
+    def near(a, b):
+        both = len(sets[a] & sets[b])
+        return 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+
+    every = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if near(i, j)}
+    got = set()
+    for x in range(4):
+        for y in range(x, 4):
+            ids = [i for i in range(len(sets)) if own[i] in (x, y)]
+            cols = {"c": ids, "own": [own[i] for i in ids], "x": [x] * len(ids), "y": [y] * len(ids), "shingles": pa.array([sorted(sets[i]) for i in ids], pa.list_(pa.int64()))}
+            t = minhash_dedup._compare(80)(pa.table(cols))
+            got |= {(min(p), max(p)) for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)}
+    assert got <= every and len(got) == len(sets) - parts(every) and parts(got) == parts(every)
