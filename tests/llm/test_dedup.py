@@ -160,4 +160,5 @@ def test_links_of_blocks_join_the_same_rows_as_all_links():
             cols = {"c": ids, "own": [own[i] for i in ids], "x": [x] * len(ids), "y": [y] * len(ids), "shingles": pa.array([sorted(sets[i]) for i in ids], pa.list_(pa.int64()))}
             t = minhash_dedup._compare(80)(pa.table(cols))
             got |= {(min(p), max(p)) for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)}
-    assert got <= every and len(got) == len(sets) - parts(every) and parts(got) == parts(every)
+    assert got <= every and parts(got) == parts(every)
+    assert len(got) < len(every)  # not a forest of the whole: pairs of blocks don't know of each other
