@@ -69,5 +69,35 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
         rest = F.slice("frame", F.col("slot") + 1, F.greatest(F.size("frame") - F.col("slot"), F.lit(0)))
         return F.array_join(F.concat(F.slice("frame", 1, F.col("slot")), F.array(c), rest), " ")
 
+    px, py = T.token_set(F.col("x")), T.token_set(F.col("y"))
+    j = j.withColumn("host_set", F.size(T.token_set(F.array_join("frame", " ")))).withColumn("shared", F.size(F.array_intersect(px, py))).withColumn("either", F.size(F.array_union(px, py)))
     j = j.withColumn("text_a", spliced("x")).withColumn("text_b", spliced("y")).withColumn("payload_ws", T.ws_count(F.col("x")))
-    return j.select("item_id", "lang", "bin", "position", "slot", "pair", "text_a", "text_b", "payload_ws", T.jaccard(F.col("text_a"), F.col("text_b")).alias("score"))
+    return j.select("item_id", "lang", "bin", "position", "slot", "pair", "text_a", "text_b", "payload_ws", "host_set", "shared", "either", T.jaccard(F.col("text_a"), F.col("text_b")).alias("score"))
+
+
+def first_clean(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
+    """``item_id, lang, r, doc_id``: of each anchor's drawn hosts the first that holds neither of its payloads."""
+    j = draw(a, docs, seed).join(a.select("item_id", T.fold(F.col("orig")).alias("x"), T.fold(F.col("affirm")).alias("y")), "item_id")
+    j = j.join(hosts(docs).select("doc_id", T.fold(F.col("text")).alias("body")), "doc_id")
+    clean = j.where(~F.col("body").contains(F.col("x")) & ~F.col("body").contains(F.col("y")))
+    return clean.groupBy("item_id", "lang").agg(F.min("r").alias("r"), F.min_by("doc_id", "r").alias("doc_id"))
+
+
+def native_windows(found: DataFrame, bins: list[int]) -> DataFrame:
+    """Words around a payload where it stands in its own text, for ``found(item_id, doc_id, body, item, payload)``.
+
+    The window has the bin's words without the payload; a share by position lies before it. What one side lacks the
+    other gives; ``n_before`` and ``n_after`` are null where both together lack words, or payload or item isn't there."""
+    at, inner = T.find_ci(F.col("body"), F.col("item")), T.find_ci(F.col("item"), F.col("payload"))
+    d = found.withColumn("start", F.when((at > 0) & (inner > 0), at + inner - 1))
+    d = d.withColumn("before", T.ws_tokens(F.substring("body", F.lit(1), F.col("start") - 1))).withColumn("after", T.ws_tokens(F.substring("body", F.col("start") + F.length("payload"), F.length("body"))))
+    pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
+    d = d.withColumn("bin", F.explode(F.array(*map(F.lit, bins)))).select("*", pos).select("*", "p.*")
+    room = (T.budget(F.col("bin")) - T.ws_count(F.col("payload"))).cast("int")
+    d = d.withColumn("room", room).where("room >= 0")
+    nb = F.least(F.bround(F.col("q") * F.col("room"), 0).cast("int"), F.size("before"))
+    d = d.withColumn("nb", nb).withColumn("na", F.least(F.col("room") - F.col("nb"), F.size("after")))
+    d = d.withColumn("nb", F.least(F.col("room") - F.col("na"), F.size("before")))
+    fits = F.col("start").isNotNull() & (F.col("nb") + F.col("na") == F.col("room"))
+    text = F.concat_ws(" ", F.slice("before", F.size("before") - F.col("nb") + 1, F.col("nb")), F.col("payload"), F.slice("after", F.lit(1), F.col("na")))
+    return d.select("item_id", "doc_id", "bin", "position", F.when(fits, F.col("nb")).alias("n_before"), F.when(fits, F.col("na")).alias("n_after"), F.when(fits, text).alias("text"))

@@ -43,3 +43,17 @@ def permutation(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed
     sums = r.withColumn("k", rank).crossJoin(n.select("n_pos")).where("k <= n_pos").groupBy("rep").agg(F.sum("x6").alias("t"))
     far = lambda c: F.abs(F.col(c) * F.col("n") - F.col("total") * F.col("n_pos"))
     return sums.crossJoin(n).groupBy("n_pos").agg(F.count_if(far("t") >= far("s")).alias("hits")).select("n_pos", "hits", F.round((F.col("hits") + 1) / (reps + 1), 9).alias("p_value"))
+
+
+def median_gap(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed: str, low: int, high: int) -> DataFrame:
+    """``point, low, high`` of the difference of the classes' medians. Each class is drawn from itself; the bounds are the
+    ``low``-th and ``high``-th smallest replicate. A unit's draws are its frequency in the median."""
+    sides = []
+    for tag in (True, False):
+        side = df.where(F.col(positive) == F.lit(tag))
+        w = draws(side, unit, reps, seed)
+        sides.append((side.agg(F.median(x).alias(f"p{int(tag)}")), side.join(w, unit).groupBy("rep").agg(F.percentile(x, F.lit(0.5), F.col("w")).alias(f"m{int(tag)}"))))
+    (p1, m1), (p0, m0) = sides
+    gaps = m1.join(m0, "rep").agg(F.array_sort(F.collect_list(F.col("m1") - F.col("m0"))).alias("g"))
+    at = lambda i: F.round(F.try_element_at("g", F.lit(i)), 6)
+    return gaps.crossJoin(p1).crossJoin(p0).select(F.round(F.col("p1") - F.col("p0"), 6).alias("point"), at(low).alias("low"), at(high).alias("high"))

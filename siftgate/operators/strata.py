@@ -28,28 +28,37 @@ def stratified_auroc(df: DataFrame, feature: str, score: str, positive, closed:
 
 
 def caliper_pairs(df: DataFrame, cell: str, feature: str, positive: str, order: str, width: float = 0.05) -> DataFrame:
-    """Greedy one-to-one matches within each cell: each positive row, in ``order``, takes the nearest free negative row
-    within ``width``. A cell is a bounded audit sample that fits in a task."""
+    """``cell, a, b, gap``: greedy one-to-one matches within each cell. Both classes are walked in the order of the
+    feature (ties by ``order``); heads within ``width`` of each other match, otherwise the lower head is passed over.
+
+    The walk depends on every match before it, hence a task for each cell: cells are bounded audit samples."""
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
-        free = rows[~rows[positive]].sort_values([feature, order])
-        used, values, out = set(), free[feature].to_numpy(), []
-        keys = free[order].to_numpy()
-        for _, r in rows[rows[positive]].sort_values(order).iterrows():
-            near = abs(values - r[feature])
-            best = None
-            for i in near.argsort(kind="stable"):
-                if near[i] > width:
-                    break
-                if i not in used:
-                    best = i
-                    break
-            if best is not None:
-                used.add(best)
-                out.append((r[cell], r[order], keys[best], abs(values[best] - r[feature])))
-        return pd.DataFrame(out, columns=["cell", "a", "b", "gap"])
+        rows = rows.sort_values([feature, order])
+        hits, rest = rows[rows[positive]], rows[~rows[positive]]
+        x, y = hits[feature].tolist(), rest[feature].tolist()
+        took, i, j = [], 0, 0
+        while i < len(x) and j < len(y):
+            gap = x[i] - y[j]
+            if abs(gap) <= width:
+                took.append((i, j, abs(gap)))
+            i, j = i + (gap <= width), j + (gap >= -width)
+        a, b = hits[order].to_numpy()[[t[0] for t in took]], rest[order].to_numpy()[[t[1] for t in took]]
+        return pd.DataFrame({"cell": rows[cell].iloc[0], "a": a, "b": b, "gap": [t[2] for t in took]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.groupBy(cell).applyInPandas(match, f"cell {kinds[cell]}, a {kinds[order]}, b {kinds[order]}, gap double")
+    d = df.where(F.col(feature).isNotNull() & F.col(positive).isNotNull() & F.col(order).isNotNull() & F.col(cell).isNotNull()).select(cell, feature, positive, order)
+    return d.groupBy(cell).applyInPandas(match, f"cell {kinds[cell]}, a {kinds[order]}, b {kinds[order]}, gap double")
+
+
+#: Below so many matches a caliper AUROC is not defined.
+LEAST_MATCHES = 30
 
 
+def caliper_auroc(df: DataFrame, cell: str, feature: str, score: str, positive: str, order: str, width: float = 0.05) -> DataFrame:
+    """``matched, auroc`` over the matched rows alone; null below ``LEAST_MATCHES`` matches."""
+    m = caliper_pairs(df, cell, feature, positive, order, width)
+    both = m.select("cell", F.explode(F.array("a", "b")).alias(order))
+    kept = df.join(both.withColumnRenamed("cell", cell), [cell, order], "left_semi")
+    a = scoring.auroc(kept, [], score, F.col(positive))
+    return a.select(F.coalesce("n_pos", F.lit(0)).alias("matched"), F.when(F.col("n_pos") >= LEAST_MATCHES, F.col("auroc")).alias("auroc"))

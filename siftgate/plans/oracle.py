@@ -148,3 +148,64 @@ SQL = {
     "ext_sessions": "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS n FROM s GROUP BY user_id, session",
     "ext_grouping_sets": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice) / 1000, 2) AS total_k FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
 }
+
+MATCH = f"""vq AS (SELECT vec_id_a AS c, vec_id_b, same, cos, feature AS f, row_number() OVER (PARTITION BY vec_id_a, same ORDER BY feature, vec_id_b) AS k FROM vp),
+wk AS (SELECT c, 1::BIGINT AS i, 1::BIGINT AS j FROM vq GROUP BY c UNION ALL
+ SELECT w.c, i + (a.f - b.f <= 0.05)::INT, j + (a.f - b.f >= -0.05)::INT FROM wk w JOIN vq a ON a.c = w.c AND NOT a.same AND a.k = w.i JOIN vq b ON b.c = w.c AND b.same AND b.k = w.j),
+mt AS (SELECT a.cos AS x, b.cos AS y FROM wk w JOIN vq a ON a.c = w.c AND NOT a.same AND a.k = w.i JOIN vq b ON b.c = w.c AND b.same AND b.k = w.j WHERE abs(a.f - b.f) <= 0.05),
+mr AS (SELECT x AS cos, true AS pos FROM mt UNION ALL SELECT y, false FROM mt)"""
+MATCHED = f"WITH RECURSIVE {VP}, {MATCH}, {ranked('mr', 'cos', 'pos')}"
+SQL["caliper_match_auroc"] = f"{MATCHED} SELECT coalesce(n_pos, 0) AS matched, CASE WHEN n_pos >= 30 THEN round(u2 / (2.0 * n_pos * n_neg), 9) END AS auroc FROM r"
+SQL["artifact_share"] = f"""{MATCHED}, nv AS (SELECT sum(p * (2 * h + q))::DOUBLE / (2.0 * sum(p) * sum(q)) AS a FROM (SELECT *, coalesce(sum(q) OVER (ORDER BY cos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM (SELECT cos, sum((NOT same)::INT) AS p, sum(same::INT) AS q FROM vp GROUP BY cos))),
+cp AS (SELECT CASE WHEN n_pos >= 30 THEN u2 / (2.0 * n_pos * n_neg) END AS b FROM r) SELECT round(a, 9) AS naive, round(b, 9) AS caliper, round(a - b, 9) AS share FROM nv, cp"""
+SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+SQL["native_window"] = f"""WITH f AS (SELECT item_id, doc_id, {SQUEEZE.format('d.text')} AS body, {SQUEEZE.format('b.text')} AS item FROM benchmark b JOIN documents d ON contains({FOLD.format('d.text')}, {FOLD.format('b.text')})),
+p AS (SELECT *, list_last(list_filter(string_split(regexp_replace(item, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) AS payload FROM f),
+s AS (SELECT *, strpos(lower(body), lower(item)) + strpos(lower(item), lower(payload)) - 1 AS start FROM p),
+w AS (SELECT *, {ws('left(body, start - 1)')} AS before, {ws('substr(body, start + length(payload))')} AS after, len({ws('payload')}) AS k FROM s),
+g AS (SELECT w.*, bin, position, q, (ceil(bin / 1.3) - k)::INT AS room FROM w, unnest([64, 96, 128, 256]) u(bin), (VALUES ('early', 0.0), ('middle', 0.5), ('late', 1.0)) v(position, q) WHERE ceil(bin / 1.3) >= k),
+h AS (SELECT *, least(round_even(q * room, 0)::INT, len(before)) AS nb0 FROM g), i AS (SELECT *, least(room - nb0, len(after)) AS na FROM h), j AS (SELECT *, least(room - na, len(before)) AS nb FROM i)
+SELECT item_id, doc_id, bin, position, CASE WHEN nb + na = room THEN nb END AS n_before, CASE WHEN nb + na = room THEN na END AS n_after,
+ CASE WHEN nb + na = room THEN sha256(array_to_string(list_concat(list_concat(before[len(before) - nb + 1:], [payload]), after[1:na]), ' ')) END AS digest FROM j""".replace("\\\\", "\\")
+SQL["first_clean_host"] = f"WITH {ANCHORS}, {HOSTS}, cl AS (SELECT dr.item_id, dr.lang, r, dr.doc_id FROM dr JOIN an USING (item_id) JOIN documents d ON d.doc_id = dr.doc_id WHERE NOT contains({FOLD.format('d.text')}, {FOLD.format('orig')}) AND NOT contains({FOLD.format('d.text')}, {FOLD.format('affirm')})) SELECT item_id, lang, min(r) AS r, arg_min(doc_id, r) AS doc_id FROM cl GROUP BY item_id, lang"
+FITTED = "m AS (SELECT i.bin AS i, j.bin AS j, (SELECT avg(y) FROM cu k WHERE k.bin BETWEEN i.bin AND j.bin) AS m FROM cu i JOIN cu j ON i.bin <= j.bin), t AS (SELECT k.bin, m.i, max(m) AS top FROM m JOIN cu k ON m.i <= k.bin AND m.j >= k.bin GROUP BY k.bin, m.i), kn AS (SELECT log2(bin) AS x, min(top) AS y FROM t GROUP BY bin)"
+HERMITE = "(2*tt^3 - 3*tt^2 + 1) * yl + (xr - xl) * (tt^3 - 2*tt^2 + tt) * ml + (3*tt^2 - 2*tt^3) * yr + (xr - xl) * (tt^3 - tt^2) * mr".replace("tt", "(((lo + hi) / 2 - xl) / (xr - xl))")
+SQL["level_crossing"] = f"""WITH RECURSIVE {CURVE}, {FITTED}, d AS (SELECT *, (lead(y) OVER (ORDER BY x) - y) / (lead(x) OVER (ORDER BY x) - x) AS r FROM kn), e AS (SELECT *, lag(r) OVER (ORDER BY x) AS l FROM d),
+s AS (SELECT x, y, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN l * r > 0 THEN 2 * l * r / (l + r) ELSE 0 END AS m FROM e),
+iv AS (SELECT lag(x) OVER (ORDER BY x) AS xl, lag(y) OVER (ORDER BY x) AS yl, lag(m) OVER (ORDER BY x) AS ml, x AS xr, y AS yr, m AS mr FROM s), lv AS (SELECT unnest([0.05, 0.1, 0.2, 0.3]::DOUBLE[]) AS level),
+fr AS (SELECT level, (SELECT arg_min(y, x) FROM kn) AS f, (SELECT min(xr) FROM iv WHERE xl IS NOT NULL AND yr <= level) AS knee FROM lv),
+bs AS (SELECT level, 0 AS n, xl, yl, ml, xr, yr, mr, xl AS lo, xr AS hi FROM fr JOIN iv ON xr = knee WHERE f > level UNION ALL
+ SELECT level, n + 1, xl, yl, ml, xr, yr, mr, CASE WHEN {HERMITE} > level THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {HERMITE} > level THEN hi ELSE (lo + hi) / 2 END FROM bs WHERE n < 60)
+SELECT fr.level, CASE WHEN f <= fr.level THEN 1 WHEN knee IS NULL THEN 2 ELSE 0 END AS code, round(2.0 ^ hi, 4) AS crossing FROM fr LEFT JOIN bs ON bs.level = fr.level AND n = 60"""
+_X, _Y = TOK.format("x"), TOK.format("y")
+SQL["overlap_decay"] = f"""WITH {CELLS}, o AS (SELECT bin, (pair = 'flip')::INT::DOUBLE AS flip, {jac('text_a', 'text_b')} AS score, len({TOK.format("array_to_string(frame, ' ')")}) AS s, len(list_intersect({_X}, {_Y})) AS i, len({_X}) + len({_Y}) - len(list_intersect({_X}, {_Y})) AS u FROM c3 WHERE pair IN ('flip', 'faithful')),
+m AS (SELECT bin, median(s) AS sb FROM o GROUP BY bin), p AS (SELECT o.*, sb, (sb + i) / (sb + u) AS pred FROM o JOIN m USING (bin))
+SELECT bin, count(*) AS n, any_value(sb)::DOUBLE AS s_host, CASE WHEN count(*) >= 3 AND stddev(score) > 0 AND stddev(flip) > 0 THEN round(corr(score, flip), 5) END AS observed, CASE WHEN count(*) >= 3 AND stddev(pred) > 0 AND stddev(flip) > 0 THEN round(corr(pred, flip), 5) END AS predicted FROM p GROUP BY bin"""
+
+
+def side(q: int) -> str:
+    """CTEs of one class: rows, draws, medians per replicate."""
+    d = draws(f"x{q}", "doc_id")
+    for name in ("un", "nn", "dw", "dd"):
+        d = d.replace(f"{name} AS", f"{name}{q} AS").replace(f"FROM {name}", f"FROM {name}{q}").replace(f"JOIN {name} ", f"JOIN {name}{q} ").replace(f"FROM un{q}, nn,", f"FROM un{q}, nn{q},").replace(f"{name}.i", f"{name}{q}.i")
+    return f"x{q} AS (SELECT doc_id, round(jaccard, 9) AS x FROM lp WHERE quality = {q}), {d}, m{q} AS (SELECT rep, median(x) AS m FROM (SELECT rep, x, unnest(range(w)) AS _ FROM x{q} JOIN dd{q} USING (doc_id)) GROUP BY rep)"
+
+
+SQL["median_gap_bootstrap"] = f"WITH {LP}, {side(1)}, {side(0)}, g AS (SELECT m1.m - m0.m AS g, row_number() OVER (ORDER BY m1.m - m0.m) AS k FROM m1 JOIN m0 USING (rep)) SELECT round((SELECT median(x) FROM x1) - (SELECT median(x) FROM x0), 6) AS point, round(min(CASE WHEN k = 2 THEN g END), 6) AS low, round(min(CASE WHEN k = 49 THEN g END), 6) AS high FROM g"
+
+
+def bar(name: str, query: str, statistic: str, inside: str, where: str = "true") -> str:
+    return f"SELECT '{name}' AS bar, round({statistic}, 6)::DOUBLE AS statistic, CASE WHEN {statistic} IS NULL THEN 'vacuous' WHEN round({statistic}, 6) {inside} THEN 'pass' ELSE 'fail' END AS verdict FROM ({SQL[query]}) WHERE {where}"
+
+
+SQL["scorecard"] = " UNION ALL ".join([
+    bar("separation", "artifact_share", "naive", ">= 0.75"),
+    bar("separation_matched", "artifact_share", "caliper", ">= 0.75"),
+    bar("artifact", "artifact_share", "share", "BETWEEN -0.05 AND 0.05"),
+    bar("separation_stratified", "stratified_auroc_closed", "auroc", ">= 0.75"),
+    bar("agreement", "cohen_kappa", "kappa", ">= 0.6"),
+    bar("length", "level_crossing", "crossing", ">= 128", "level = 0.1"),
+    bar("chance", "permutation_test", "p_value", "<= 0.05"),
+])
+SQL["ext_stream_windows"] = "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events WHERE ts IS NOT NULL GROUP BY 1, 2"
+SQL["ext_stream_sessions"] = "WITH g AS (SELECT user_id, ts::TIMESTAMP AS ts, event_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n FROM s GROUP BY user_id, k"

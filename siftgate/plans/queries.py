@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import fit, passages, resample, scoring, strata
+from ..operators import diff, fit, passages, resample, scorecard as cards, scoring, strata
 from ..sources.tables import table
+from ..streaming import events as E
 
 THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
 SEED = "20260805"
@@ -107,6 +108,33 @@ def stratified_auroc_closed(spark, d):
     return r.select("strata", F.round("auroc", 6).alias("auroc"))
 
 
+def different_pairs(spark, d) -> DataFrame:
+    return vec_pairs(spark, d).withColumn("different", ~F.col("same"))
+
+
+def caliper_match_auroc(spark, d):
+    """Matches by the feature within each first vector."""
+    r = strata.caliper_auroc(different_pairs(spark, d), "vec_id_a", "feature", "cos", "different", "vec_id_b")
+    return r.select("matched", F.round("auroc", 9).alias("auroc"))
+
+
+def artifact_share(spark, d):
+    """What of the AUROC goes when the classes are matched by the feature."""
+    p = different_pairs(spark, d)
+    naive = scoring.auroc(p, [], "cos", F.col("different")).select(F.col("auroc").alias("naive"))
+    r = strata.caliper_auroc(p, "vec_id_a", "feature", "cos", "different", "vec_id_b")
+    return naive.crossJoin(r).select(F.round("naive", 9).alias("naive"), F.round("auroc", 9).alias("caliper"), F.round(F.col("naive") - F.col("auroc"), 9).alias("share"))
+
+
+def logistic_gate(spark, d):
+    """Fitted on one half of the first vectors, scored on the other."""
+    p = different_pairs(spark, d).withColumn("half", F.col("vec_id_a") % 2)
+    model, scored = fit.logistic(p.where("half = 0"), ["cos", "feature"], "different")
+    w = [round(float(x), 4) for x in model.coefficients]
+    a = scoring.auroc(scored(p).withColumn("fitted", F.round("fitted", 9)), ["half"], "fitted", F.col("different"), lower=False)
+    return a.select("half", F.lit(w[0]).alias("w_cos"), F.lit(w[1]).alias("w_feature"), F.lit(round(model.intercept, 4)).alias("intercept"), F.round("auroc", 6).alias("auroc"))
+
+
 def cell_delta_two_level(spark, d):
     p = vec_pairs(spark, d).groupBy("label_a", "vec_id_a").agg(F.avg(F.when(F.col("same"), F.col("cos"))).alias("s"), F.avg(F.when(~F.col("same"), F.col("cos"))).alias("o"))
     delta = p.where("s IS NOT NULL AND o IS NOT NULL").withColumn("delta", F.col("s") - F.col("o"))
@@ -159,14 +187,29 @@ def sentence_alignment(spark, d):
     return scored.withColumn("r", best).where("r = 1").select(F.col("a").alias("doc_id"), F.col("i").alias("pos"), F.col("j").alias("match"), F.col("jac").alias("jaccard"))
 
 
-def contamination_scan(spark, d):
+def containments(spark, d) -> DataFrame:
     """Benchmark items that documents contain; a shared token of the item's interior leads to candidates."""
-    items = table(spark, d, "benchmark").select("item_id", T.fold(F.col("text")).alias("item"))
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("raw"), T.fold(F.col("text")).alias("item"))
     items = items.withColumn("anchor", T.longest_inner(T.tokens(F.col("item"))))
-    docs = table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("body"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("doc"), T.fold(F.col("text")).alias("body"))
     words = docs.select("doc_id", F.explode(T.token_set(F.col("body"))).alias("anchor"))
-    hits = words.join(items, "anchor").join(docs, "doc_id").where(F.expr("contains(body, item)"))
-    return hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return words.join(items, "anchor").join(docs, "doc_id").where(F.expr("contains(body, item)")).select("item_id", "doc_id", "raw", "doc")
+
+
+def contamination_scan(spark, d):
+    return containments(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def native_window(spark, d):
+    """The last sentence of an item amid the words of the document that holds the item."""
+    found = containments(spark, d).select("item_id", "doc_id", T.squeeze(F.col("doc")).alias("body"), T.squeeze(F.col("raw")).alias("item"))
+    found = found.withColumn("payload", F.element_at(T.sentences(F.col("item")), -1))
+    r = passages.native_windows(found, [64, 96, 128, 256])
+    return r.select("item_id", "doc_id", "bin", "position", "n_before", "n_after", F.sha2("text", 256).alias("digest"))
+
+
+def diff_changed_slots(spark, d):
+    return doc_pairs(spark, d).select("doc_id", diff.changed_slots(F.col("a"), F.col("b")).alias("n_slots"), F.size(T.sentences(F.col("a"))).alias("n_a"), F.size(T.sentences(F.col("b"))).alias("n_b"))
 
 
 def first_occurrence_dedupe(spark, d):
@@ -233,6 +276,10 @@ def splice_stimuli(spark, d):
     return c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
 
 
+def first_clean_host(spark, d):
+    return passages.first_clean(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED).select("item_id", "lang", "r", "doc_id")
+
+
 def position_slot_collisions(spark, d):
     c = cells(spark, d).where("pair = 'flip'").select("item_id", "lang", "bin", "slot", "position")
     return c.groupBy("item_id", "lang", "bin", "slot").agg(F.count("*").alias("n")).where("n > 1").groupBy("bin").agg(F.count("*").alias("n_collisions"))
@@ -260,6 +307,20 @@ def critical_length(spark, d):
     return curve(spark, d).agg(F.min(F.when(F.col("y") < 0.05, F.col("bin"))).alias("first_bin"), F.round(F.min("y"), 6).alias("least"), F.round(F.max("y"), 6).alias("most"))
 
 
+def level_crossing(spark, d):
+    knots = fit.isotonic(curve(spark, d), "bin", "y").select("bin", F.col("fitted").alias("y"))
+    return fit.level_crossing(knots, "bin", "y", [0.05, 0.1, 0.2, 0.3]).select("level", "code", F.round("crossing", 4).alias("crossing"))
+
+
+def overlap_decay(spark, d):
+    """Correlation of score and pair class per bin, as measured and as overlaps with a host of the median size predict it."""
+    c = cells(spark, d).where("pair IN ('flip', 'faithful')").select("bin", (F.col("pair") == "flip").cast("double").alias("flip"), "score", "host_set", "shared", "either")
+    s = c.groupBy("bin").agg(F.median("host_set").alias("s_host"))
+    p = c.join(s, "bin").withColumn("predicted", (F.col("s_host") + F.col("shared")) / (F.col("s_host") + F.col("either")))
+    r = fit.correlation(p, "bin", {"observed": ("score", "flip"), "predicted": ("predicted", "flip")})
+    return r.join(s, "bin").select("bin", "n", "s_host", F.round("observed", 5).alias("observed"), F.round("predicted", 5).alias("predicted"))
+
+
 # agreement
 
 
@@ -310,11 +371,33 @@ def anchor_bootstrap_mean(spark, d):
     return resample.mean_interval(x, "doc_id", "x", reps=50, seed=SEED)
 
 
+def median_gap_bootstrap(spark, d):
+    x = labelled_pairs(spark, d).select("doc_id", (F.col("quality") == 1).alias("pos"), F.round("jaccard", 9).alias("x"))
+    return resample.median_gap(x, "doc_id", "pos", "x", reps=50, seed=SEED, low=2, high=49)
+
+
 def permutation_test(spark, d):
     x = labelled_pairs(spark, d).select("doc_id", (F.col("quality") == 1).alias("pos"), F.round("jaccard", 6).alias("x"))
     return resample.permutation(x, "doc_id", "pos", "x", reps=50, seed=SEED)
 
 
+# verdicts
+
+
+def scorecard(spark, d):
+    """Bars of this build's own choice; a bar without a statistic is vacuous, never passed."""
+    a = artifact_share(spark, d)
+    return cards.scorecard([
+        cards.bar(a, "separation", "naive", low=0.75),
+        cards.bar(a, "separation_matched", "caliper", low=0.75),
+        cards.bar(a, "artifact", "share", low=-0.05, high=0.05),
+        cards.bar(stratified_auroc_closed(spark, d), "separation_stratified", "auroc", low=0.75),
+        cards.bar(cohen_kappa(spark, d), "agreement", "kappa", low=0.6),
+        cards.bar(level_crossing(spark, d).where("level = 0.1"), "length", "crossing", low=128.0),
+        cards.bar(permutation_test(spark, d), "chance", "p_value", high=0.05),
+    ])
+
+
 # vectors
 
 
@@ -368,6 +451,15 @@ def ext_grouping_sets(spark, d):
     return o.groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice") / 1000, 2).alias("total_k"))
 
 
+def ext_stream_windows(spark, d):
+    return E.settled(E.windows(E.source(spark, d))).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+def ext_stream_sessions(spark, d):
+    s = E.settled(E.sessions(E.source(spark, d).where("user_id IS NOT NULL")))
+    return s.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
+
+
 NAMES = """
 auroc_vec_pairs gate_operating_points auroc_by_label auroc_allpairs_check cliffs_delta_jaccard weighted_auroc pairwise_accuracy
 best_threshold threshold_transfer stratified_auroc_open stratified_auroc_closed cell_delta_two_level token_jaccard_pairs
@@ -377,5 +469,7 @@ host_draw shard_parity shard_merge_violations attrition_table constant_cohort sp
 grouping_pooled_position isotonic_curve power_law_fit critical_length cohen_kappa wilson_rates adjudicated_labels noise_ceiling
 confusion_matrix label_cascade_routing cluster_bootstrap_ci anchor_bootstrap_mean permutation_test config_parity_gate cone_floor
 mrl_truncation hyperbolic_distances ext_asof_events ext_sessions ext_grouping_sets
+caliper_match_auroc artifact_share native_window first_clean_host level_crossing overlap_decay logistic_gate diff_changed_slots
+scorecard median_gap_bootstrap ext_stream_windows ext_stream_sessions
 """.split()
 QUERIES = {n: globals()[n] for n in NAMES}
