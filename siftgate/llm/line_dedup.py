@@ -1,13 +1,15 @@
-"""Line dedup: multi-line chunks that repeat anywhere in the table are removed but for their first place. Native.
+"""Line dedup: runs of two lines or more that repeat anywhere in the table are removed but for their first place. Native.
 
-Chunks are cut by content: a rolling hash runs over each line's hash and that of the line before; a boundary lies
-behind a line whose rolling hash is less than its neighbours'. So boundaries follow from the lines around them,
-shift along with inserted lines, and every chunk has two lines at least (a text of one line has none).
+Every pair of neighbouring lines is looked up, so a shared passage is found however short it is and whatever stands
+around it: a run of lines repeats just where all of its pairs do. Removed are the lines of each pair that isn't the
+first of its kind; a removed chunk is a stretch of such lines. A pair that overlaps its own first place (a line three
+times in a row) is no repeat of it. So each distinct line keeps a place; but where two repeated passages share a line
+in the first place of one of them, that line stays only in its own first place (as the words of op2 do).
 
-Only chunk hashes are shuffled at first. Of hashes that repeat, the chunks' texts are grouped and joined as strings,
-so bytes decide, not the hash. The first place is that of the smallest doc_id (null last), then the first in the text.
+Only digests are shuffled, 128 bits of each pair's SHA-256: they decide, not bytes. The first place is that of the
+smallest doc_id (null last), then the first in the text.
 
-Cases: a null text stays null; empty texts, single lines and chunks without a word stay; repeated rows are repeats of
+Cases: a null text stays null; empty texts, single lines and pairs without a word stay; repeated rows are repeats of
 each other (the first stays); ids may be null or repeated; extra columns are kept by :func:`dedup_documents`; an
 empty table gives no rows.
 """
@@ -19,47 +21,35 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Lines, their hashes, rolling hashes, last line of each chunk. Lambdas bind each of them once.
-CHUNKS = """
-transform(array(split(coalesce(text, ''), '\\n')), ls ->
- transform(array(transform(ls, l -> xxhash64(l))), hs ->
-  transform(array(transform(hs, (h, i) -> xxhash64(h, hs[greatest(i - 1, 0)]))), rs ->
-   transform(array(filter(sequence(0, size(ls) - 1), i -> i = size(ls) - 1 OR
-      (i >= 1 AND i < size(ls) - 2 AND rs[i] < rs[i - 1] AND rs[i] < rs[i + 1]))), es ->
-    transform(es, (e, k) -> array_join(slice(ls, if(k = 0, 0, es[greatest(k - 1, 0)] + 1) + 1, e - if(k = 0, -1, es[greatest(k - 1, 0)])), '\\n'))
-   )[0])[0])[0])[0]
-"""
-#: Chunks that may go: of two lines or more, with a word.
 WORD = r"[^\\x20\\x09-\\x0D]"
-FIT = f"contains(c, '\\n') AND c RLIKE '{WORD}'"
+#: Place and digest of each pair of lines with a word. Lambdas bind the lines and their tests once.
+PAIRS = f"""
+transform(array(split(text, '\\n')), ls -> transform(array(transform(ls, l -> l RLIKE '{WORD}')), ws ->
+ transform(filter(sequence(0, size(ls) - 1), i -> i < size(ls) - 1), i -> if(ws[i] OR ws[i + 1], struct(i, substring(unhex(sha2(concat(ls[i], '\\n', ls[i + 1]), 256)), 1, 16) AS g), NULL))
+)[0])[0]
+"""
 
 
 def line_dedup(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document ``doc_id, text``, the columns named in ``carry``, ``removed`` (numbers of the removed chunks),
-    ``n_removed_lines`` and ``text_before``."""
+    """Per document ``doc_id, text``, the columns named in ``carry``, ``removed`` (the first line, from 0, of each removed
+    chunk), ``n_removed_lines`` and ``text_before``."""
     d = C.keyed(docs, *carry)
-    chunks = F.expr(CHUNKS)
-    hashes = F.expr(f"transform(chunks, (c, k) -> if({FIT}, struct(k AS k, xxhash64(c) AS h), NULL))")
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "rid", "x.i")
     # explode of an array that a projection of its own has made: it is computed once for each row
-    each = d.where("contains(text, '\n')").select("rid", chunks.alias("chunks")).select("rid", F.explode(hashes).alias("x")).where("x IS NOT NULL").select("rid", "x.k", "x.h")
-    each = C.table(each, "chunks")
-    again = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    asked = each.join(again, "h").groupBy("rid").agg(F.collect_list("k").alias("ks"))
-    bodies = d.join(asked, "rid").select("rid", "doc_id", chunks.alias("chunks"), "ks")
-    bodies = bodies.select("rid", "doc_id", F.explode(F.transform("ks", lambda k: F.struct(k.alias("k"), F.col("chunks")[k].alias("body")))).alias("x")).select("rid", "doc_id", "x.k", "x.body")
-    bodies = C.table(bodies, "bodies")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "rid", "k")
-    first = bodies.groupBy("body").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("body", "first")
-    gone = bodies.join(first, "body").where((F.col("rid") != F.col("first.rid")) | (F.col("k") != F.col("first.k")))
-    gone = C.table(gone.groupBy("rid").agg(F.collect_list("k").alias("gone")), "gone")
-    C.drop(each, bodies)
-    out = d.join(gone, "rid", "left").select("doc_id", "text", *carry, "gone", F.when(F.col("gone").isNotNull(), chunks).alias("chunks"))
+    each = d.where("contains(text, '\n')").select("rid", "doc_id", F.expr(PAIRS).alias("pairs")).select("rid", "doc_id", F.explode("pairs").alias("x")).where("x IS NOT NULL")
+    each = C.table(each.select("x.g", place.alias("at")), "pairs")
+    first = each.groupBy("g").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    gone = each.join(first, "g").where("at.rid <> first.rid OR at.i > first.i + 1")
+    gone = C.table(gone.groupBy(F.col("at.rid").alias("rid")).agg(F.collect_list("at.i").alias("gone")), "gone")
+    C.drop(each)
+    # one plan at every size: what is gone may be small enough to broadcast, the texts never are
+    out = d.join(gone.hint("merge"), "rid", "left").select("doc_id", "text", *carry, F.expr("array_sort(array_union(gone, transform(gone, i -> i + 1)))").alias("gone"), F.when(F.col("gone").isNotNull(), F.split("text", "\n")).alias("lines"))
     return out.select(
         "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(filter(chunks, (c, k) -> NOT array_contains(gone, k)), '\n')")).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\n')")).alias("text"),
         *carry,
-        F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))).alias("removed"),
-        F.coalesce(F.expr("aggregate(filter(chunks, (c, k) -> array_contains(gone, k)), 0, (a, c) -> a + size(split(c, '\n')))"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(F.expr("array_except(gone, transform(gone, i -> i + 1))"), F.array().cast("array<int>")).alias("removed"),
+        F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed_lines"),
         F.col("text").alias("text_before"),
     )
 
