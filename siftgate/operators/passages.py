@@ -10,7 +10,6 @@ from ..functions import text as T
 # Fixed values.
 BINS = [64, 96, 128, 256, 512, 1024, 2048, 4096]
 POSITIONS = [("early", 0.0), ("middle", 0.5), ("late", 1.0)]
-LONGEST = 1024
 KEPT = 4
 
 
@@ -38,9 +37,19 @@ def cohort(a: DataFrame) -> DataFrame:
     return eligible(a).groupBy("item_id").agg(F.bool_and("fits").alias("all_fit")).where("all_fit").select("item_id")
 
 
+def reached(docs: DataFrame) -> DataFrame:
+    """``doc_id, lang, text, reach``: the longest bin that a document has enough words for (null: none)."""
+    d = docs.select("doc_id", "lang", "text", T.ws_count(F.col("text")).alias("n"))
+    reach = F.greatest(*[F.when(F.col("n") >= T.budget(F.lit(b)), F.lit(b)) for b in BINS])
+    return d.select("doc_id", "lang", "text", reach.alias("reach"))
+
+
 def hosts(docs: DataFrame) -> DataFrame:
-    """Documents with enough words for the longest bin in use; domain: language."""
-    return docs.where(T.ws_count(F.col("text")) >= F.ceil(F.lit(LONGEST) / F.lit(1.3))).select("doc_id", "lang", "text")
+    """Documents with enough words for the longest bin that any of their domain (language) reaches: one host serves all
+    of a domain's bins, so lengths are never compared across hosts."""
+    d = reached(docs)
+    most = d.groupBy(F.col("lang").alias("domain")).agg(F.max("reach").alias("most"))
+    return d.join(F.broadcast(most), F.expr("lang <=> domain AND reach = most")).select("doc_id", "lang", "text", "reach")
 
 
 def draw(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
@@ -57,8 +66,8 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     The frame is the host's first words, as many as the budget leaves; the payload goes in at a share of the frame.
     """
     first = draw(a, docs, seed).where("r = 1").select("item_id", "lang", "doc_id")
-    e = eligible(a).where(F.col("fits") & (F.col("bin") <= LONGEST)).select("item_id", "bin", "longest", "orig", "para", "affirm", "scope")
-    j = e.join(first, "item_id").join(hosts(docs).select("doc_id", T.ws_tokens(F.col("text")).alias("host")), "doc_id")
+    e = eligible(a).where("fits").select("item_id", "bin", "longest", "orig", "para", "affirm", "scope")
+    j = e.join(first, "item_id").join(hosts(docs).select("doc_id", "reach", T.ws_tokens(F.col("text")).alias("host")), "doc_id").where("bin <= reach")
     j = j.withColumn("frame", F.slice("host", 1, (T.budget(F.col("bin")) - F.col("longest")).cast("int"))).drop("host")
     pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
     j = j.select("*", pos).select("*", "p.*").withColumn("slot", F.least(F.size("frame"), F.floor(F.col("q") * (F.size("frame") + 1)).cast("int")))
@@ -75,6 +84,13 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     return j.select("item_id", "lang", "bin", "position", "slot", "pair", "text_a", "text_b", "payload_ws", "host_set", "shared", "either", T.jaccard(F.col("text_a"), F.col("text_b")).alias("score"))
 
 
+def unfilled(a: DataFrame, docs: DataFrame) -> DataFrame:
+    """``item_id, lang, bin, position`` of the eligible cells for which a domain has no host with enough words."""
+    most = reached(docs).groupBy("lang").agg(F.max("reach").alias("most"))
+    u = eligible(a).where("fits").crossJoin(F.broadcast(most)).where("most IS NULL OR bin > most")
+    return u.select("item_id", "lang", "bin", F.explode(F.array(*[F.lit(n) for n, _ in POSITIONS])).alias("position"))
+
+
 def first_clean(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     """``item_id, lang, r, doc_id``: of each anchor's drawn hosts the first that holds neither of its payloads."""
     j = draw(a, docs, seed).join(a.select("item_id", T.fold(F.col("orig")).alias("x"), T.fold(F.col("affirm")).alias("y")), "item_id")

@@ -204,7 +204,7 @@ def native_window(spark, d):
     """The last sentence of an item amid the words of the document that holds the item."""
     found = containments(spark, d).select("item_id", "doc_id", T.squeeze(F.col("doc")).alias("body"), T.squeeze(F.col("raw")).alias("item"))
     found = found.withColumn("payload", F.element_at(T.sentences(F.col("item")), -1))
-    r = passages.native_windows(found, [64, 96, 128, 256])
+    r = passages.native_windows(found, passages.BINS)
     return r.select("item_id", "doc_id", "bin", "position", "n_before", "n_after", F.sha2("text", 256).alias("digest"))
 
 
@@ -272,8 +272,11 @@ def constant_cohort(spark, d):
 
 
 def splice_stimuli(spark, d):
+    """A cell that no host fills is a row without a pair class."""
     c = cells(spark, d)
-    return c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
+    none = passages.unfilled(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"))
+    r = c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
+    return r.unionByName(none, allowMissingColumns=True)
 
 
 def first_clean_host(spark, d):
