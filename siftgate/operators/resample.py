@@ -1,4 +1,7 @@
-"""Resampling with draws from md5, so that any SQL engine repeats them. Replicates are weights, never copies of rows."""
+"""Resampling with draws from md5, so that any SQL engine repeats them. Replicates are weights, never copies of rows.
+
+Each replicate is a row that reads the units' values from one array (broadcast), so draws are never shuffled.
+"""
 
 from __future__ import annotations
 
@@ -8,51 +11,76 @@ from pyspark.sql import functions as F
 from ..functions.text import unit_hash
 from . import scoring
 
+# Counts of the reference.
+BOOTSTRAPS = 10_000
+PERMUTATIONS = 20_000
+
+
+def replicates(values: DataFrame, reps: int) -> DataFrame:
+    """The one row of ``values`` for each ``rep``, dealt over the cores."""
+    spark = values.sparkSession
+    return spark.range(1, reps + 1, 1, min(reps, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "rep").crossJoin(F.broadcast(values))
+
+
+def hits(seed: str, n: Column) -> Column:
+    """The places (from 0) of n draws with replacement out of n units, for the replicate ``rep``."""
+    slots = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    return F.transform(slots, lambda i: F.floor(unit_hash(F.lit(seed), F.col("rep").cast("string"), i.cast("string")) * n).cast("int"))
+
 
-def draws(units: DataFrame, unit: str, reps: int, seed: str) -> DataFrame:
-    """``rep, unit, w``: how often each of the n units is drawn in n draws with replacement."""
-    u = units.select(unit).distinct().withColumn("i", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = u.agg(F.count("*").alias("n"))
-    slots = u.select("i").crossJoin(n).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    hit = F.floor(unit_hash(F.lit(seed), F.col("rep").cast("string"), F.col("i").cast("string")) * F.col("n")).alias("i")
-    return slots.select("rep", hit).groupBy("rep", "i").agg(F.count("*").alias("w")).join(u, "i").select("rep", unit, "w")
+def in_order(unit: str, **values: Column) -> list[Column]:
+    """Aggregates: an array of each of ``values``, in the units' order."""
+    rows = F.array_sort(F.collect_list(F.struct(unit, *[v.alias(k) for k, v in values.items()])))
+    return [rows[k].alias(k) for k in values]
 
 
 def cluster_auroc(df: DataFrame, cluster: str, score: str, positive: Column, reps: int, seed: str) -> DataFrame:
-    """``point, low, high``: AUROC with clusters drawn with replacement; replicates share one table of counts per score."""
-    w = draws(df, cluster, reps, seed)
-    counts = df.groupBy(cluster, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    cells = counts.join(w, cluster).groupBy("rep", score).agg(F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("q")).alias("q"))
-    above = Window.partitionBy("rep").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    a = cells.withColumn("h", F.coalesce(F.sum("q").over(above), F.lit(0))).groupBy("rep").agg(F.try_divide(F.sum(F.col("p") * (2 * F.col("h") + F.col("q"))), 2 * F.sum("p") * F.sum("q")).alias("a"))
+    """``point, low, high``: AUROC with clusters drawn with replacement. A replicate's wins are a sum over pairs of drawn
+    clusters, so the wins of each cluster's positives over each other's negatives are counted once."""
+    cells = df.groupBy(F.col(cluster).alias("c"), F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    each = cells.crossJoin(F.broadcast(df.select(F.col(cluster).alias("o")).distinct())).withColumn("q", F.when(F.col("c") == F.col("o"), F.col("q")).otherwise(0))
+    upto = F.sum("q").over(Window.partitionBy("o").orderBy(F.col("s").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    wins = each.withColumn("w", F.col("p") * (2 * upto - F.sum("q").over(Window.partitionBy("o", "s"))))
+    rows = wins.groupBy("c", "o").agg(F.sum("w").alias("w")).groupBy("c").agg(*in_order("o", w=F.col("w")))
+    sums = cells.groupBy("c").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).join(rows, "c")
+    values = sums.agg(*in_order("c", p=F.col("p"), q=F.col("q"), w=F.col("w")), F.count("*").alias("n"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    r = replicates(values, reps).withColumn("h", hits(seed, F.col("n")))
+    won = total(F.transform("h", lambda i: total(F.transform("h", lambda j: F.get(F.get("w", i), j)))))
+    a = r.select(F.try_divide(won, 2 * total(F.transform("h", lambda i: F.get("p", i))) * total(F.transform("h", lambda i: F.get("q", i)))).alias("a"))
     point = scoring.auroc(df, [], score, positive).select("auroc")
     return a.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.975).alias("hi")).crossJoin(point).select(F.round("auroc", 9).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
 
 
 def mean_interval(df: DataFrame, unit: str, x: str, reps: int, seed: str) -> DataFrame:
-    m = df.join(draws(df, unit, reps, seed), unit).groupBy("rep").agg((F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias("m"))
+    units = df.groupBy(unit).agg(F.sum(x).alias("x"), F.count("*").alias("k"))
+    values = units.agg(*in_order(unit, x=F.col("x"), k=F.col("k")), F.count("*").alias("n"))
+    total = lambda c: F.aggregate("h", F.lit(0.0), lambda a, i: a + F.coalesce(F.get(c, i).cast("double"), F.lit(0.0)))
+    m = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select(F.try_divide(total("x"), total("k")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).crossJoin(df.agg(F.avg(x).alias("p"))).select(F.round("p", 6).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
 
 
 def permutation(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed: str) -> DataFrame:
     """``n_pos, hits, p_value`` for the absolute difference of sums: labels go to the n_pos lowest hashes of each replicate."""
     v = df.withColumn("x6", F.round(F.col(x) * 1_000_000).cast("long"))
-    n = v.agg(F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), F.sum("x6").alias("total"), F.coalesce(F.sum(F.when(F.col(positive), F.col("x6"))), F.lit(0)).alias("s"))
-    r = v.select(unit, "x6").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    rank = F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(unit).cast("string"))), unit))
-    sums = r.withColumn("k", rank).crossJoin(n.select("n_pos")).where("k <= n_pos").groupBy("rep").agg(F.sum("x6").alias("t"))
+    n = v.agg(F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), F.sum("x6").alias("total"), F.coalesce(F.sum(F.when(F.col(positive), F.col("x6"))), F.lit(0)).alias("s"), F.collect_list(F.struct(unit, "x6")).alias("units"))
+    hashed = F.transform("units", lambda u: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), u[unit].cast("string"))), u[unit], u["x6"].alias("x6")))
+    drawn = F.slice(F.array_sort(hashed), F.lit(1), F.col("n_pos").cast("int"))
+    sums = replicates(n, reps).where("n_pos > 0").withColumn("t", F.aggregate(drawn, F.lit(0).cast("long"), lambda a, u: a + F.coalesce(u["x6"], F.lit(0))))
     far = lambda c: F.abs(F.col(c) * F.col("n") - F.col("total") * F.col("n_pos"))
-    return sums.crossJoin(n).groupBy("n_pos").agg(F.count_if(far("t") >= far("s")).alias("hits")).select("n_pos", "hits", F.round((F.col("hits") + 1) / (reps + 1), 9).alias("p_value"))
+    return sums.groupBy("n_pos").agg(F.count_if(far("t") >= far("s")).alias("hits")).select("n_pos", "hits", F.round((F.col("hits") + 1) / (reps + 1), 9).alias("p_value"))
 
 
 def median_gap(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed: str, low: int, high: int) -> DataFrame:
     """``point, low, high`` of the difference of the classes' medians. Each class is drawn from itself; the bounds are the
-    ``low``-th and ``high``-th smallest replicate. A unit's draws are its frequency in the median."""
+    ``low``-th and ``high``-th smallest replicate."""
     sides = []
     for tag in (True, False):
         side = df.where(F.col(positive) == F.lit(tag))
-        w = draws(side, unit, reps, seed)
-        sides.append((side.agg(F.median(x).alias(f"p{int(tag)}")), side.join(w, unit).groupBy("rep").agg(F.percentile(x, F.lit(0.5), F.col("w")).alias(f"m{int(tag)}"))))
+        values = side.groupBy(unit).agg(F.collect_list(x).alias("x")).agg(*in_order(unit, x=F.col("x")), F.count("*").alias("n"))
+        r = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", F.array_sort(F.flatten(F.transform("h", lambda i: F.get("x", i)))).alias("y"))
+        at = lambda k: F.get("y", F.floor(k).cast("int"))
+        sides.append((side.agg(F.median(x).alias(f"p{int(tag)}")), r.select("rep", ((at((F.size("y") - 1) / 2) + at(F.size("y") / 2)) / 2).alias(f"m{int(tag)}"))))
     (p1, m1), (p0, m0) = sides
     gaps = m1.join(m0, "rep").agg(F.array_sort(F.collect_list(F.col("m1") - F.col("m0"))).alias("g"))
     at = lambda i: F.round(F.try_element_at("g", F.lit(i)), 6)

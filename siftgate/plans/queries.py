@@ -366,22 +366,22 @@ def label_cascade_routing(spark, d):
 
 
 def cluster_bootstrap_ci(spark, d):
-    return resample.cluster_auroc(vec_pairs(spark, d), "label_a", "cos", ~F.col("same"), reps=50, seed=SEED)
+    return resample.cluster_auroc(vec_pairs(spark, d), "label_a", "cos", ~F.col("same"), reps=resample.BOOTSTRAPS, seed=SEED)
 
 
 def anchor_bootstrap_mean(spark, d):
     x = labelled_pairs(spark, d).select("doc_id", F.round("jaccard", 9).alias("x"))
-    return resample.mean_interval(x, "doc_id", "x", reps=50, seed=SEED)
+    return resample.mean_interval(x, "doc_id", "x", reps=resample.BOOTSTRAPS, seed=SEED)
 
 
 def median_gap_bootstrap(spark, d):
     x = labelled_pairs(spark, d).select("doc_id", (F.col("quality") == 1).alias("pos"), F.round("jaccard", 9).alias("x"))
-    return resample.median_gap(x, "doc_id", "pos", "x", reps=50, seed=SEED, low=2, high=49)
+    return resample.median_gap(x, "doc_id", "pos", "x", reps=resample.BOOTSTRAPS, seed=SEED, low=250, high=9750)
 
 
 def permutation_test(spark, d):
     x = labelled_pairs(spark, d).select("doc_id", (F.col("quality") == 1).alias("pos"), F.round("jaccard", 6).alias("x"))
-    return resample.permutation(x, "doc_id", "pos", "x", reps=50, seed=SEED)
+    return resample.permutation(x, "doc_id", "pos", "x", reps=resample.PERMUTATIONS, seed=SEED)
 
 
 # verdicts
