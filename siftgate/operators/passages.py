@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 # Fixed values.
 BINS = [64, 96, 128, 256, 512, 1024, 2048, 4096]
-POSITIONS = [("early", 0.0), ("middle", 0.5), ("late", 1.0)]
+#: Midpoints of the first, middle and last tenth of the slots.
+POSITIONS = [("early", 0.05), ("middle", 0.5), ("late", 0.95)]
 KEPT = 4
 
 
@@ -60,15 +61,22 @@ def draw(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     return pairs.withColumn("r", r).where(F.col("r") <= KEPT).select("item_id", "lang", "r", "doc_id")
 
 
+def frame(sents: Column, cut: Column) -> Column:
+    """The sentences as the host has them, of which ``cut`` are the first words; the last may end within a sentence."""
+    k = F.size(cut)
+    last = F.when(T.squeeze(F.get(sents, k - 1)) == F.get(cut, k - 1), F.get(sents, k - 1)).otherwise(F.get(cut, k - 1))
+    return F.when(k > 0, F.concat(F.slice(sents, F.lit(1), F.greatest(k - 1, F.lit(0))), F.array(last))).otherwise(F.slice(cut, 1, 0))
+
+
 def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     """Member texts and lexical score for each anchor, domain, bin, position and pair class.
 
-    The frame is the host's first words, as many as the budget leaves; the payload goes in at a share of the frame.
+    The frame is the host's first sentences, as many words as the budget leaves; the payload goes in between two of them.
     """
     first = draw(a, docs, seed).where("r = 1").select("item_id", "lang", "doc_id")
     e = eligible(a).where("fits").select("item_id", "bin", "longest", "orig", "para", "affirm", "scope")
-    j = e.join(first, "item_id").join(hosts(docs).select("doc_id", "reach", T.ws_tokens(F.col("text")).alias("host")), "doc_id").where("bin <= reach")
-    j = j.withColumn("frame", F.slice("host", 1, (T.budget(F.col("bin")) - F.col("longest")).cast("int"))).drop("host")
+    j = e.join(first, "item_id").join(hosts(docs).select("doc_id", "reach", T.ws_tokens(F.col("text")).alias("host"), T.sentences(F.col("text")).alias("sents")), "doc_id").where("bin <= reach")
+    j = j.withColumn("cut", T.sentences(F.array_join(F.slice("host", 1, (T.budget(F.col("bin")) - F.col("longest")).cast("int")), " "))).withColumn("frame", frame(F.col("sents"), F.col("cut"))).drop("host", "sents", "cut")
     pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
     j = j.select("*", pos).select("*", "p.*").withColumn("slot", F.least(F.size("frame"), F.floor(F.col("q") * (F.size("frame") + 1)).cast("int")))
     kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for n, x, y in (("flip", "orig", "affirm"), ("faithful", "orig", "para"), ("scope", "scope", "affirm"))]), lambda s: s["x"].isNotNull())

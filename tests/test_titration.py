@@ -1,3 +1,7 @@
+import math
+import re
+
+
 from siftgate.operators import passages
 
 SEED = "s"
@@ -18,3 +22,28 @@ def test_all_bins_are_filled_or_reported(spark):
     none = passages.unfilled(a, docs).collect()
     assert {(r.lang, r.bin) for r in none} == {("fr", b) for b in (512, 1024, 2048, 4096)} | {("de", b) for b in passages.BINS}
     assert len(none) == 2 * 12 * 3
+
+
+def _spliced(host, budget, q, payload):
+    """The reference's rule: whole sentences while the words last, the last one cut; slot floor(q * (m + 1))."""
+    frame, used = [], 0
+    for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", host.strip())):
+        w = s.split()
+        frame.append(s if used + len(w) <= budget else " ".join(w[: budget - used]))
+        used += min(len(w), budget - used)
+        if used == budget:
+            break
+    slot = min(len(frame), int(q * (len(frame) + 1)))
+    return slot, " ".join([*frame[:slot], payload, *frame[slot:]])
+
+
+def test_payloads_stand_between_sentences_and_short_frames_collide(spark):
+    # sentences of 60 words, one with a line break: a frame of bin 64 (34 words) is a piece of one of them
+    host = " ".join(("\n" if i == 70 else "") + f"h{i}" + "." * (i % 60 == 59) for i in range(3200))
+    item = " ".join(f"p{i}" for i in range(16))
+    a = passages.anchors(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    cells = passages.titration(a, spark.createDataFrame([(1, "en", host)], "doc_id long, lang string, text string"), SEED).where("pair = 'flip'")
+    got = {(r.bin, r.position): (r.slot, r.text_a) for r in cells.collect()}
+    assert got == {(b, n): _spliced(host, math.ceil(b / 1.3) - 16, q, item) for b in passages.BINS for n, q in (("early", 0.05), ("middle", 0.5), ("late", 0.95))}
+    slots = cells.groupBy("bin", "slot").count().where("count > 1").select("bin").collect()
+    assert 64 in {r.bin for r in slots} and 4096 not in {r.bin for r in slots}
