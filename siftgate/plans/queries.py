@@ -196,8 +196,25 @@ def containments(spark, d) -> DataFrame:
     return words.join(items, "anchor").join(docs, "doc_id").where(F.expr("contains(body, item)")).select("item_id", "doc_id", "raw", "doc")
 
 
+def contaminations(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of each item: ``tier`` (full, partial, none), ``probes`` and ``best_doc`` of the document that holds most of the
+    item's three probes (the smallest id of ties), ``n`` documents that hold all of its text, and the ``first_doc`` of them.
+
+    Candidates share the anchor token of a probe; a probe of three tokens or more can't be missed by that."""
+    items = items.select("item_id", T.fold(F.col("text")).alias("item"))
+    items = items.withColumn("probe", T.probes(F.col("item")))
+    docs = docs.select("doc_id", T.fold(F.col("text")).alias("body"))
+    keys = items.select("item_id", F.explode("probe").alias("probe")).select("item_id", T.anchor_token(F.col("probe")).alias("anchor")).where("anchor <> ''").distinct()
+    words = docs.select("doc_id", F.explode(F.array_distinct(T.ws_tokens(F.col("body")))).alias("anchor"))
+    near = words.join(keys, "anchor").select("item_id", "doc_id").distinct().join(items, "item_id").join(docs, "doc_id")
+    t = near.select("item_id", "doc_id", F.filter(F.array(*[F.when(F.col("body").contains(F.get("probe", F.lit(i))), F.lit(n)) for i, n in enumerate(("first", "middle", "last"))]), lambda x: x.isNotNull()).alias("hit"), F.col("body").contains(F.col("item")).alias("whole"))
+    best = t.where("size(hit) > 0").groupBy("item_id").agg(F.min(F.struct((-F.size("hit")).alias("k"), "doc_id", "hit")).alias("b"), F.count_if("whole").alias("n"), F.min(F.when(F.col("whole"), F.col("doc_id"))).alias("first_doc"))
+    tier = F.when(F.col("b.k") == -3, "full").when(F.col("b").isNotNull(), "partial").otherwise("none").alias("tier")
+    return items.select("item_id").join(best, "item_id", "left").select("item_id", tier, F.coalesce(F.array_join("b.hit", ","), F.lit("")).alias("probes"), F.col("b.doc_id").alias("best_doc"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "first_doc")
+
+
 def contamination_scan(spark, d):
-    return containments(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    return contaminations(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
 def native_window(spark, d):
