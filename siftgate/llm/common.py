@@ -16,11 +16,14 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a new local one."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset a new local one
+    (tests: the master must be local, so that there is one machine only)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="siftgate-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -70,6 +73,21 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return base.select(F.col("doc_id").alias("rid"), *base.columns)
 
 
+def carried(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``doc_id, text`` and the caller's other columns under names of ours, and the expressions that bring all of them back.
+
+    No name of the caller can clash with one that an operator uses, whatever it is."""
+    base = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    rest = {c: f"carried{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    back = [F.col(rest.get(c, c)).alias(c) for c in docs.columns]
+    return docs.select(*base, *[F.col(f"`{c}`").alias(x) for c, x in rest.items()]), back
+
+
+def others(docs: DataFrame) -> list[str]:
+    """Names of the columns that :func:`carried` has given to the caller's own."""
+    return [c for c in docs.columns if c.startswith("carried")]
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

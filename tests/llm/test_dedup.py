@@ -107,8 +107,8 @@ def test_line_dedup(spark):
     assert by[0][0].text == rows[0][1] and not by[0][0].removed
     assert by[10][0].text is None and by[11][0].text == "" and by[12][0].text == "\n\n\n" and by[15][0].text == "single"
     for d in (1, 2, 4):
-        # at most the lines around a boundary of the shared block stay
-        assert sum("shared" in x for x in by[d][0].text.split("\n")) <= 6 and all(f"doc {d} line {i}" in by[d][0].text for i in range(9))
+        # at most lines beside a boundary that is missing at an end of the shared block stay
+        assert sum("shared" in x for x in by[d][0].text.split("\n")) <= 2 and all(f"doc {d} line {i}" in by[d][0].text for i in range(9))
     # the second of two repeated rows loses all of its chunks
     assert sorted(len(r.text) > 100 for r in by[3]) == [False, True]
     again = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in line_dedup.line_dedup(df).collect()}
