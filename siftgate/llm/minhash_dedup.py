@@ -172,10 +172,11 @@ def minhash_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id."""
-    d = C.keyed(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    """``docs`` with one row of each component: that of the smallest doc_id. Other columns are kept, whatever their names."""
+    d, back = C.carried(docs)
+    d = C.keyed(d, *C.others(d))
     heads = near_groups(d, shingle, percent).where("head").select("rid")
-    return d.join(heads, "rid", "left_semi").select(*docs.columns)
+    return d.join(heads, "rid", "left_semi").select(*back)
 
 
 def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:

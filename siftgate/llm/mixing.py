@@ -21,6 +21,8 @@ from . import common as C
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
 SEED = "mix-1"
+#: Rows that a part of a source is meant to hold, 256 parts of a bin at least.
+PART = 1_000_000
 
 
 def _unit(text: Column) -> Column:
@@ -50,36 +52,46 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: str = SEED) -> DataFrame:
-    """``docs(doc_id, source, size)`` with ``source_size, target, copies``: how often the mix takes the row (0: not at all).
+    """``doc_id, source, size, source_size, target, copies`` of ``docs(doc_id, source, size)``: how often the mix takes the
+    row (0: not at all).
 
     A null source is a source of its own, null texts have no words. A source without words gets target 0 and no
-    copies. Repeated rows count each; null ids come first; columns of these names are replaced, other extra
-    columns pass through; an empty table gives no rows. Sources are few: one row each goes through one task.
-    Reruns give the same rows, as order and offsets depend on ids, sizes and the seed alone.
+    copies. Repeated rows count each; null ids come first; other columns are left out but for those that
+    :func:`.common.carried` has renamed; an empty table gives no rows. Sources are few: one row each goes through
+    one task. Reruns give the same rows, as order and offsets depend on ids, sizes and the seed alone.
     """
-    d = docs.drop("source_size", "target", "copies")
-    # bins by the bits of the size, each cut in 256 by id: none holds a large part of a big source
-    d = d.withColumn("_bin", F.length(F.bin("size"))).withColumn("_cut", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
-    d = d.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    cells = d.groupBy("_source", "source", "_bin", "_cut").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    cells = C.table(cells, "cells")
+    d = docs.select("doc_id", "source", "size", *C.others(docs))
+    # bins by the bits of the size, each cut by id in as many parts as hold about PART rows of the table: none holds a
+    # large part of a big source, and none grows with the table
+    n = d.select(F.count("*").alias("n")).first()["n"]
+    digits = max(2, len(f"{n // PART:x}"))
+    d = d.withColumn("bin", F.length(F.bin("size"))).withColumn("cut", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, digits))
+    d = d.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+    cells = C.table(d.groupBy("name", "source", "bin", "cut").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "cells")
     t = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, limit)
-    t = t.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
-    before = F.sum("n").over(Window.partitionBy("_source").orderBy("_bin", "_cut").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("_source", "_bin", "_cut", F.coalesce(before, F.lit(0)).alias("_before")).join(t, "_source")
-    rank = F.row_number().over(Window.partitionBy("_source", "_bin", "_cut").orderBy("size", F.col("doc_id").asc_nulls_first()))
-    d = d.withColumn("_rank", rank).join(cells, ["_source", "_bin", "_cut"])
-    d = d.withColumn("_number", F.col("_before") + F.col("_rank"))
+    t = t.withColumn("name", F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))).drop("source")
+    # prefix sums in two steps: of the bins of a source (one row each), and of the cuts of a bin
+    bins = cells.groupBy("name", "bin").agg(F.sum("n").alias("n"))
+    sofar = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.select("name", "bin", sofar(["name"], "bin").alias("base"))
+    cells = cells.select("name", "bin", "cut", sofar(["name", "bin"], "cut").alias("inner")).join(bins, ["name", "bin"])
+    cells = cells.select("name", "bin", "cut", (F.col("base") + F.col("inner")).alias("before")).join(t, "name")
+    rank = F.row_number().over(Window.partitionBy("name", "bin", "cut").orderBy("size", F.col("doc_id").asc_nulls_first()))
+    d = d.withColumn("rank", rank).join(cells, ["name", "bin", "cut"])
+    number = F.col("before") + F.col("rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _unit(F.concat(F.lit(f"{seed}|"), "_source"))
-    crossed = F.floor(F.col("_number") * rate + offset) - F.floor((F.col("_number") - 1) * rate + offset)
-    return d.withColumn("copies", F.least(crossed.cast("int"), F.lit(int(limit)))).drop("_source", "_bin", "_cut", "_rank", "_before", "_number")
-
-
-def take(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as it is taken."""
-    n = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return mixed.where("copies > 0").withColumn("_copy", n).drop("_copy", "size", "source_size", "target", "copies")
+    offset = _unit(F.concat(F.lit(f"{seed}|"), "name"))
+    crossed = F.floor(number * rate + offset) - F.floor((number - 1) * rate + offset)
+    return d.select("doc_id", "source", "size", *C.others(docs), "source_size", "target", F.least(crossed.cast("int"), F.lit(int(limit))).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs(doc_id, text, source)`` as often as it is taken, with all of its columns."""
+    d, back = C.carried(docs)
+    d = d.withColumn("size", F.size(C.words(F.col("text"))).cast("long")).withColumn("carriedtext", F.col("text"))
+    source = back[docs.columns.index("source")]
+    m = mix(d.withColumn("source", source), weights, limit, seed).where("copies > 0").withColumn("text", F.col("carriedtext"))
+    return m.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*back)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

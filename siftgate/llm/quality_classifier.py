@@ -3,16 +3,17 @@
 Two generative models of hashed word n-grams (single words and pairs, in spaces of their own): the target from
 labelled clean documents, the raw one from all documents. A document's log weight is the sum of the log ratios
 of its n-grams; adding Gumbel noise and keeping the k largest samples k documents without replacement in
-proportion to their weights. Where no k is given it is the number of documents whose key reaches the ``loss``
-quantile of labelled clean documents that had no part in the target model.
+proportion to their weights. Where no k is given it is the least one with which the draw takes all but ``loss`` of
+the labelled clean documents that had no part in the target model (all of them: they are no sample).
 
-The target model and the quantile come from at most ``sample`` labelled clean documents each (the lowest by md5
-of their id: a documented bound). The raw model counts every document. Both models have a fixed number of buckets,
-so what the driver gathers and sends out does not grow.
+The target model is fitted on at most ``sample`` labelled clean documents, every second by md5 of their id (a
+documented bound). The raw model counts every document. Both models have a fixed number of buckets, as hashed n-gram
+models do, so what the driver gathers and sends out is bounded.
 
 Cases: null or empty texts have log weight 0; ids may be null (never labelled) or repeated; labels with nulls are
-not clean, of several for one id the worst counts; without clean labels all log weights are 0 and all documents
-stay; columns besides doc_id and text are ignored; an empty table gives no rows. Ties at the k-th key all stay.
+not clean, of several for one id the worst counts; without clean labels all log weights are 0 and, if no k is given,
+all documents stay; columns besides doc_id and text are kept by :func:`kept_documents`, whatever their names, and ignored
+by :func:`importance_resample`; an empty table gives no rows. Ties at the k-th key all stay.
 """
 
 from __future__ import annotations
@@ -64,16 +65,14 @@ def _count(target: np.ndarray):
     return go
 
 
-def _score(model, held: np.ndarray):
+def _score(model):
     def go(batches):
         ratio = model.value
         for batch in batches:
-            ids = batch.column(0)
             total = np.zeros(batch.num_rows)
             for f, row, i, j in features(batch.column(1)):
                 total[i:j] += np.bincount(row - i, weights=ratio[f], minlength=j - i)
-            mine = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), held) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.record_batch([*batch.columns[:1], *batch.columns[2:], pa.array(total), pa.array(mine)], [batch.schema.names[0], *batch.schema.names[2:], "log_weight", "held"])
+            yield pa.record_batch([*batch.columns, pa.array(total)], [*batch.schema.names, "log_weight"])
 
     return go
 
@@ -85,6 +84,8 @@ def kth_key(keys: DataFrame, k: int) -> float:
         return float("-inf")
     if k <= 0:
         return float("inf")
+    if lo == hi:
+        return lo
     while True:
         if lo == hi:
             return lo
@@ -100,14 +101,19 @@ def kth_key(keys: DataFrame, k: int) -> float:
             k -= r["n"]
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, loss: float = LOSS, sample: int = SAMPLE, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, log_weight, key, kept`` (after the columns named in ``carry``) for ``docs(doc_id, text)``, ``labels(doc_id, quality, toxic)``."""
-    spark = docs.sparkSession
-    clean = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 AND t = 0 AND doc_id IS NOT NULL")
-    ids = [r[0] for r in clean.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(2 * sample).select(F.col("doc_id").cast("long")).collect()]
-    target, held = np.array(ids[::2], np.int64), np.array(ids[1::2], np.int64)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[(F.col(c).alias("_text") if c == "text" else c) for c in carry if c != "doc_id"])
-    counts = base.select("doc_id", "text").mapInArrow(_count(target), "bucket int, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")).toArrow()
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, loss: float = LOSS, sample: int = SAMPLE, seed: str = SEED) -> DataFrame:
+    """``doc_id, log_weight, key, kept`` for ``docs(doc_id, text)``, ``labels(doc_id, quality, toxic)``."""
+    return _resample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, k, loss, sample, seed).drop("text")
+
+
+def _resample(d: DataFrame, labels: DataFrame, k: int | None, loss: float, sample: int, seed: str, text: bool = False) -> DataFrame:
+    """:func:`importance_resample` with the columns named by :func:`.common.carried`, and texts if asked for."""
+    spark = d.sparkSession
+    clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 AND t = 0 AND doc_id IS NOT NULL")
+    # one half of the clean documents can be in the target model, the other stays apart
+    clean = clean.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("half", F.conv(F.substring("h", 32, 1), 16, 10).cast("int") % 2)
+    target = np.array([r[0] for r in clean.where("half = 0").orderBy("h", "doc_id").limit(sample).select("doc_id").collect()], np.int64)
+    counts = d.select("doc_id", "text").mapInArrow(_count(target), "bucket int, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")).toArrow()
     raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = counts.column("bucket").to_numpy()
     raw[at], aim[at] = counts.column("raw").to_numpy(), counts.column("aim").to_numpy()
@@ -117,26 +123,26 @@ def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None
             expected = raw[part] * (aim[part].sum() / raw[part].sum())
             ratio[part] = np.log((aim[part] + PRIOR) / (expected + PRIOR))
     model = spark.sparkContext.broadcast(ratio.astype(np.float32))
-    rest = [c for c in base.columns if c not in ("doc_id", "text")]
-    kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ["doc_id", *rest]) + ", log_weight double, held boolean"
-    scored = base.mapInArrow(_score(model, held), schema)
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+    base = d.select("doc_id", "text", *C.others(d))
+    scored = base.mapInArrow(_score(model), ", ".join(f"{c} {kinds[c]}" for c in base.columns) + ", log_weight double")
+    scored = scored if text else scored.drop("text")
     u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
     scored = C.table(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "weights")
-    if k is not None:
-        cut = kth_key(scored.select("key"), k)
-    else:
-        keys = [r[0] for r in scored.where("held").select("key").limit(sample).collect()]
-        cut = float(np.quantile(keys, loss)) if keys and len(target) else float("-inf")
-    return scored.select("doc_id", *[F.col("_text").alias("text") if c == "_text" else c for c in rest], "log_weight", "key", (F.col("key") >= F.lit(cut)).alias("kept"))
+    if k is None:
+        held = scored.select("doc_id", "key").join(clean.where("half = 1").select("doc_id"), "doc_id", "left_semi").select("key")
+        n = held.count()
+        least = kth_key(held, n - int(n * loss)) if n and len(target) else float("-inf")
+        k = scored.where(F.col("key") >= F.lit(least)).count()
+    return scored.withColumn("kept", F.col("key") >= F.lit(kth_key(scored.select("key"), k)))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    scored = importance_resample(docs, labels, carry=tuple(docs.columns))
-    return scored.where("kept").select(*docs.columns)
+    d, back = C.carried(docs)
+    return _resample(d, labels, k, LOSS, SAMPLE, SEED, text=True).where("kept").select(*back)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    return importance_resample(docs, labels)
+    return importance_resample(docs, labels).select("doc_id", "log_weight", "key", "kept")

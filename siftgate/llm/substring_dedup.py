@@ -253,6 +253,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         alive = found
         del asked, dense, found
         C.release(docs.sparkSession)
+        if not last and alive.isEmpty():
+            break
     runs = alive.groupBy("rid").agg(F.collect_list(F.struct("lo", "run")).alias("runs"))
     return d.join(runs, "rid", "left").select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, kept binary, spans array<struct<start:long,end:long>>")
 
@@ -260,4 +262,4 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     r = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return r.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return r.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), "spans")

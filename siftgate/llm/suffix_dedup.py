@@ -16,7 +16,7 @@ window, where a match decides.
 
 Cases: null text is empty; shorter texts keep everything; repeated rows are repeats of each other; ids may be
 null or repeated; columns besides doc_id and text are ignored; an empty table gives no rows. Memory: about 80
-bytes for each byte of the longest text.
+bytes for each byte of the longest text, and a shard's entries.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from . import windows as K
 LENGTH = 400
 #: Entries of a batch: bounds a task's memory.
 BATCH = 1_000_000
+#: Entries that a shard is meant to hold, all batches together (about 40 bytes each).
+SHARD = 4_000_000
 CHUNK = 1 << 19
 BYTE = np.random.default_rng(20240607).integers(0, 2**64, 256, np.uint64)
 #: Status of an entry: no partner, all windows repeated, partners differ.
@@ -266,7 +268,8 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     d = C.keyed(docs)
     long = d.where(F.octet_length("text") >= length)
     entries = C.table(long.select("rid", "text").mapInArrow(_index(length), ENTRY), "suffixes")
-    n = C.parts(spark)
+    # shards follow the entries, so that a task's family stays within memory at any size
+    n = max(C.parts(spark), -(-entries.where("ship").count() // SHARD))
     scanned = entries.where("ship").select("batch", "core", "block", "status", "rid", "lo", "run").repartition(n, "core").sortWithinPartitions("batch", "core", "block").mapInArrow(_shard, "rid long, lo int, run int, status byte")
     # repeats within a batch are sure, whatever its entry meets; if that is told apart, it stands for all of them
     local = entries.where(f"NOT ship OR status = {FULL}").select("rid", "lo", "run", "status")
@@ -292,4 +295,5 @@ def suffix_array_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     r = suffix_array_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return r.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.octet_length("kept").cast("long")
+    return r.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept.alias("n_kept"), "spans")

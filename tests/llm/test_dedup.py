@@ -38,8 +38,8 @@ def test_substring_dedup(spark, letters, window):
 
 def test_contract_queries(spark, sf):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    assert brute.order(suffix_dedup.op1_suffix_array_dedup(spark, sf).collect()) == brute.order(brute.op1(rows, 400))
-    assert brute.order(substring_dedup.op2_substring_dedup(spark, sf).collect()) == brute.order(brute.op2(rows, 13))
+    assert brute.order(suffix_dedup.op1_suffix_array_dedup(spark, sf).drop("n_kept", "spans").collect()) == brute.order(brute.op1(rows, 400))
+    assert brute.order(substring_dedup.op2_substring_dedup(spark, sf).drop("spans").collect()) == brute.order(brute.op2(rows, 13))
     assert brute.order(minhash_dedup.op8_minhash_dedup(spark, sf).collect()) == brute.order(brute.op8(rows))
 
 
