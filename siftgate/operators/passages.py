@@ -71,15 +71,18 @@ def frame(sents: Column, cut: Column) -> Column:
 def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     """Member texts and lexical score for each anchor, domain, bin, position and pair class.
 
-    The frame is the host's first sentences, as many words as the budget leaves; the payload goes in between two of them.
-    """
-    first = draw(a, docs, seed).where("r = 1").select("item_id", "lang", "doc_id")
-    e = eligible(a).where("fits").select("item_id", "bin", "longest", "orig", "para", "affirm", "scope")
+    The frame is the first clean host's first sentences, as many words as the budget leaves beside ``orig``, so that every
+    member ``a`` has the bin's words exactly; the payload goes in between two sentences. ``scope`` pairs need a scope
+    payload that takes half of the budget at most."""
+    first = first_clean(a, docs, seed).select("item_id", "lang", "doc_id")
+    e = eligible(a).where("fits").select("item_id", "bin", "orig", "para", "affirm", "scope")
     j = e.join(first, "item_id").join(hosts(docs).select("doc_id", "reach", T.ws_tokens(F.col("text")).alias("host"), T.sentences(F.col("text")).alias("sents")), "doc_id").where("bin <= reach")
-    j = j.withColumn("cut", T.sentences(F.array_join(F.slice("host", 1, (T.budget(F.col("bin")) - F.col("longest")).cast("int")), " "))).withColumn("frame", frame(F.col("sents"), F.col("cut"))).drop("host", "sents", "cut")
+    left = (T.budget(F.col("bin")) - T.ws_count(F.col("orig"))).cast("int")
+    j = j.withColumn("cut", T.sentences(F.array_join(F.slice("host", 1, left), " "))).withColumn("frame", frame(F.col("sents"), F.col("cut"))).drop("host", "sents", "cut")
     pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
     j = j.select("*", pos).select("*", "p.*").withColumn("slot", F.least(F.size("frame"), F.floor(F.col("q") * (F.size("frame") + 1)).cast("int")))
-    kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for n, x, y in (("flip", "orig", "affirm"), ("faithful", "orig", "para"), ("scope", "scope", "affirm"))]), lambda s: s["x"].isNotNull())
+    scope = F.when(F.greatest(T.ws_count(F.col("orig")), T.ws_count(F.col("scope"))) <= T.budget(F.col("bin")) / 2, F.col("scope"))
+    kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("pair"), F.col("orig").alias("x"), y.alias("y")) for n, y in (("flip", F.col("affirm")), ("faithful", F.col("para")), ("scope", scope))]), lambda s: s["y"].isNotNull())
     j = j.select("item_id", "lang", "bin", "position", "slot", "frame", F.explode(kinds).alias("k")).select("*", "k.*")
 
     def spliced(c: str):
@@ -92,18 +95,20 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     return j.select("item_id", "lang", "bin", "position", "slot", "pair", "text_a", "text_b", "payload_ws", "host_set", "shared", "either", T.jaccard(F.col("text_a"), F.col("text_b")).alias("score"))
 
 
-def unfilled(a: DataFrame, docs: DataFrame) -> DataFrame:
-    """``item_id, lang, bin, position`` of the eligible cells for which a domain has no host with enough words."""
+def unfilled(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
+    """``item_id, lang, bin, position`` of the eligible cells without a frame: no drawn host is clean, or none has the words."""
     most = reached(docs).groupBy("lang").agg(F.max("reach").alias("most"))
-    u = eligible(a).where("fits").crossJoin(F.broadcast(most)).where("most IS NULL OR bin > most")
+    u = eligible(a).where("fits").crossJoin(F.broadcast(most))  # a row per language
+    u = u.join(first_clean(a, docs, seed).select("item_id", "lang", "doc_id"), ["item_id", "lang"], "left").where("doc_id IS NULL OR most IS NULL OR bin > most")
     return u.select("item_id", "lang", "bin", F.explode(F.array(*[F.lit(n) for n, _ in POSITIONS])).alias("position"))
 
 
 def first_clean(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
-    """``item_id, lang, r, doc_id``: of each anchor's drawn hosts the first that holds neither of its payloads."""
-    j = draw(a, docs, seed).join(a.select("item_id", T.fold(F.col("orig")).alias("x"), T.fold(F.col("affirm")).alias("y")), "item_id")
+    """``item_id, lang, r, doc_id``: of each anchor's drawn hosts the first that holds none of its payloads."""
+    needles = F.array_compact(F.array(*[T.fold(F.col(c)) for c in ("orig", "para", "affirm", "scope")])).alias("needles")
+    j = draw(a, docs, seed).join(a.select("item_id", needles), "item_id")
     j = j.join(hosts(docs).select("doc_id", T.fold(F.col("text")).alias("body")), "doc_id")
-    clean = j.where(~F.col("body").contains(F.col("x")) & ~F.col("body").contains(F.col("y")))
+    clean = j.where(~F.exists("needles", lambda n: F.col("body").contains(n)))
     return clean.groupBy("item_id", "lang").agg(F.min("r").alias("r"), F.min_by("doc_id", "r").alias("doc_id"))
 
 

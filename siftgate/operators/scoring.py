@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 Z = 1.959964
 
 
+#: Cells of a score range in which ranks are counted apart.
+CELLS = 64
+
+
 def rank_counts(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """``by, n_pos, n_neg, u2``: u2 is twice the number of (positive, negative) pairs with the positive score lower, ties as half."""
+    """``by, n_pos, n_neg, u2``: u2 is twice the number of (positive, negative) pairs with the positive score lower, ties as half.
+
+    Scores are counted first; ranges of scores (``CELLS`` to a unit) then sum up apart, beside the sums of the ranges
+    above them. So no task sorts all scores."""
     cells = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    above = Window.partitionBy(*by).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("range", F.floor(F.col(score) * CELLS))
+    above = Window.partitionBy(*by, "range").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("higher", F.coalesce(F.sum("q").over(above), F.lit(0)))
-    return cells.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (2 * F.col("higher") + F.col("q"))).alias("u2"))
+    # within a range: wins over its own negatives, and positives that also win over all of the ranges above
+    sums = cells.groupBy(*by, "range").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (2 * F.col("higher") + F.col("q"))).alias("u"))
+    over = Window.partitionBy(*by).orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("u", F.col("u") + 2 * F.col("p") * F.coalesce(F.sum("q").over(over), F.lit(0)))
+    return sums.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("u").alias("u2"))
 
 
 def auroc(df: DataFrame, by: list[str], score: str, positive: Column, lower: bool = True) -> DataFrame:
@@ -25,10 +37,10 @@ def auroc(df: DataFrame, by: list[str], score: str, positive: Column, lower: boo
 
 
 def gate_rates(df: DataFrame, by: list[str], score: str, positive: Column, thresholds: list[float]) -> DataFrame:
-    """Rates of a gate that fires below a threshold: tpr, tnr, balanced accuracy."""
-    t = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    fires = F.col(score) < F.col("threshold")
-    r = t.groupBy(*by, "threshold").agg(F.avg(F.when(positive, fires.cast("double"))).alias("tpr"), F.avg(F.when(~positive, (~fires).cast("double"))).alias("tnr"))
+    """Rates of a gate that fires below a threshold: tpr, tnr, balanced accuracy. One pass: no row is repeated."""
+    fires = [(F.col(score) < F.lit(t)).cast("double") for t in thresholds]
+    rates = [F.struct(F.lit(t).alias("threshold"), F.avg(F.when(positive, f)).alias("tpr"), F.avg(F.when(~positive, 1 - f)).alias("tnr")) for t, f in zip(thresholds, fires, strict=True)]
+    r = df.groupBy(*by).agg(F.array(*rates).alias("rates")).select(*by, F.explode("rates").alias("x")).select(*by, "x.*")
     return r.withColumn("balanced", (F.col("tpr") + F.col("tnr")) / 2)
 
 

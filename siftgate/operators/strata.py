@@ -14,10 +14,14 @@ STEPS = [i / 10 for i in range(11)]
 def deciles(df: DataFrame, feature: str, closed: bool = False) -> DataFrame:
     """Rows with ``stratum`` 0 to 9. Edges are interpolated percentiles of all rows; half open with the last closed, or
     (closed) both ends belong, so that a row on an edge counts in two strata."""
-    edges = df.agg(F.percentile(feature, F.array(*map(F.lit, STEPS))).alias("e")).select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(F.col("e")[i].alias("lo"), F.col("e")[i + 1].alias("hi")))).alias("stratum", "x")).select("stratum", "x.*")
+    edges = df.agg(F.percentile(feature, F.array(*map(F.lit, STEPS))).alias("edges"))  # one row
     f = F.col(feature)
-    inside = f.between(F.col("lo"), F.col("hi")) if closed else (f >= F.col("lo")) & ((f < F.col("hi")) | ((F.col("stratum") == 9) & (f <= F.col("hi"))))
-    return df.join(edges, inside).drop("lo", "hi")  # ten rows of edges
+
+    def inside(i):
+        lo, hi = F.get("edges", i), F.get("edges", i + 1)
+        return f.between(lo, hi) if closed else (f >= lo) & ((f < hi) | ((i == 9) & (f <= hi)))
+
+    return df.crossJoin(F.broadcast(edges)).withColumn("stratum", F.explode(F.filter(F.sequence(F.lit(0), F.lit(9)), inside))).drop("edges")
 
 
 def stratified_auroc(df: DataFrame, feature: str, score: str, positive, closed: bool = False, least: int = 1) -> DataFrame:

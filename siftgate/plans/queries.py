@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import diff, fit, passages, resample, scorecard as cards, scoring, strata
+from ..operators import diff, fit, pairs, passages, resample, scorecard as cards, scoring, strata
 from ..sources.tables import table
 from ..streaming import events as E
 
@@ -19,11 +19,19 @@ THRESHOLDS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5]
 SEED = "20260805"
 
 
+def embedded(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """``vec_id, label, v`` in double; cut to the first k dimensions if asked for."""
+    v = V.doubles(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", "label", (V.truncated(v, k) if k else v).alias("v"))
+
+
+def pairs_of(e: DataFrame, places: int = 6) -> DataFrame:
+    p = pairs.all_pairs(e)
+    return p.select("vec_id_a", "vec_id_b", "label_a", "label_b", (F.col("label_a") == F.col("label_b")).alias("same"), F.round("dot", places).alias("cos"), F.round("gap", 6).alias("feature"))
+
+
 def vec_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", V.doubles(F.col("embedding")).alias("v"))
-    a, b = (e.select(*[F.col(c).alias(f"{c}_{s}") for c in e.columns]) for s in "ab")
-    p = a.join(b, F.col("vec_id_a") < F.col("vec_id_b"))
-    return p.select("vec_id_a", "vec_id_b", "label_a", "label_b", (F.col("label_a") == F.col("label_b")).alias("same"), V.cosine(F.col("v_a"), F.col("v_b")).alias("cos"), F.round(F.abs(F.col("v_a")[0] - F.col("v_b")[0]), 6).alias("feature"))
+    return pairs_of(embedded(spark, d))
 
 
 def doc_pairs(spark, d) -> DataFrame:
@@ -38,7 +46,7 @@ def labelled_pairs(spark, d) -> DataFrame:
 
 
 def sentences(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.flat_sentences(F.col("text"))).alias("pos", "sent"))
 
 
 # rank statistics
@@ -58,9 +66,17 @@ def auroc_by_label(spark, d):
     return r.select("label_a", "n_pos", "n_neg", "u2", F.round("auroc", 9).alias("auroc"))
 
 
+#: Labels of the subset whose pairs of pairs are formed one by one.
+CHECKED = (0, 1)
+
+
 def auroc_allpairs_check(spark, d):
-    p = vec_pairs(spark, d)
-    return scoring.rank_counts(p, [], "cos", F.col("same"))
+    """Ranks against the definition: every positive pair beside every negative one, on the pairs of two labels."""
+    some = vec_pairs(spark, d).where(F.col("label_a").isin(*CHECKED) & F.col("label_b").isin(*CHECKED))
+    ranked = scoring.auroc(some, [], "cos", F.col("same"), lower=False)
+    pos, neg = some.where("same").select(F.col("cos").alias("p")), some.where("NOT same").select(F.col("cos").alias("q"))
+    plain = pos.join(neg).agg(F.sum(F.expr("CASE WHEN p > q THEN 2 WHEN p = q THEN 1 ELSE 0 END")).alias("u2_by_pairs"))
+    return ranked.crossJoin(plain).select("n_pos", "n_neg", "u2", "u2_by_pairs", (F.col("u2") == F.col("u2_by_pairs")).alias("agree"))
 
 
 def cliffs_delta_jaccard(spark, d):
@@ -162,8 +178,8 @@ def number_multiset_changes(spark, d):
 
 
 def code_primary_flags(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.round(T.alpha_ratio(t), 6).alias("alpha"), F.round(T.code_fraction(t), 6).alias("code"), T.code_primary(t).alias("code_primary"))
+    a, b = F.col("a"), F.col("b")
+    return doc_pairs(spark, d).select("doc_id", F.round(T.alpha_ratio(a), 6).alias("alpha"), F.round(T.code_fraction(a), 6).alias("code"), T.code_primary(a, b).alias("code_primary"))
 
 
 def sentence_counts(spark, d):
@@ -291,7 +307,7 @@ def constant_cohort(spark, d):
 def splice_stimuli(spark, d):
     """A cell that no host fills is a row without a pair class."""
     c = cells(spark, d)
-    none = passages.unfilled(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"))
+    none = passages.unfilled(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED)
     r = c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
     return r.unionByName(none, allowMissingColumns=True)
 
@@ -436,10 +452,11 @@ def cone_floor(spark, d):
 
 
 def mrl_truncation(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", V.truncated(V.doubles(F.col("embedding")), 16).alias("v"))
-    a, b = (e.select(*[F.col(c).alias(f"{c}_{s}") for c in e.columns]) for s in "ab")
-    p = a.join(b, F.col("vec_id_a") < F.col("vec_id_b")).select((F.col("label_a") == F.col("label_b")).alias("same"), F.round(V.dot(F.col("v_a"), F.col("v_b")), 4).alias("cos"))
-    return p.groupBy("same").agg(F.count("*").alias("n"), F.round(F.avg("cos"), 4).alias("mean"))
+    """Pairs of vectors cut to 16 dimensions: how well the classes are still told apart, and their means."""
+    p = pairs_of(embedded(spark, d, 16), 4)
+    a = scoring.auroc(p, [], "cos", F.col("same"), lower=False).select("n_pos", "n_neg", F.round("auroc", 5).alias("auroc"))
+    mean = p.agg(F.avg(F.when(F.col("same"), F.col("cos"))).alias("s"), F.avg(F.when(~F.col("same"), F.col("cos"))).alias("o"))
+    return a.crossJoin(mean).select("n_pos", "n_neg", "auroc", F.round("s", 4).alias("mean_same"), F.round("o", 4).alias("mean_other"))
 
 
 def hyperbolic_distances(spark, d):

@@ -19,7 +19,7 @@ def test_all_bins_are_filled_or_reported(spark):
     assert {(r.doc_id, r.reach) for r in passages.hosts(docs).collect()} == {(1, 4096), (3, 256)}
     got = {(r.lang, r.bin) for r in passages.titration(a, docs, SEED).collect()}
     assert got == {("en", b) for b in passages.BINS} | {("fr", b) for b in (64, 96, 128, 256)}
-    none = passages.unfilled(a, docs).collect()
+    none = passages.unfilled(a, docs, SEED).collect()
     assert {(r.lang, r.bin) for r in none} == {("fr", b) for b in (512, 1024, 2048, 4096)} | {("de", b) for b in passages.BINS}
     assert len(none) == 2 * 12 * 3
 
