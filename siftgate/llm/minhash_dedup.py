@@ -5,11 +5,15 @@ table. Documents that agree in two collections meet in a table, so the work for
 of independent tables. At the least similarity that counts the chance to meet is over 0.9999 (0.999 at 80 percent).
 
 Documents with the same shingle set are one class before anything is paired. Classes that meet in a bucket of up to
-``BIG`` are compared pair by pair. Larger buckets are never paired out: those that share classes form a group, a group is
-cut by hash into blocks of about ``BLOCK`` classes, and each pair of blocks goes to one task, which counts all
-intersections as matrix products and returns a spanning forest of its links only. Links are always confirmed on the
-full sets, and no link between different texts that meet is lost. Components are found by handing on the least id, in
-tables in the shared folder.
+``BIG`` are compared pair by pair. Larger buckets are never paired out. First each of their classes is compared with two
+members only, those of the least and the largest hash; confirmed links give first components. A bucket within one of them is
+settled, which is the fate of nearly all groups of near copies, at a cost that grows with their size and not with its square.
+What is left are buckets that span several components: those that share classes form a group, a group is cut into blocks
+of about ``BLOCK`` classes (large components into blocks of their own, the rest by hash), and each pair of blocks goes to one
+task, which counts all intersections as matrix products and returns a spanning forest of its links only; blocks of one
+component never meet. So a stray class costs a comparison with each member of the bucket, two large components that meet
+cost the product of their sizes: the exact answer needs these. Links are always confirmed on the full sets, and no link
+between different texts that meet is lost. Components are found by handing on the least id, in tables in the shared folder.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle make one;
 repeated rows and ids are documents of their own (rows that share an id share its component id); columns besides
@@ -29,7 +33,7 @@ from .substring_dedup import grams, word_hashes
 
 SHINGLE = 5
 PERCENT = 85
-COLLECTIONS, ROWS = 10, 2
+COLLECTIONS, ROWS = 14, 3
 CHUNK = 1 << 20
 BIG, BLOCK = 32, 128
 _r = np.random.default_rng(11)
@@ -141,7 +145,11 @@ def _compare(percent: int):
                     head[q] = p
                     yield c[i], c[j]
 
-        # a block's own task returns the links within it: here they only join what needs no further link
+        # what is joined already needs no further link, and a block's own task returns the links within it
+        known = table.column("known").to_numpy()
+        first: dict = {}
+        for i, k in enumerate(known.tolist()):
+            head[find(i)] = find(first.setdefault(k, i))
         list(unite(link & inner))
         out = list(unite(link & ~inner))
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -201,19 +209,38 @@ def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return candidates.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    # large buckets: groups of those that share classes, compared block by block
+    near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    x, y = (buckets.where(f"size <= {BIG}").select("key", F.col("c").alias(v), F.col("n_shingles").alias(f"n{v}")) for v in "ab")
+    small = x.join(y, "key").where(F.col("a") < F.col("b"))
+    # large buckets: two members that all others are compared with
     big = buckets.where(f"size > {BIG}")
-    group = components(big.join(big.groupBy("key").agg(F.min("c").alias("b")), "key").select(F.col("c").alias("a"), "b").distinct()).withColumnRenamed("comp", "g")
-    sizes = group.groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("n"))
-    cut = group.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("c"), "n").cast("int"))
-    meet = cut.select("g", "c", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select("g", "c", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    forest = meet.join(sets, "c").groupBy("g", "x", "y").applyInArrow(_compare(percent), "a long, b long")
-
-    # small ones: pairs, but for those that a group has settled
-    x, y = (buckets.where(f"size <= {BIG}").join(group, "c", "left").select("key", F.col("c").alias(v), F.col("g").alias(f"g{v}"), F.col("n_shingles").alias(f"n{v}")) for v in "ab")
-    close = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ga").isNull() | F.col("gb").isNull() | (F.col("ga") != F.col("gb")))
-    some = C.table(x.join(y, "key").where(close).select("a", "b").distinct(), "pairs")
-    links = C.table(confirmed(some).union(forest), "confirmed")
+    by_hash = F.struct(F.xxhash64("c").alias("h"), "c", F.col("n_shingles").alias("n"))
+    stars = big.join(big.groupBy("key").agg(F.array(F.min(by_hash), F.max(by_hash)).alias("m")), "key").select("c", "n_shingles", F.explode("m").alias("m")).where("c <> m.c")
+    stars = stars.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), F.col("n_shingles").alias("na"), F.col("m.n").alias("nb"))
+    some = C.table(small.select(*stars.columns).unionByName(stars).where(near_size).select("a", "b").distinct(), "pairs")
+    links = C.table(confirmed(some), "confirmed")
+
+    # large buckets that span several components: groups of those that share classes, compared block by block
+    if not big.isEmpty():
+        part = components(links)
+        placed = big.select("key", "c").join(part, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+        spans = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min("c").alias("b")).where("least <> most").select("key", "b")
+        spans = C.table(placed.join(spans, "key").select("c", "comp", "b"), "spans")
+        if not spans.isEmpty():
+            group = components(spans.select(F.col("c").alias("a"), "b").distinct()).withColumnRenamed("comp", "g")
+            members = spans.select("c", "comp").distinct().join(group, "c")
+            n = members.groupBy("g", "comp").agg(F.count("*").alias("n"))
+            cut = members.join(n.withColumn("pure", F.col("n") >= BLOCK), ["g", "comp"])
+            sizes = cut.groupBy("g", F.when(F.col("pure"), F.col("comp")).alias("own_comp")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+            cut = cut.withColumn("own_comp", F.when(F.col("pure"), F.col("comp"))).alias("m").join(sizes.alias("s"), F.expr("m.g = s.g AND m.own_comp <=> s.own_comp")).select("m.g", "m.c", "m.comp", "m.own_comp", "blocks")
+            cut = C.table(cut.withColumn("own", F.xxhash64(F.coalesce("own_comp", F.lit(0)), F.col("own_comp").isNull(), F.pmod(F.xxhash64("c"), "blocks"))), "blocks")
+            blocks = cut.select("g", "own", "own_comp").distinct()
+            x, y = (blocks.select("g", F.col("own").alias(v), F.col("own_comp").alias(f"of_{v}")) for v in "xy")
+            meet = x.join(y, "g").where("x <= y AND NOT coalesce(of_x = of_y, false)").select("g", "x", "y")
+            members = cut.select("g", "c", "own", F.col("comp").alias("known"))
+            sides = members.join(meet.withColumn("own", F.col("x")), ["g", "own"]).unionByName(members.join(meet.where("x < y").withColumn("own", F.col("y")), ["g", "own"]))
+            forest = sides.join(sets, "c").select("g", "x", "y", "c", "own", "known", "shingles").groupBy("g", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+            links = C.table(links.union(forest), "all-links")
     label = components(links)
     named = classes.join(label, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     order = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "c", F.col("doc_id").alias("component_id"))).alias("x")

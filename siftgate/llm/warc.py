@@ -217,9 +217,13 @@ TYPES = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.strin
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``page_id, url, html, refers_to``: of equal payloads of ``least`` bytes or more the largest page_id is the response."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("n", F.octet_length("html")).withColumn("sha1", F.when(F.col("n") >= least, F.sha1(F.col("html").cast("binary"))))
-    heads = p.where("sha1 IS NOT NULL").groupBy("sha1", "n").agg(F.max("page_id").alias("head"), F.count("*").alias("c")).where("c > 1").select("sha1", "n", "head")
-    return p.join(heads, ["sha1", "n"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    p = p.withColumn("n", F.octet_length("html"))
+    # short payloads take no part in the join: they stay where they are
+    short = p.where(F.col("n") < least).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    long = p.where(F.col("n") >= least).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
+    heads = long.groupBy("sha1", "n").agg(F.max("page_id").alias("head"), F.count("*").alias("c")).where("c > 1").select("sha1", "n", "head")
+    long = long.join(heads, ["sha1", "n"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
+    return long.unionByName(short)
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:

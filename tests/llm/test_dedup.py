@@ -88,6 +88,34 @@ def test_one_of_each_takes_one_row_of_repeated_rows(spark):
     assert sorted(r.doc_id for r in minhash_dedup.one_of_each(frame(spark, rows)).collect()) == [1, 3, 4]
 
 
+def cluster(n, seed, words=200, most=9):
+    """``n`` near copies of one text, a few far ones that join them in a chain, and texts that merely share half of it."""
+    rnd = random.Random(seed)
+    base = [f"w{seed}{rnd.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(1, most)):
+            w[rnd.randrange(words)] = f"z{rnd.randrange(10**6)}"
+        rows.append(" ".join(w))
+    for k in range(12):
+        w = list(base)
+        w[: 2 * k + 2] = [f"far{seed}{i}" for i in range(2 * k + 2)]
+        rows.append(" ".join(w))
+    return rows + [" ".join(base[: words // 2] + [f"own{rnd.randrange(10**6)}" for _ in range(words // 2)]) for _ in range(60)]
+
+
+@pytest.mark.parametrize("percent", [80, 85, 93])
+def test_large_groups_equal_brute_force(spark, monkeypatch, percent):
+    """Buckets far beyond the size that is paired out, with blocks so small that every kind of pair of blocks occurs."""
+    monkeypatch.setattr(minhash_dedup, "BIG", 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    texts = cluster(300, 1) + cluster(90, 2) + cluster(40, 3, most=30)
+    rows = [(i * 7919 % 10007, t) for i, t in enumerate(texts)]
+    r = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
+    assert brute.order(r.collect()) == brute.order(brute.op8(rows, percent))
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(minhash_dedup.components(links).collect())
@@ -157,7 +185,7 @@ def test_links_of_blocks_join_the_same_rows_as_all_links():
     for x in range(4):
         for y in range(x, 4):
             ids = [i for i in range(len(sets)) if own[i] in (x, y)]
-            cols = {"c": ids, "own": [own[i] for i in ids], "x": [x] * len(ids), "y": [y] * len(ids), "shingles": pa.array([sorted(sets[i]) for i in ids], pa.list_(pa.int64()))}
+            cols = {"c": ids, "own": [own[i] for i in ids], "x": [x] * len(ids), "y": [y] * len(ids), "known": ids, "shingles": pa.array([sorted(sets[i]) for i in ids], pa.list_(pa.int64()))}
             t = minhash_dedup._compare(80)(pa.table(cols))
             got |= {(min(p), max(p)) for p in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)}
     assert got <= every and parts(got) == parts(every)
