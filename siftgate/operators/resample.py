@@ -5,6 +5,8 @@ Each replicate is a row that reads the units' values from one array (broadcast),
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +87,155 @@ def median_gap(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed:
     gaps = m1.join(m0, "rep").agg(F.array_sort(F.collect_list(F.col("m1") - F.col("m0"))).alias("g"))
     at = lambda i: F.round(F.try_element_at("g", F.lit(i)), 6)
     return gaps.crossJoin(p1).crossJoin(p0).select(F.round(F.col("p1") - F.col("p0"), 6).alias("point"), at(low).alias("low"), at(high).alias("high"))
+
+
+def unit_auroc(df: DataFrame, unit: str, positive: str, score: str, reps: int, seed: str) -> DataFrame:
+    """``n, point, low, high``: AUROC (positive expected lower) with units drawn with replacement, one row per unit.
+
+    Scores are ranked once; a replicate sorts its draws by rank and passes over them once."""
+    ranked = df.withColumn("g", F.dense_rank().over(Window.orderBy(score)))  # units of an audit sample
+    values = ranked.agg(*in_order(unit, code=2 * F.col("g") + F.when(F.col(positive), 1).otherwise(0)), F.count("*").alias("n"))
+    r = replicates(values, reps).withColumn("h", hits(seed, F.col("n")))
+    drawn = F.array_sort(F.transform("h", lambda i: F.get("code", i)))
+    state = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("g", "p", "q", "below", "u", "np")])
+
+    # p, q: positives and negatives of the rank g; below: positives of lower ranks; a negative wins over those
+    def step(a: Column, code: Column) -> Column:
+        g, pos = F.floor(code / 2).cast("long"), (code % 2).cast("long")
+        fresh = g != a["g"]
+        p, q = F.when(fresh, 0).otherwise(a["p"]), F.when(fresh, 0).otherwise(a["q"])
+        below = a["below"] + F.when(fresh, a["p"]).otherwise(0)
+        gain = F.when(pos == 1, q).otherwise(2 * below + p)
+        return F.struct(g.alias("g"), (p + pos).alias("p"), (q + 1 - pos).alias("q"), below.alias("below"), (a["u"] + gain).alias("u"), (a["np"] + pos).alias("np"))
+
+    won = F.aggregate(drawn, state, step)
+    r = r.select("n", won.alias("w")).select(F.try_divide("w.u", 2 * F.col("w.np") * (F.col("n") - F.col("w.np"))).alias("a"))
+    point = scoring.auroc(df, [], score, F.col(positive)).select("auroc", (F.col("n_pos") + F.col("n_neg")).alias("n"))
+    return r.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.975).alias("hi")).crossJoin(point).select("n", F.round("auroc", 9).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
+
+
+def walk(x, y, width: float):
+    """Places of greedy one-to-one matches of two sorted lists of a feature."""
+    i = j = 0
+    while i < len(x) and j < len(y):
+        gap = x[i] - y[j]
+        if abs(gap) <= width:
+            yield i, j
+        i, j = i + (gap <= width), j + (gap >= -width)
+
+
+def caliper_interval(df: DataFrame, unit: str, positive: str, feature: str, score: str, reps: int, seed: str, width: float = 0.05) -> DataFrame:
+    """``n_defined, low, high`` of the caliper AUROC with units drawn with replacement and matched anew for each replicate;
+    undefined below :data:`.strata.LEAST_MATCHES` matches. A replicate is a walk in Python: units are an audit sample."""
+    from .strata import LEAST_MATCHES
+
+    rows = df.where(F.col(feature).isNotNull() & F.col(score).isNotNull())
+    values = rows.agg(*in_order(unit, f=F.col(feature), s=F.col(score), pos=F.col(positive)), F.count("*").alias("n"))
+    drawn = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", "h", "f", "s", "pos")
+
+    def go(frames):
+        for d in frames:
+            out = []
+            for h, f, s, pos in zip(d["h"], d["f"], d["s"], d["pos"], strict=True):
+                order = h[np.argsort(f[h], kind="stable")]
+                a, b = order[pos[order]], order[~pos[order]]
+                pairs = list(walk(f[a].tolist(), f[b].tolist(), width))
+                if len(pairs) < LEAST_MATCHES:
+                    out.append(None)
+                    continue
+                i, j = zip(*pairs, strict=True)
+                p, q = s[a[list(i)]], np.sort(s[b[list(j)]])
+                higher, same = len(q) - np.searchsorted(q, p, "right"), np.searchsorted(q, p, "right") - np.searchsorted(q, p, "left")
+                out.append(float((higher + 0.5 * same).sum() / (len(p) * len(q))))
+            yield pd.DataFrame({"a": pd.Series(out, dtype="float64")})
+
+    a = drawn.mapInPandas(go, "a double").select(F.when(~F.isnan("a"), F.col("a")).alias("a"))
+    return a.agg(F.count("a").alias("n_defined"), F.round(F.percentile("a", 0.025), 6).alias("low"), F.round(F.percentile("a", 0.975), 6).alias("high"))
+
+
+def pav(y: np.ndarray) -> np.ndarray:
+    """Non-increasing fit."""
+    out: list[list[float]] = []
+    for v in y:
+        out.append([v, 1])
+        while len(out) > 1 and out[-2][0] < out[-1][0]:
+            (a, m), (b, n) = out[-2], out.pop()
+            out[-1] = [(a * m + b * n) / (m + n), m + n]
+    return np.concatenate([np.full(int(n), v) for v, n in out])
+
+
+def crossing(bins: np.ndarray, y: np.ndarray, level: float, steps: int = 60) -> tuple[float, int]:
+    """Where the monotone cubic through the knots (over log2 of the bins) first falls to the level, and a code: 0 inside, 1 from
+    the first knot on, 2 never, 3 a knot is missing."""
+    if np.isnan(y).any():
+        return np.nan, 3
+    if y[0] <= level:
+        return np.nan, 1
+    below = np.flatnonzero(y <= level)
+    if not len(below):
+        return np.nan, 2
+    x, k = np.log2(bins.astype(float)), below[0]
+    d = np.diff(y) / np.diff(x)
+    m = np.r_[d[0], [2 * a * b / (a + b) if a * b > 0 else 0.0 for a, b in zip(d[:-1], d[1:], strict=True)], d[-1]]
+    lo, hi, h = x[k - 1], x[k], x[k] - x[k - 1]
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        t = (mid - x[k - 1]) / h
+        v = (2 * t**3 - 3 * t**2 + 1) * y[k - 1] + h * (t**3 - 2 * t**2 + t) * m[k - 1] + (3 * t**2 - 2 * t**3) * y[k] + h * (t**3 - t**2) * m[k]
+        lo, hi = (mid, hi) if v > level else (lo, mid)
+    return float(2**hi), 0
+
+
+def drawn_curves(df: DataFrame, unit: str, group: str, x: str, y: str, reps: int, seed: str) -> DataFrame:
+    """``rep, group, xs, ys``: for each replicate (0: all units once) and group the mean of y at each x over the drawn units.
+    One draw of units serves all groups, so that curves of a replicate can be compared."""
+    units = df.select(unit).distinct().agg(F.array_sort(F.collect_list(unit)).alias("units"), F.count("*").alias("n"))
+    r = replicates(units, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", F.explode("h").alias("i"), "units").select("rep", F.get("units", F.col("i")).alias(unit))
+    w = r.groupBy("rep", unit).agg(F.count("*").alias("w")).unionByName(df.select(F.lit(0).cast("long").alias("rep"), unit, F.lit(1).cast("long").alias("w")).distinct())
+    sums = df.groupBy(unit, group, x).agg(F.sum(y).alias("s"), F.count(y).alias("k"))
+    points = w.join(sums, unit).groupBy("rep", group, x).agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("k"))).alias("v"))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col("v").alias("v"))))
+    return points.groupBy("rep", group).agg(rows.alias("c")).select("rep", group, F.col("c.x").alias("xs"), F.col("c.v").alias("ys"))
+
+
+def crossing_intervals(curves: DataFrame, group: str, levels: list[float]) -> DataFrame:
+    """``group, level, point, point_code, low, low_code, high, high_code, left_censored, right_censored`` from :func:`drawn_curves`.
+
+    Censored replicates enter the percentiles as the first bin and as a number far beyond the last; a bound that falls
+    among them is a code (1: at or below the first bin, 2: beyond the last), never a number."""
+
+    def go(frames):
+        for d in frames:
+            out = []
+            for rep, g, xs, ys in zip(d["rep"], d[group], d["xs"], d["ys"], strict=True):
+                fit = pav(np.asarray(ys, float))
+                out += [(rep, g, level, *crossing(np.asarray(xs), fit, level), xs[0], xs[-1]) for level in levels]
+            yield pd.DataFrame(out, columns=["rep", group, "level", "at", "code", "least", "most"])
+
+    kind = dict(curves.dtypes)[group]
+    c = curves.mapInPandas(go, f"rep long, {group} {kind}, level double, at double, code int, least double, most double")
+    drawn, far = F.col("rep") > 0, F.col("most") * 1e9
+    v = F.when(drawn & (F.col("code") != 3), F.when(F.col("code") == 1, F.col("least")).when(F.col("code") == 2, far).otherwise(F.col("at")))
+    share = lambda k: F.round(F.avg(F.when(drawn, (F.col("code") == k).cast("double"))), 4)
+    g = c.groupBy(group, "level").agg(F.max(F.when(~drawn & (F.col("code") == 0), F.col("at"))).alias("point"), F.max(F.when(~drawn, F.col("code"))).alias("point_code"), F.percentile(v, 0.025).alias("lo"), F.percentile(v, 0.975).alias("hi"), F.max("least").alias("least"), F.max("most").alias("most"), share(1).alias("left_censored"), share(2).alias("right_censored"))
+    code = lambda b: F.when(F.col(b) > F.col("most"), 2).when(F.col(b) <= F.col("least"), 1).otherwise(0)
+    bound = lambda b, n: (F.when(code(b) == 0, F.round(b, 1)).alias(n), code(b).alias(f"{n}_code"))
+    return g.select(group, "level", F.round("point", 1).alias("point"), "point_code", *bound("lo", "low"), *bound("hi", "high"), "left_censored", "right_censored")
+
+
+def transfer_band(curves: DataFrame, group: str, base: str) -> DataFrame:
+    """``group, x, observed, predicted, low, high, inside``: curves of the other groups against the fitted curve of ``base``,
+    replicate by replicate; inside: the interval of the differences holds 0."""
+
+    def go(frames):
+        for d in frames:
+            d["ys"] = [pav(np.asarray(y, float)) if g == base else y for g, y in zip(d[group], d["ys"], strict=True)]
+            yield d
+
+    fitted = curves.mapInPandas(go, curves.schema)
+    points = fitted.select("rep", group, F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("rep", group, F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+    pred = points.where(F.col(group) == base).select("rep", "x", F.col("y").alias("pred"))
+    j = points.where(F.col(group) != base).join(pred, ["rep", "x"]).withColumn("gap", F.when(F.col("rep") > 0, F.col("y") - F.col("pred")))
+    at = lambda c: F.max(F.when(F.col("rep") == 0, F.col(c)))
+    g = j.groupBy(group, "x").agg(at("y").alias("o"), at("pred").alias("p"), F.percentile("gap", 0.025).alias("lo"), F.percentile("gap", 0.975).alias("hi"))
+    return g.select(group, "x", F.round("o", 6).alias("observed"), F.round("p", 6).alias("predicted"), F.round("lo", 4).alias("low"), F.round("hi", 4).alias("high"), ((F.round("lo", 4) <= 0) & (F.round("hi", 4) >= 0)).alias("inside"))

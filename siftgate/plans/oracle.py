@@ -29,8 +29,8 @@ def ranked(source: str, score: str, positive: str, by: str = "", lower: bool = T
     """CTE ``r`` with n_pos, n_neg, u2."""
     key, comma = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
     u = "sum(p * (2 * h + q))" if lower else "2 * sum(p) * sum(q) - sum(p * (2 * h + q))"
-    return f"""cl AS (SELECT {key}{score}, sum(CASE WHEN {positive} THEN 1 ELSE 0 END) AS p, sum(CASE WHEN {positive} THEN 0 ELSE 1 END) AS q FROM {source} GROUP BY {key}{score}),
-hi AS (SELECT *, coalesce(sum(q) OVER ({comma}ORDER BY {score} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM cl),
+    return f"""rc_cells AS (SELECT {key}{score}, sum(CASE WHEN {positive} THEN 1 ELSE 0 END) AS p, sum(CASE WHEN {positive} THEN 0 ELSE 1 END) AS q FROM {source} GROUP BY {key}{score}),
+hi AS (SELECT *, coalesce(sum(q) OVER ({comma}ORDER BY {score} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM rc_cells),
 r AS (SELECT {key}sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, ({u})::BIGINT AS u2 FROM hi {('GROUP BY ' + by) if by else ''})"""
 
 
