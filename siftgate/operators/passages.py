@@ -61,11 +61,17 @@ def draw(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     return pairs.withColumn("r", r).where(F.col("r") <= KEPT).select("item_id", "lang", "r", "doc_id")
 
 
-def frame(sents: Column, cut: Column) -> Column:
-    """The sentences as the host has them, of which ``cut`` are the first words; the last may end within a sentence."""
-    k = F.size(cut)
-    last = F.when(T.squeeze(F.get(sents, k - 1)) == F.get(cut, k - 1), F.get(sents, k - 1)).otherwise(F.get(cut, k - 1))
-    return F.when(k > 0, F.concat(F.slice(sents, F.lit(1), F.greatest(k - 1, F.lit(0))), F.array(last))).otherwise(F.slice(cut, 1, 0))
+def sentence_counts(sents: Column) -> Column:
+    """Words up to the end of each sentence."""
+    return F.aggregate(sents, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + T.ws_count(x))))
+
+
+def frame(sents: Column, upto: Column, words: Column) -> Column:
+    """The first sentences, as many ``words``; the last one is cut where they end."""
+    whole = F.size(F.filter(upto, lambda u: u <= words))
+    rest = words - F.coalesce(F.get(upto, whole - 1), F.lit(0))
+    cut = F.array_join(F.slice(T.ws_tokens(F.get(sents, whole)), F.lit(1), rest), " ")
+    return F.concat(F.slice(sents, F.lit(1), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
 
 
 def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
@@ -76,23 +82,29 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     payload that takes half of the budget at most."""
     first = first_clean(a, docs, seed).select("item_id", "lang", "doc_id")
     e = eligible(a).where("fits").select("item_id", "bin", "orig", "para", "affirm", "scope")
-    j = e.join(first, "item_id").join(hosts(docs).select("doc_id", "reach", T.ws_tokens(F.col("text")).alias("host"), T.sentences(F.col("text")).alias("sents")), "doc_id").where("bin <= reach")
+    # each host's sentences are counted once, each frame's tokens too: positions and pair classes don't change them
+    h = hosts(docs).join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "reach", T.sentences(F.col("text")).alias("sents"))
+    h = h.withColumn("upto", sentence_counts(F.col("sents")))
     left = (T.budget(F.col("bin")) - T.ws_count(F.col("orig"))).cast("int")
-    j = j.withColumn("cut", T.sentences(F.array_join(F.slice("host", 1, left), " "))).withColumn("frame", frame(F.col("sents"), F.col("cut"))).drop("host", "sents", "cut")
-    pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
-    j = j.select("*", pos).select("*", "p.*").withColumn("slot", F.least(F.size("frame"), F.floor(F.col("q") * (F.size("frame") + 1)).cast("int")))
+    j = e.join(first, "item_id").join(h, "doc_id").where("bin <= reach").withColumn("frame", frame(F.col("sents"), F.col("upto"), left)).drop("sents", "upto")
+    j = j.withColumn("tokens", T.token_set(F.array_join("frame", " ")))
     scope = F.when(F.greatest(T.ws_count(F.col("orig")), T.ws_count(F.col("scope"))) <= T.budget(F.col("bin")) / 2, F.col("scope"))
     kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("pair"), F.col("orig").alias("x"), y.alias("y")) for n, y in (("flip", F.col("affirm")), ("faithful", F.col("para")), ("scope", scope))]), lambda s: s["y"].isNotNull())
-    j = j.select("item_id", "lang", "bin", "position", "slot", "frame", F.explode(kinds).alias("k")).select("*", "k.*")
+    j = j.select("item_id", "lang", "bin", "frame", "tokens", F.explode(kinds).alias("k")).select("*", "k.*")
+    px, py = T.token_set(F.col("x")), T.token_set(F.col("y"))
+    shared, either = F.array_intersect(px, py), F.array_union(px, py)
+    # the members' token sets are those of the frame and of a payload each, as a blank lies between
+    every = F.size(F.array_union("tokens", either))
+    score = F.when(every == 0, F.lit(1.0)).otherwise(F.size(F.array_union("tokens", shared)) / every)
+    j = j.select("item_id", "lang", "bin", "frame", "pair", "x", "y", F.size("tokens").alias("host_set"), F.size(shared).alias("shared"), F.size(either).alias("either"), score.alias("score"), T.ws_count(F.col("x")).alias("payload_ws"))
+    pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(q).alias("q")) for n, q in POSITIONS])).alias("p")
+    j = j.select("*", pos).select("*", "p.*").withColumn("slot", F.least(F.size("frame"), F.floor(F.col("q") * (F.size("frame") + 1)).cast("int")))
 
     def spliced(c: str):
         rest = F.slice("frame", F.col("slot") + 1, F.greatest(F.size("frame") - F.col("slot"), F.lit(0)))
         return F.array_join(F.concat(F.slice("frame", 1, F.col("slot")), F.array(c), rest), " ")
 
-    px, py = T.token_set(F.col("x")), T.token_set(F.col("y"))
-    j = j.withColumn("host_set", F.size(T.token_set(F.array_join("frame", " ")))).withColumn("shared", F.size(F.array_intersect(px, py))).withColumn("either", F.size(F.array_union(px, py)))
-    j = j.withColumn("text_a", spliced("x")).withColumn("text_b", spliced("y")).withColumn("payload_ws", T.ws_count(F.col("x")))
-    return j.select("item_id", "lang", "bin", "position", "slot", "pair", "text_a", "text_b", "payload_ws", "host_set", "shared", "either", T.jaccard(F.col("text_a"), F.col("text_b")).alias("score"))
+    return j.select("item_id", "lang", "bin", "position", "slot", "pair", spliced("x").alias("text_a"), spliced("y").alias("text_b"), "payload_ws", "host_set", "shared", "either", "score")
 
 
 def unfilled(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
