@@ -12,12 +12,14 @@ Z = 1.959964
 CELLS = 64
 
 
-def rank_counts(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
-    """``by, n_pos, n_neg, u2``: u2 is twice the number of (positive, negative) pairs with the positive score lower, ties as half.
+def rank_counts(df: DataFrame, by: list[str], score: str, positive: Column, weight: Column | None = None) -> DataFrame:
+    """``by, n_pos, n_neg, u2``: u2 is twice the number of (positive, negative) pairs with the positive score lower, ties as half;
+    with a ``weight`` (double) rows count by it.
 
     Scores are counted first; ranges of scores (``CELLS`` to a unit) then sum up apart, beside the sums of the ranges
     above them. So no task sorts all scores."""
-    cells = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    number = F.count_if if weight is None else lambda x: F.sum(F.when(x, weight).otherwise(0.0))
+    cells = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(number(positive).alias("p"), number(~positive).alias("q"))
     cells = cells.withColumn("range", F.floor(F.col(score) * CELLS))
     above = Window.partitionBy(*by, "range").orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("higher", F.coalesce(F.sum("q").over(above), F.lit(0)))

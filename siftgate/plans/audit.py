@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import integrity, scoring
 from ..sources.tables import table
 from . import oracle as O
-from .queries import SEED, doc_pairs, labelled_pairs, sentences
+from .queries import SEED, doc_pairs, labelled_pairs, packet, sentences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -399,9 +399,7 @@ def bin_probes(spark, d):
 @query(f"""WITH {O.DP}, h AS (SELECT doc_id, lang, md5('20260805|' || doc_id) AS h FROM dp) SELECT row_number() OVER (ORDER BY h, doc_id)::INT AS item, doc_id, lang AS native, CASE WHEN substr(h, 32, 1) IN ('1','3','5','7','9','b','d','f') THEN 'b' ELSE 'a' END AS a_is FROM h""")
 def sealed_key(spark, d):
     """The key of the blind packet: which pair an item is, its class, and which of its texts came first."""
-    h = hashed("doc_id")
-    flip = F.conv(F.substring(h, 32, 1), 16, 10).cast("int") % 2 == 1
-    return doc_pairs(spark, d).select(F.row_number().over(Window.orderBy(h, "doc_id")).alias("item"), "doc_id", F.col("lang").alias("native"), F.when(flip, "b").otherwise("a").alias("a_is"))
+    return packet(spark, d).select("item", "doc_id", F.col("lang").alias("native"), F.when(F.col("flipped"), "b").otherwise("a").alias("a_is"))
 
 
 # sets

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import diff, fit, pairs, passages, resample, scorecard as cards, scoring, strata
+from ..operators import diff, fit, order, pairs, passages, resample, scorecard as cards, scoring, strata
 from ..sources.tables import table
 from ..streaming import events as E
 
@@ -87,11 +87,9 @@ def cliffs_delta_jaccard(spark, d):
 def weighted_auroc(spark, d):
     """Classes weigh by the size of the first label."""
     p = vec_pairs(spark, d)
-    n = p.groupBy("label_a").agg(F.count("*").alias("w"))
-    cells = p.join(n, "label_a").groupBy("cos").agg(F.sum(F.when(F.col("same"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("same"), F.col("w")).otherwise(0)).alias("q"))
-    low = F.coalesce(F.sum("q").over(Window.orderBy("cos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = cells.withColumn("low", low).agg(F.sum((F.col("p").cast("double") * (2 * F.col("low") + F.col("q")).cast("double"))).alias("u"), F.sum("p").cast("double").alias("sp"), F.sum("q").cast("double").alias("sq"))
-    return u.select(F.round(F.col("u") / (2 * F.col("sp") * F.col("sq")), 6).alias("auroc"))
+    n = p.groupBy("label_a").agg(F.count("*").cast("double").alias("w"))
+    r = scoring.rank_counts(p.join(n, "label_a"), [], "cos", F.col("same"), F.col("w"))
+    return r.select(F.round(1 - F.col("u2") / (2 * F.col("n_pos") * F.col("n_neg")), 6).alias("auroc"))
 
 
 def pairwise_accuracy(spark, d):
@@ -246,7 +244,8 @@ def diff_changed_slots(spark, d):
 
 
 def first_occurrence_dedupe(spark, d):
-    return table(spark, d, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
+    """Equal texts meet by their SHA-256; texts themselves aren't shuffled."""
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).select("doc_id", "n")
 
 
 def split_overlap(spark, d):
@@ -267,11 +266,15 @@ def stratified_sample(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang", r.alias("r")).where("r <= 20")
 
 
-def blind_packet(spark, d):
-    p = doc_pairs(spark, d)
+def packet(spark, d) -> DataFrame:
+    """Document pairs in the order of a hash, with ``item`` and ``flipped`` by a coin from the same hash."""
     h = F.md5(F.concat_ws("|", F.lit(SEED), "doc_id"))
     flip = (F.conv(F.substring(h, 32, 1), 16, 10).cast("int") % 2) == 1
-    return p.select("doc_id", F.row_number().over(Window.orderBy(h, "doc_id")).alias("item"), F.md5(F.when(flip, F.col("b")).otherwise(F.col("a"))).alias("first"), flip.alias("flipped"))
+    return order.numbered(doc_pairs(spark, d).withColumn("flipped", flip), h, "doc_id")
+
+
+def blind_packet(spark, d):
+    return packet(spark, d).select("doc_id", "item", F.md5(F.when(F.col("flipped"), F.col("b")).otherwise(F.col("a"))).alias("first"), "flipped")
 
 
 def host_draw(spark, d):
@@ -422,7 +425,7 @@ def permutation_test(spark, d):
 
 def scorecard(spark, d):
     """Bars of this build's own choice; a bar without a statistic is vacuous, never passed."""
-    a = artifact_share(spark, d)
+    a = artifact_share(spark, d).persist()  # one row, for three bars
     return cards.scorecard([
         cards.bar(a, "separation", "naive", low=0.75),
         cards.bar(a, "separation_matched", "caliper", low=0.75),
