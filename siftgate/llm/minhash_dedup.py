@@ -35,7 +35,7 @@ SHINGLE = 5
 PERCENT = 85
 COLLECTIONS, ROWS = 14, 3
 CHUNK = 1 << 20
-BIG, BLOCK = 32, 128
+BIG, BLOCK = 8, 128
 _r = np.random.default_rng(11)
 MULTIPLY = _r.integers(0, 2**63, COLLECTIONS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _r.integers(0, 2**64, COLLECTIONS * ROWS, np.uint64)
@@ -187,21 +187,32 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     return d.join(heads, "rid", "left_semi").select(*back)
 
 
-def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """:func:`minhash_dedup` for documents with ``rid``, which it keeps, and ``head``: whether the row stands for its component."""
-    signed = C.table(d.select("rid", "doc_id", "text").mapInArrow(_sign(shingle), SIGNED), "signed")
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "rid", "doc_id", "bands")).alias("x")
-    classes = C.table(signed.where("n_shingles > 0").groupBy("s", "t", "n_shingles").agg(least).select(F.col("x.rid").alias("c"), F.col("x.doc_id").alias("doc_id"), "n_shingles", "s", "t", "x.bands"), "classes")
-
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``key, size, c, n_shingles``: classes that meet in a table, of whose keys several classes have the same."""
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), F.col("bands")[i], F.col("bands")[j]) for i, j in pairs])).alias("key")
     rows = classes.select("c", "n_shingles", keys)
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = rows.join(full, "key").select("key", "size", "c", "n_shingles")
-    buckets = C.table(buckets, "buckets")
+    return C.table(rows.join(full, "key").select("key", "size", "c", "n_shingles"), "buckets")
+
+
+def _whole_sets(d: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+    """``c, shingles`` of the classes that are in a bucket."""
     ids = buckets.select("c").distinct()
     texts = d.select(F.col("rid").alias("c"), "text").join(ids, "c").select("c", "text")
-    sets = C.table(texts.mapInArrow(_sets(shingle), "c long, shingles array<long>"), "sets")
+    return C.table(texts.mapInArrow(_sets(shingle), "c long, shingles array<long>"), "sets")
+
+
+def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """:func:`minhash_dedup` for documents with ``rid``, which it keeps, and ``head``: whether the row stands for its component."""
+    signed = C.table(d.select("rid", "doc_id", "text").mapInArrow(_sign(shingle), SIGNED), "signed")
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("o"), "rid", "doc_id", "bands")).alias("x")
+    classes = C.table(signed.where("n_shingles > 0").groupBy("s", "t", "n_shingles").agg(least).select(F.col("x.rid").alias("c"), F.col("x.doc_id").alias("doc_id"), "n_shingles", "s", "t", "x.bands"), "classes")
+
+    buckets = _buckets(classes)
+    C.release(d.sparkSession)  # the tables' shuffles
+    sets = _whole_sets(d, buckets, shingle)
+    C.release(d.sparkSession)  # that of the texts
 
     left, right = sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb"))
 

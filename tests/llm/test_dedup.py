@@ -105,12 +105,12 @@ def cluster(n, seed, words=200, most=9):
     return rows + [" ".join(base[: words // 2] + [f"own{rnd.randrange(10**6)}" for _ in range(words // 2)]) for _ in range(60)]
 
 
-@pytest.mark.parametrize("percent", [80, 85, 93])
+@pytest.mark.parametrize("percent", [80, 90])
 def test_large_groups_equal_brute_force(spark, monkeypatch, percent):
     """Buckets far beyond the size that is paired out, with blocks so small that every kind of pair of blocks occurs."""
     monkeypatch.setattr(minhash_dedup, "BIG", 4)
     monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
-    texts = cluster(300, 1) + cluster(90, 2) + cluster(40, 3, most=30)
+    texts = cluster(150, 1) + cluster(40, 2, most=30)
     rows = [(i * 7919 % 10007, t) for i, t in enumerate(texts)]
     r = minhash_dedup.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)
     assert brute.order(r.collect()) == brute.order(brute.op8(rows, percent))
