@@ -96,6 +96,7 @@ def rounding_forms(spark, d):
 
 _WORDS = ["of the", "the", "of"]
 _LINT = {"shouting": ("[A-Z]{4,}", "error"), "doubled": (r"\b(the the|of of|and and)\b", "error"), "spaced": (r" ,| \.", "warning")}
+_PIECE = r"[A-Za-z]{1,4}|[0-9]|[^\sA-Za-z0-9]"
 _HEAD = r"^[A-Z]\S*( \S+){0,3}\.?$"
 
 
@@ -174,6 +175,14 @@ def unordered_pair_join(spark, d):
     return g.agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_pairs"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.count_if(F.col("labels") > 1).alias("n_disagree"), F.sum("first_doc").alias("id_sum"))
 
 
+@query(rf"""WITH t AS (SELECT lang, len(regexp_extract_all(text, '{_PIECE}')) AS pieces, len({O.ws('text')}) AS n FROM documents), r AS (SELECT lang, pieces::DOUBLE / n AS r, pieces, n FROM t WHERE n > 0)
+SELECT lang, count(*) AS n_docs, round(sum(pieces)::DOUBLE / sum(n), 6) AS ratio, round(median(r), 6) AS typical, round(quantile_cont(r, 0.9), 6) AS p90 FROM r GROUP BY lang""")
+def token_ratio(spark, d):
+    """Subword tokens for each word; runs of up to four letters, single digits and signs stand in for a tokenizer's."""
+    t = table(spark, d, "documents").select("lang", F.regexp_count("text", F.lit(_PIECE)).alias("pieces"), T.ws_count(F.col("text")).alias("n")).where("n > 0").withColumn("r", F.col("pieces") / F.col("n"))
+    return t.groupBy("lang").agg(F.count("*").alias("n_docs"), F.round(F.sum("pieces") / F.sum("n"), 6).alias("ratio"), F.round(F.median("r"), 6).alias("typical"), F.round(F.percentile("r", 0.9), 6).alias("p90"))
+
+
 # joins
 
 
@@ -497,6 +506,17 @@ def shard_assembly(spark, d):
     return integrity.assembled(shards, parity, F.col("label") % 2, ["vec_id"])[1]
 
 
+@query("SELECT lang, count(*) AS printed, count(*) + (lang = 'es')::INT AS frozen, lang <> 'es' AS agrees FROM documents GROUP BY lang")
+def printed_table_check(spark, d):
+    """Rows of a printed table, parsed from its text, against the numbers it was made from (one of which has changed since)."""
+    n = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    printed = n.select(F.concat(F.lit("| "), "lang", F.lit(" | "), F.format_number("n", 0), F.lit(" |")).alias("line"))
+    cell = F.split("line", r"\|")
+    read = printed.select(F.trim(cell[1]).alias("lang"), F.replace(F.trim(cell[2]), F.lit(","), F.lit("")).cast("long").alias("printed"))
+    frozen = n.select("lang", (F.col("n") + F.when(F.col("lang") == "es", 1).otherwise(0)).alias("frozen"))
+    return read.join(frozen, "lang").select("lang", "printed", "frozen", (F.col("printed") == F.col("frozen")).alias("agrees"))
+
+
 # arrays
 
 
