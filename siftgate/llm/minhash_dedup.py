@@ -5,8 +5,8 @@ table. Documents that agree in two collections meet in a table, so the work for
 of independent tables. At the least similarity that counts the chance to meet is over 0.9999 (0.999 at 80 percent).
 
 Documents with the same shingle set are one class before anything is paired. Classes that meet in a bucket of up to
-``BIG`` are compared pair by pair. Larger buckets are never paired out. First each of their classes is compared with two
-members only, those of the least and the largest hash; confirmed links give first components. A bucket within one of them is
+``BIG`` are compared pair by pair. Larger buckets are never paired out. First each of their classes is compared with one
+member only, that of the least hash; confirmed links give first components. A bucket within one of them is
 settled, which is the fate of nearly all groups of near copies, at a cost that grows with their size and not with its square.
 What is left are buckets that span several components: those that share classes form a group, a group is cut into blocks
 of about ``BLOCK`` classes (large components into blocks of their own, the rest by hash), and each pair of blocks goes to one
@@ -223,10 +223,10 @@ def near_groups(d: DataFrame, shingle: int, percent: int) -> DataFrame:
     near_size = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     x, y = (buckets.where(f"size <= {BIG}").select("key", F.col("c").alias(v), F.col("n_shingles").alias(f"n{v}")) for v in "ab")
     small = x.join(y, "key").where(F.col("a") < F.col("b"))
-    # large buckets: two members that all others are compared with
+    # large buckets: one member that all others are compared with
     big = buckets.where(f"size > {BIG}")
     by_hash = F.struct(F.xxhash64("c").alias("h"), "c", F.col("n_shingles").alias("n"))
-    stars = big.join(big.groupBy("key").agg(F.array(F.min(by_hash), F.max(by_hash)).alias("m")), "key").select("c", "n_shingles", F.explode("m").alias("m")).where("c <> m.c")
+    stars = big.join(big.groupBy("key").agg(F.min(by_hash).alias("m")), "key").where("c <> m.c")
     stars = stars.select(F.least("c", "m.c").alias("a"), F.greatest("c", "m.c").alias("b"), F.col("n_shingles").alias("na"), F.col("m.n").alias("nb"))
     some = C.table(small.select(*stars.columns).unionByName(stars).where(near_size).select("a", "b").distinct(), "pairs")
     links = C.table(confirmed(some), "confirmed")
