@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, line_dedup, media_columns, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc
+from . import bestfit_packing, exact_dedup, line_dedup, media_columns, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_minhash_dedup": minhash_dedup.op8_minhash_dedup,
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op9_warc": warc.OP9_SQL}
+ORACLE_SQL = {"op9_warc": warc.OP9_SQL, "op11_exact_dedup": exact_dedup.OP11_SQL}
