@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, exact_dedup, line_dedup, media_columns, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc
+from . import bestfit_packing, exact_dedup, lexical_search, line_dedup, media_columns, minhash_dedup, mixing, prefix_trie, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc
 
 
 def pipeline(spark, sf_dir: str):
@@ -23,6 +23,8 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_mixing": mixing.op10_mixing,
     "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op9_warc": warc.OP9_SQL, "op11_exact_dedup": exact_dedup.OP11_SQL}
+ORACLE_SQL = {"op9_warc": warc.OP9_SQL, "op11_exact_dedup": exact_dedup.OP11_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_prefix_trie": prefix_trie.OP13_SQL}

@@ -45,12 +45,12 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the documents in ``data``, and where each document's words begin."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the documents in ``data``, and where each document's words begin. ``outside``: the bytes between words."""
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[data]
+    word = ~outside[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     start = word.copy()
