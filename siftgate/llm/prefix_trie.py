@@ -74,6 +74,7 @@ def _ends(batches):
         yield pa.record_batch([pa.array([now]), pa.array([sha.hexdigest()])], ["key", "ends"])
 
 
+NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
 NODES = "top string, depth long, conv_id long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, key string"
 
 
@@ -147,6 +148,8 @@ def trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
         before, rows = rows, C.table(down, "paths")
         C.drop(before, big)
 
+    if not opened:  # no conversation, no root
+        return convs.sparkSession.createDataFrame([], ", ".join(f"{c} long" for c in NODE) + ", ends_sha256 string")
     small = _union(closed)
     total = small.agg(F.sum(F.size("path"))).first()[0] or 0
     buckets = max(n_parts, -(-total // limit))
@@ -173,7 +176,7 @@ def trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
     top_rows = spots.join(sums, "node").select("node.id", F.col("node.depth").cast("long").alias("depth"), up.alias("parent_conv_id"), "n_convs", F.col("n_children").cast("long").alias("n_children"), "n_leaves", "saved_tokens", "key").withColumnRenamed("id", "conv_id")
     hung = nodes.join(tops.select("top", F.expr("get(above, size(above) - 1).id").alias("hook")), "top").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "hook"))
     every = hung.select(*top_rows.columns).unionByName(top_rows)
-    return every.join(ends, "key", "left").select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.lit(EMPTY)).alias("ends_sha256"))
+    return every.join(ends, "key", "left").select(*NODE, F.coalesce("ends", F.lit(EMPTY)).alias("ends_sha256"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
