@@ -37,14 +37,16 @@ from .minhash_dedup import LOWER
 from .substring_dedup import word_hashes
 
 TOP = 50
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 SHORT = 4
 #: Queries and query terms of a block, terms scored at once.
 ITEMS, TERMS, COLUMNS = 256, 20_000, 1024
 OUTSIDE = np.zeros(256, bool)
 OUTSIDE[:128] = ~np.array([chr(i).isalnum() for i in range(128)])
 
-INDEX = "rids array<long>, ids array<long>, terms array<long>, counts array<int>, " + ", ".join(f"n{t} array<int>, at{t} array<int>, impact{t} array<int>, rest{t} array<int>" for t in (1, 2, 3))
+#: Columns of the index: each cell is an array as bytes (a shard's documents are rows of one batch, 65,536 at most).
+LAYOUT = {"rids": np.int64, "ids": np.int64, "no_id": np.bool_, "terms": np.int64, "counts": np.int32} | {f"{k}{t}": kind for t in (1, 2, 3) for k, kind in (("n", np.int32), ("at", np.uint16), ("impact", np.int32), ("rest", np.int32))}
+INDEX = ", ".join(f"{k} binary" for k in LAYOUT)
 FIRST = ["terms", "n1", "at1", "impact1"]
 
 
@@ -63,15 +65,15 @@ def _lengths(batches):
         yield pa.record_batch([pa.array([n]), pa.array([total])], ["n", "l"])
 
 
-def _shard(n_docs: int, n_terms: int):
+def _shard(n_docs: int, n_terms: int, chunk: int):
     """One row of the index for each chunk of documents."""
 
     def go(batches):
         for batch in batches:
-            for i, j, data, offsets in K.chunks(batch.column(2), CHUNK):
+            for i, j, data, offsets in K.chunks(batch.column(2), chunk):
                 h, at = terms_of(data, offsets)
                 if len(h):
-                    yield pa.record_batch(columns(h, at, batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)), names)
+                    yield pa.record_batch(columns(h, at, batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i)), list(LAYOUT))
 
     def columns(h, at, rids, ids):
         n = np.diff(at)
@@ -90,26 +92,24 @@ def _shard(n_docs: int, n_terms: int):
         begin = np.cumsum(counts) - counts
         rank = np.arange(len(code)) - begin[code]
         ends = [np.minimum(counts, np.maximum(SHORT, -(-counts // share))) for share in (16, 4, 1)]
-        out = [rids, ids, terms, counts.astype(np.int32)]
+        out = [rids.to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), terms, counts]
         for low, high in zip([np.zeros_like(counts), *ends[:-1]], ends, strict=True):
             mine = (rank >= low[code]) & (rank < high[code])
             rest = np.where(high < counts, impact[np.minimum(begin + high, len(impact) - 1)], 0)
-            out += [(high - low).astype(np.int32), row[mine].astype(np.int32), impact[mine].astype(np.int32), rest.astype(np.int32)]
-        return [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x], kind) for x, kind in zip(out, kinds, strict=True)]
+            out += [high - low, row[mine], impact[mine], rest]
+        return [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(out, LAYOUT.values(), strict=True)]
 
-    names = [x.split()[0] for x in INDEX.split(", ")]
-    kinds = [pa.list_(pa.int64() if "long" in x else pa.int32()) for x in INDEX.split(", ")]
     return go
 
 
 class Index:
     """The table of shards with the numbers of all documents (``n_docs`` with a term) and terms that weights need."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, chunk: int = CHUNK) -> None:
         d = C.keyed(docs)
         s = d.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
         self.n_docs, self.n_terms = s[0] or 0, s[1] or 0
-        self.shards = C.table(d.select("rid", "doc_id", "text").mapInArrow(_shard(self.n_docs, self.n_terms), INDEX), "index")
+        self.shards = C.table(d.select("rid", "doc_id", "text").mapInArrow(_shard(self.n_docs, self.n_terms, chunk), INDEX), "index")
 
 
 def _asked(batches):
@@ -127,10 +127,9 @@ def _counts(terms: np.ndarray):
     def go(batches):
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            have, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in range(2))
-            at = np.minimum(np.searchsorted(terms, have), len(terms) - 1)
-            hit = terms[at] == have
-            total += np.bincount(at[hit], weights=n[hit], minlength=len(terms)).astype(np.int64)
+            for row in _rows(batch):
+                at = np.minimum(np.searchsorted(row["terms"], terms), len(row["terms"]) - 1)
+                total += np.where(row["terms"][at] == terms, row["counts"][at], 0)
         yield pa.record_batch([pa.array(terms), pa.array(total)], ["term", "df"])
 
     return go
@@ -169,8 +168,9 @@ class _Scorer:
 
 
 def _rows(batch: pa.RecordBatch):
+    """Shards of a batch, as dictionaries of arrays."""
     for k in range(batch.num_rows):
-        yield {name: batch.column(i)[k].values.to_numpy(zero_copy_only=False) for i, name in enumerate(batch.schema.names) if name != "ids"} | ({"ids": batch.column("ids")[k].values} if "ids" in batch.schema.names else {})
+        yield {name: np.frombuffer(batch.column(i)[k].as_buffer(), LAYOUT[name]) for i, name in enumerate(batch.schema.names)}
 
 
 def _floors(shared, top: int):
@@ -184,7 +184,7 @@ def _floors(shared, top: int):
         for batch in batches:
             for row in _rows(batch):
                 if scorer.open(row):
-                    scores = np.zeros((n, int(row["at1"].max(initial=-1)) + 1))
+                    scores = np.zeros((n, int(row["at1"].max()) + 1))
                     scorer.add(row, 1, scores, every)
                     best = np.concatenate([best, scores], 1)
                     if best.shape[1] > top:
@@ -219,10 +219,10 @@ def _exact(shared, floors: np.ndarray, top: int, proofs: bool):
                         items, scores = items[lacks], scores[lacks]
                         if not len(items):
                             break
-                    order = _order(row["ids"], row["rids"])
+                    order = np.lexsort((row["rids"], row["ids"], row["no_id"]))
                     for i, s in zip(items.tolist(), scores, strict=True):
                         ok = order[s[order] >= floors[i]]
-                        out += [] if proofs else [(i, int(row["rids"][x]), row["ids"][int(x)].as_py(), int(s[x]), 3) for x in ok[np.argsort(-s[ok], kind="stable")][:top]]
+                        out += [] if proofs else [(i, int(row["rids"][x]), None if row["no_id"][x] else int(row["ids"][x]), int(s[x]), 3) for x in ok[np.argsort(-s[ok], kind="stable")][:top]]
                 if proofs:
                     out += [(i, 0, 0, 0, t) for i, t in enumerate(tier.tolist())]
             columns = list(zip(*out, strict=True)) or [()] * 5
@@ -231,12 +231,6 @@ def _exact(shared, floors: np.ndarray, top: int, proofs: bool):
     return go
 
 
-def _order(ids: pa.Array, rids: np.ndarray) -> np.ndarray:
-    """Documents by doc_id (null last), then row."""
-    null = ids.is_null().to_numpy(zero_copy_only=False)
-    return np.lexsort((rids, ids.fill_null(0).to_numpy(zero_copy_only=False), null))
-
-
 def _blocks(items: DataFrame, item_id: str):
     """Blocks of queries, each with its distinct terms: (rows at the driver, their number bounded), by a hash of their number."""
     rows = items.select(F.monotonically_increasing_id().alias("rid"), F.col(item_id).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
