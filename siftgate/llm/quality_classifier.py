@@ -3,8 +3,8 @@
 Two generative models of hashed word n-grams (single words and pairs, in spaces of their own): the target from
 labelled clean documents, the raw one from all documents. A document's log weight is the sum of the log ratios
 of its n-grams; adding Gumbel noise and keeping the k largest samples k documents without replacement in
-proportion to their weights. Where no k is given it is the least one with which the draw takes all but ``loss`` of
-the labelled clean documents that had no part in the target model (all of them: they are no sample).
+proportion to their weights. k is a budget of documents. Where none is given it is the number of clean documents to be expected, their share among
+the labelled documents times the number of documents. It hangs on no score.
 
 The target model is fitted on at most ``sample`` labelled clean documents, every second by md5 of their id (a
 documented bound). The raw model counts every document. Both models have a fixed number of buckets, as hashed n-gram
@@ -12,12 +12,14 @@ models do, so what the driver gathers and sends out is bounded.
 
 Cases: null or empty texts have log weight 0; ids may be null (never labelled) or repeated; labels with nulls are
 not clean, of several for one id the worst counts; without clean labels all log weights are 0 and, if no k is given,
-all documents stay; columns besides doc_id and text are kept by :func:`kept_documents`, whatever their names, and ignored
+all documents stay; noise hangs on id and text, so only rows with both alike share a draw; columns besides doc_id and text are kept by :func:`kept_documents`, whatever their names, and ignored
 by :func:`importance_resample`; an empty table gives no rows. Ties at the k-th key all stay.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,6 @@ BUCKETS = WORDS + PAIRS
 #: Added to both counts of a bucket: rare n-grams say little.
 PRIOR = 2.0
 SAMPLE = 20_000
-LOSS = 0.01
 SEED = "draw-1"
 CHUNK = 1 << 21
 
@@ -101,17 +102,24 @@ def kth_key(keys: DataFrame, k: int) -> float:
             k -= r["n"]
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, loss: float = LOSS, sample: int = SAMPLE, seed: str = SEED) -> DataFrame:
+def budget(labels: DataFrame, n: int) -> int:
+    """Of ``n`` documents those expected to be clean: their share among ``labels(doc_id, q, t)``, one row an id. All if none is."""
+    m, clean = labels.agg(F.count("*"), F.count_if("q = 1 AND t = 0")).first()
+    return math.ceil(n * clean / m) if clean else n
+
+
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, seed: str = SEED) -> DataFrame:
     """``doc_id, log_weight, key, kept`` for ``docs(doc_id, text)``, ``labels(doc_id, quality, toxic)``."""
-    return _resample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, k, loss, sample, seed).drop("text")
+    return _resample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, k, sample, seed).drop("text")
 
 
-def _resample(d: DataFrame, labels: DataFrame, k: int | None, loss: float, sample: int, seed: str, text: bool = False) -> DataFrame:
+def _resample(d: DataFrame, labels: DataFrame, k: int | None, sample: int, seed: str, text: bool = False) -> DataFrame:
     """:func:`importance_resample` with the columns named by :func:`.common.carried`, and texts if asked for."""
     spark = d.sparkSession
-    clean = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 AND t = 0 AND doc_id IS NOT NULL")
-    # one half of the clean documents can be in the target model, the other stays apart
+    told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"))
+    clean = told.where("q = 1 AND t = 0")
     clean = clean.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("half", F.conv(F.substring("h", 32, 1), 16, 10).cast("int") % 2)
+    # one half of the clean documents can be in the target model, the other is there for measuring it
     target = np.array([r[0] for r in clean.where("half = 0").orderBy("h", "doc_id").limit(sample).select("doc_id").collect()], np.int64)
     counts = d.select("doc_id", "text").mapInArrow(_count(target), "bucket int, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")).toArrow()
     raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -126,21 +134,18 @@ def _resample(d: DataFrame, labels: DataFrame, k: int | None, loss: float, sampl
     kinds = {f.name: f.dataType.simpleString() for f in d.schema}
     base = d.select("doc_id", "text", *C.others(d))
     scored = base.mapInArrow(_score(model), ", ".join(f"{c} {kinds[c]}" for c in base.columns) + ", log_weight double")
-    scored = scored if text else scored.drop("text")
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
-    scored = C.table(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "weights")
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / float(2**32)
+    scored = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
+    scored = C.table(scored if text else scored.drop("text"), "weights")
     if k is None:
-        held = scored.select("doc_id", "key").join(clean.where("half = 1").select("doc_id"), "doc_id", "left_semi").select("key")
-        n = held.count()
-        least = kth_key(held, n - int(n * loss)) if n and len(target) else float("-inf")
-        k = scored.where(F.col("key") >= F.lit(least)).count()
+        k = budget(told, scored.count())
     return scored.withColumn("kept", F.col("key") >= F.lit(kth_key(scored.select("key"), k)))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
     d, back = C.carried(docs)
-    return _resample(d, labels, k, LOSS, SAMPLE, SEED, text=True).where("kept").select(*back)
+    return _resample(d, labels, k, SAMPLE, SEED, text=True).where("kept").select(*back)
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:
