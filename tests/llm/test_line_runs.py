@@ -6,7 +6,7 @@ import xxhash
 import brute
 from siftgate.llm import line_dedup
 
-SPARSE = line_dedup.SPARSE
+EVERY = line_dedup.EVERY
 
 
 def chunks(ls):
@@ -15,8 +15,8 @@ def chunks(ls):
     for a, b in zip(ls, ls[1:]):
         x = xxhash.xxh64_intdigest(b.encode(), seed=xxhash.xxh64_intdigest(a.encode(), seed=42))
         r.append(x - 2**64 if x >= 2**63 else x)
-    opens = [i for i in range(len(r)) if i == 0 or r[i] % SPARSE]
-    closes = [i for i in range(len(r)) if i == len(r) - 1 or (r[i] >> 16) % SPARSE]
+    opens = [i for i in range(len(r)) if i == 0 or r[i] % EVERY == 0]
+    closes = [i for i in range(len(r)) if i == len(r) - 1 or (r[i] >> 16) % EVERY == 0]
     for i in opens:
         if after := [e for e in closes if e >= i]:
             yield i, after[0] + 1
