@@ -49,6 +49,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def batches(spark: SparkSession, rows: int):
+    """Jobs within hand at most so many rows at once to Python: for large rows, as a batch is held twice on its way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`table` that no later step reads."""
     for df in tables:

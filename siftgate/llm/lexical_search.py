@@ -37,7 +37,9 @@ from .minhash_dedup import LOWER
 from .substring_dedup import word_hashes
 
 TOP = 50
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Documents, and shards, that are handed to Python at once.
+BATCH, SHARDS = 1000, 8
 SHORT = 4
 #: Queries and query terms of a block, terms scored at once.
 ITEMS, TERMS, COLUMNS = 256, 20_000, 1024
@@ -107,9 +109,10 @@ class Index:
 
     def __init__(self, docs: DataFrame, chunk: int = CHUNK) -> None:
         d = C.keyed(docs)
-        s = d.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
-        self.n_docs, self.n_terms = s[0] or 0, s[1] or 0
-        self.shards = C.table(d.select("rid", "doc_id", "text").mapInArrow(_shard(self.n_docs, self.n_terms, chunk), INDEX), "index")
+        with C.batches(docs.sparkSession, BATCH):
+            s = d.select("text").mapInArrow(_lengths, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
+            self.n_docs, self.n_terms = s[0] or 0, s[1] or 0
+            self.shards = C.table(d.select("rid", "doc_id", "text").mapInArrow(_shard(self.n_docs, self.n_terms, chunk), INDEX), "index")
 
 
 def _asked(batches):
@@ -245,8 +248,16 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", top: int =
     """``item_id, rank, doc_id, score``: the ``top`` best documents of each row of ``items(item_id, text)``, scores above 0.
 
     proofs: ``item_id, tier`` for each shard and item instead, for measurements."""
-    spark = items.sparkSession
-    found = []
+    with C.batches(items.sparkSession, SHARDS):
+        found = _found(index, items, item_id, top, proofs)
+    if not found:
+        return items.sparkSession.createDataFrame([], "item_id long, tier int" if proofs else "item_id long, rank int, doc_id long, score long")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _found(index: Index, items: DataFrame, item_id: str, top: int, proofs: bool) -> list[DataFrame]:
+    """The results of each block of queries."""
+    spark, found = items.sparkSession, []
     for block in _blocks(items, item_id) if index.n_docs else ():
         if not block:
             continue
@@ -272,9 +283,7 @@ def search(index: Index, items: DataFrame, item_id: str = "item_id", top: int =
         by = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "rid")
         ranked = exact.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
         found.append(C.table(ranked.select(names, "rank", "doc_id", "score"), "found"))
-    if not found:
-        return spark.createDataFrame([], "item_id long, tier int" if proofs else "item_id long, rank int, doc_id long, score long")
-    return reduce(DataFrame.unionByName, found)
+    return found
 
 
 def op12_lexical_search(spark, sf_dir: str) -> DataFrame:
