@@ -17,3 +17,18 @@ def numbered(df: DataFrame, hashed: Column, tie: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 16^DIGITS rows
     inner = F.row_number().over(Window.partitionBy("head").orderBy("hash", tie))
     return d.withColumn("inner", inner).join(n.select("head", before.alias("before")), "head").withColumn("item", (F.col("before") + F.col("inner")).cast("int")).drop("head", "hash", "inner", "before")
+
+
+#: Ranges of values that are numbered apart.
+RANGES = 256
+
+
+def indexed(df: DataFrame, by: str) -> DataFrame:
+    """``df`` with ``index``, its place (from 0) in ascending order of ``by``, a numeric column of distinct values without null:
+    places within each range of values behind the sum of the ranges before. Ranges are cut at approximate quantiles."""
+    edges = df.approxQuantile(by, [i / RANGES for i in range(1, RANGES)], 0.001)
+    d = df.withColumn("range", F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col(by))))
+    n = d.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows
+    inner = F.row_number().over(Window.partitionBy("range").orderBy(by))
+    return d.withColumn("inner", inner).join(n.select("range", before.alias("before")), "range").withColumn("index", F.col("before") + F.col("inner") - 1).drop("range", "inner", "before")

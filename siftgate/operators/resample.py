@@ -1,10 +1,15 @@
-"""Resampling with draws from md5, so that any SQL engine repeats them. Replicates are weights, never copies of rows.
+"""Resampling with draws from md5, so that any SQL engine repeats them.
 
-Each replicate is a row that reads the units' values from one array (broadcast), so draws are never shuffled.
+A draw is a row: the place drawn follows from its replicate and number alone, so draws are generated where they are used and looked up
+among the numbered units by a join. Draws of a replicate lie in one partition (or a few neighbours), so sums and counts by replicate
+are nearly done before anything is shuffled. No task holds all units. Only clusters (:func:`cluster_auroc`), whose wins over each other are
+counted once, are arrays that replicates read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unit_hash
-from . import scoring
+from . import order, scoring
 
 # Counts of the reference.
 BOOTSTRAPS = 10_000
@@ -81,62 +86,71 @@ def cluster_auroc(df: DataFrame, cluster: str, score: str, positive: Column, rep
     return a.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.975).alias("hi")).crossJoin(point).select(F.round("auroc", 9).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
 
 
+def drawn(units: DataFrame, unit: str, reps: int, seed: str) -> DataFrame:
+    """``rep, slot`` (from 0) and the columns of the unit drawn: for each replicate as many draws with replacement as there are
+    ``units`` (one row for each distinct ``unit``, kept while replicates read it)."""
+    units = units.persist()
+    spark, n = units.sparkSession, units.count()
+    rows = spark.range(0, reps * n, 1, 4 * spark.sparkContext.defaultParallelism).select((F.expr(f"id DIV {max(n, 1)}") + 1).alias("rep"), (F.col("id") % max(n, 1)).alias("slot"))
+    at = F.floor(unit_hash(F.lit(seed), F.col("rep").cast("string"), F.col("slot").cast("string")) * n)
+    return rows.withColumn("index", at).join(order.indexed(units, unit), "index").drop("index")
+
+
 def mean_interval(df: DataFrame, unit: str, x: str, reps: int, seed: str) -> DataFrame:
     units = df.groupBy(unit).agg(F.sum(x).alias("x"), F.count("*").alias("k"))
-    values = units.agg(*in_order(unit, x=F.col("x"), k=F.col("k")), F.count("*").alias("n"))
-    total = lambda c: F.aggregate("h", F.lit(0.0), lambda a, i: a + F.coalesce(F.get(c, i).cast("double"), F.lit(0.0)))
-    m = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select(F.try_divide(total("x"), total("k")).alias("m"))
+    m = drawn(units, unit, reps, seed).groupBy("rep").agg(F.try_divide(F.sum("x"), F.sum("k").cast("double")).alias("m"))
     return m.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi")).crossJoin(df.agg(F.avg(x).alias("p"))).select(F.round("p", 6).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
 
 
+#: Units that share a range of hashes of a permutation, on average.
+SHARE = 64
+
+
 def permutation(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed: str) -> DataFrame:
-    """``n_pos, hits, p_value`` for the absolute difference of sums: labels go to the n_pos lowest hashes of each replicate."""
-    v = df.withColumn("x6", F.round(F.col(x) * 1_000_000).cast("long"))
-    n = v.agg(F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), F.sum("x6").alias("total"), F.coalesce(F.sum(F.when(F.col(positive), F.col("x6"))), F.lit(0)).alias("s"), F.collect_list(F.struct(unit, "x6")).alias("units"))
-    hashed = F.transform("units", lambda u: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), u[unit].cast("string"))), u[unit], u["x6"].alias("x6")))
-    drawn = F.slice(F.array_sort(hashed), F.lit(1), F.col("n_pos").cast("int"))
-    sums = replicates(n, reps).where("n_pos > 0").withColumn("t", F.aggregate(drawn, F.lit(0).cast("long"), lambda a, u: a + F.coalesce(u["x6"], F.lit(0))))
+    """``n_pos, hits, p_value`` for the absolute difference of sums: labels go to the n_pos lowest hashes of each replicate.
+
+    Hashes are never sorted as a whole: counts and sums by ranges of hashes (merged before the shuffle) tell the range in which the
+    n_pos-th hash of a replicate lies; only that range's units are ranked."""
+    v = df.select(unit, positive, F.round(F.col(x) * 1_000_000).cast("long").alias("x6")).persist()
+    total = v.agg(F.count("*").alias("n"), F.count_if(positive).alias("n_pos"), F.sum("x6").alias("total"), F.coalesce(F.sum(F.when(F.col(positive), F.col("x6"))), F.lit(0)).alias("s"))
+    n = v.count()
+    digits = max(1, math.ceil(math.log(max(n / SHARE, 1), 16)))
+    each = v.repartition(4 * v.sparkSession.sparkContext.defaultParallelism, unit).select(unit, "x6", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    each = each.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), F.col("rep").cast("string"), F.col(unit).cast("string")))).withColumn("range", F.substring("h", 1, digits))
+    sums = each.groupBy("rep", "range").agg(F.count("*").alias("k"), F.sum("x6").alias("x6"))
+    upto = Window.partitionBy("rep").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rep", "range", "k", F.coalesce(F.sum("k").over(upto), F.lit(0)).alias("before"), F.coalesce(F.sum("x6").over(upto), F.lit(0)).alias("below"))
+    cut = sums.crossJoin(F.broadcast(total)).where("before < n_pos AND before + k >= n_pos").select("rep", "range", "below", (F.col("n_pos") - F.col("before")).alias("need"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("h", unit))
+    # one row a replicate: their number is given, so they can be sent to all tasks
+    inside = each.join(F.broadcast(cut), ["rep", "range"]).withColumn("r", rank).where("r <= need").groupBy("rep").agg((F.sum("x6") + F.first("below")).alias("t"))
     far = lambda c: F.abs(F.col(c) * F.col("n") - F.col("total") * F.col("n_pos"))
-    return sums.groupBy("n_pos").agg(F.count_if(far("t") >= far("s")).alias("hits")).select("n_pos", "hits", F.round((F.col("hits") + 1) / (reps + 1), 9).alias("p_value"))
+    return inside.crossJoin(F.broadcast(total)).groupBy("n_pos").agg(F.count_if(far("t") >= far("s")).alias("hits")).select("n_pos", "hits", F.round((F.col("hits") + 1) / (reps + 1), 9).alias("p_value"))
 
 
 def median_gap(df: DataFrame, unit: str, positive: str, x: str, reps: int, seed: str, low: int, high: int) -> DataFrame:
     """``point, low, high`` of the difference of the classes' medians. Each class is drawn from itself; the bounds are the
-    ``low``-th and ``high``-th smallest replicate."""
+    ``low``-th and ``high``-th smallest replicate. A replicate's values are counted before they are put in order."""
     sides = []
     for tag in (True, False):
         side = df.where(F.col(positive) == F.lit(tag))
-        values = side.groupBy(unit).agg(F.collect_list(x).alias("x")).agg(*in_order(unit, x=F.col("x")), F.count("*").alias("n"))
-        r = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", F.array_sort(F.flatten(F.transform("h", lambda i: F.get("x", i)))).alias("y"))
-        at = lambda k: F.get("y", F.floor(k).cast("int"))
-        sides.append((side.agg(F.median(x).alias(f"p{int(tag)}")), r.select("rep", ((at((F.size("y") - 1) / 2) + at(F.size("y") / 2)) / 2).alias(f"m{int(tag)}"))))
+        counts = drawn(side.select(unit).distinct(), unit, reps, seed).join(side.select(unit, F.col(x).alias("x")), unit).groupBy("rep", "x").agg(F.count("*").alias("k"))
+        upto = Window.partitionBy("rep").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = counts.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(Window.partitionBy("rep")))
+        at = lambda p: F.max(F.when((F.col("upto") - F.col("k") <= p) & (p < F.col("upto")), F.col("x")))
+        m = placed.groupBy("rep").agg(((at(F.expr("(n - 1) DIV 2")) + at(F.expr("n DIV 2"))) / 2).alias(f"m{int(tag)}"))
+        sides.append((side.agg(F.median(x).alias(f"p{int(tag)}")), m))
     (p1, m1), (p0, m0) = sides
-    gaps = m1.join(m0, "rep").agg(F.array_sort(F.collect_list(F.col("m1") - F.col("m0"))).alias("g"))
+    gaps = m1.join(m0, "rep").agg(F.array_sort(F.collect_list(F.col("m1") - F.col("m0"))).alias("g"))  # one number a replicate
     at = lambda i: F.round(F.try_element_at("g", F.lit(i)), 6)
     return gaps.crossJoin(p1).crossJoin(p0).select(F.round(F.col("p1") - F.col("p0"), 6).alias("point"), at(low).alias("low"), at(high).alias("high"))
 
 
 def unit_auroc(df: DataFrame, unit: str, positive: str, score: str, reps: int, seed: str) -> DataFrame:
-    """``n, point, low, high``: AUROC (positive expected lower) with units drawn with replacement, one row per unit.
-
-    Scores are ranked once; a replicate sorts its draws by rank and passes over them once."""
-    ranked = df.withColumn("g", F.dense_rank().over(Window.orderBy(score)))  # units of an audit sample
-    values = ranked.agg(*in_order(unit, code=2 * F.col("g") + F.when(F.col(positive), 1).otherwise(0)), F.count("*").alias("n"))
-    r = replicates(values, reps).withColumn("h", hits(seed, F.col("n")))
-    drawn = F.array_sort(F.transform("h", lambda i: F.get("code", i)))
-    state = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("g", "p", "q", "below", "u", "np")])
-
-    # p, q: positives and negatives of the rank g; below: positives of lower ranks; a negative wins over those
-    def step(a: Column, code: Column) -> Column:
-        g, pos = F.floor(code / 2).cast("long"), (code % 2).cast("long")
-        fresh = g != a["g"]
-        p, q = F.when(fresh, 0).otherwise(a["p"]), F.when(fresh, 0).otherwise(a["q"])
-        below = a["below"] + F.when(fresh, a["p"]).otherwise(0)
-        gain = F.when(pos == 1, q).otherwise(2 * below + p)
-        return F.struct(g.alias("g"), (p + pos).alias("p"), (q + 1 - pos).alias("q"), below.alias("below"), (a["u"] + gain).alias("u"), (a["np"] + pos).alias("np"))
-
-    won = F.aggregate(drawn, state, step)
-    r = r.select("n", won.alias("w")).select(F.try_divide("w.u", 2 * F.col("w.np") * (F.col("n") - F.col("w.np"))).alias("a"))
+    """``n, point, low, high``: AUROC (positive expected lower) with units drawn with replacement, one row per unit. Draws are counted by
+    score and summed up by ranges of scores, as all ranks are."""
+    units = df.select(unit, F.col(positive).alias("pos"), F.col(score).alias("s"))
+    r = scoring.auroc(drawn(units, unit, reps, seed), ["rep"], "s", F.col("pos")).select(F.col("auroc").alias("a"))
     point = scoring.auroc(df, [], score, F.col(positive)).select("auroc", (F.col("n_pos") + F.col("n_neg")).alias("n"))
     return r.agg(F.percentile("a", 0.025).alias("lo"), F.percentile("a", 0.975).alias("hi")).crossJoin(point).select("n", F.round("auroc", 9).alias("point"), F.round("lo", 6).alias("low"), F.round("hi", 6).alias("high"))
 
@@ -153,72 +167,69 @@ def walk(x, y, width: float):
 
 def caliper_interval(df: DataFrame, unit: str, positive: str, feature: str, score: str, reps: int, seed: str, width: float = 0.05) -> DataFrame:
     """``n_defined, low, high`` of the caliper AUROC with units drawn with replacement and matched anew for each replicate;
-    undefined below :data:`.strata.LEAST_MATCHES` matches. A replicate is a walk in Python: units are an audit sample."""
+    undefined below :data:`.strata.LEAST_MATCHES` matches. A walk depends on every match before it, so a replicate's draws are one
+    group; replicates are dealt over the tasks."""
     from .strata import LEAST_MATCHES
 
-    rows = df.where(F.col(feature).isNotNull() & F.col(score).isNotNull())
-    values = rows.agg(*in_order(unit, f=F.col(feature), s=F.col(score), pos=F.col(positive)), F.count("*").alias("n"))
-    drawn = replicates(values, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", "h", "f", "s", "pos")
+    units = df.where(F.col(feature).isNotNull() & F.col(score).isNotNull()).select(unit, F.col(feature).alias("f"), F.col(score).alias("s"), F.col(positive).alias("pos"))
 
-    def go(frames):
-        for d in frames:
-            out = []
-            for h, f, s, pos in zip(d["h"], d["f"], d["s"], d["pos"], strict=True):
-                order = h[np.argsort(f[h], kind="stable")]
-                a, b = order[pos[order]], order[~pos[order]]
-                pairs = list(walk(f[a].tolist(), f[b].tolist(), width))
-                if len(pairs) < LEAST_MATCHES:
-                    out.append(None)
-                    continue
-                i, j = zip(*pairs, strict=True)
-                p, q = s[a[list(i)]], np.sort(s[b[list(j)]])
-                higher, same = len(q) - np.searchsorted(q, p, "right"), np.searchsorted(q, p, "right") - np.searchsorted(q, p, "left")
-                out.append(float((higher + 0.5 * same).sum() / (len(p) * len(q))))
-            yield pd.DataFrame({"a": pd.Series(out, dtype="float64")})
-
-    a = drawn.mapInPandas(go, "a double").select(F.when(~F.isnan("a"), F.col("a")).alias("a"))
+    def go(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["f", "slot"])
+        f, s, pos = d["f"].to_numpy(), d["s"].to_numpy(), d["pos"].to_numpy(bool)
+        pairs = list(walk(f[pos].tolist(), f[~pos].tolist(), width))
+        if len(pairs) < LEAST_MATCHES:
+            return pd.DataFrame({"a": pd.Series([None], dtype="float64")})
+        i, j = zip(*pairs, strict=True)
+        p, q = s[pos][list(i)], np.sort(s[~pos][list(j)])
+        higher, same = len(q) - np.searchsorted(q, p, "right"), np.searchsorted(q, p, "right") - np.searchsorted(q, p, "left")
+        return pd.DataFrame({"a": [float((higher + 0.5 * same).sum() / (len(p) * len(q)))]})
+
+    a = drawn(units, unit, reps, seed).select("rep", "slot", "f", "s", "pos").groupBy("rep").applyInPandas(go, "a double").select(F.when(~F.isnan("a"), F.col("a")).alias("a"))
     return a.agg(F.count("a").alias("n_defined"), F.round(F.percentile("a", 0.025), 6).alias("low"), F.round(F.percentile("a", 0.975), 6).alias("high"))
 
 
-def pav(y: np.ndarray) -> np.ndarray:
-    """Non-increasing fit."""
-    out: list[list[float]] = []
-    for v in y:
-        out.append([v, 1])
-        while len(out) > 1 and out[-2][0] < out[-1][0]:
-            (a, m), (b, n) = out[-2], out.pop()
-            out[-1] = [(a * m + b * n) / (m + n), m + n]
-    return np.concatenate([np.full(int(n), v) for v, n in out])
-
-
-def crossing(bins: np.ndarray, y: np.ndarray, level: float, steps: int = 60) -> tuple[float, int]:
-    """Where the monotone cubic through the knots (over log2 of the bins) first falls to the level, and a code: 0 inside, 1 from
-    the first knot on, 2 never, 3 a knot is missing."""
-    if np.isnan(y).any():
-        return np.nan, 3
-    if y[0] <= level:
-        return np.nan, 1
-    below = np.flatnonzero(y <= level)
-    if not len(below):
-        return np.nan, 2
-    x, k = np.log2(bins.astype(float)), below[0]
-    d = np.diff(y) / np.diff(x)
-    m = np.r_[d[0], [2 * a * b / (a + b) if a * b > 0 else 0.0 for a, b in zip(d[:-1], d[1:], strict=True)], d[-1]]
-    lo, hi, h = x[k - 1], x[k], x[k] - x[k - 1]
+def isotonic_fits(y: np.ndarray) -> np.ndarray:
+    """Non-increasing fits of the rows of ``y``: at each knot the least, over the knots up to it, of the greatest mean of a stretch
+    from there to a knot not before it. Rows with a missing knot stay."""
+    n = y.shape[1]
+    s = np.concatenate([np.zeros((len(y), 1)), np.cumsum(y, 1)], 1)
+    means = lambda i, k: np.stack([(s[:, j + 1] - s[:, i]) / (j + 1 - i) for j in range(k, n)], 1).max(1)
+    return np.where(np.isnan(y).any(1, keepdims=True), y, np.stack([np.stack([means(i, k) for i in range(k + 1)], 1).min(1) for k in range(n)], 1))
+
+
+def crossings(bins: np.ndarray, y: np.ndarray, level: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``y`` where the monotone cubic through the knots (over log2 of ``bins``) first falls to the level, and a code: 0
+    inside, 1 from the first knot on, 2 never, 3 a knot is missing. The rule is that of :func:`.fit.level_crossing`."""
+    x, rows = np.log2(bins.astype(float)), np.arange(len(y))
+    low = y <= level
+    code = np.where(np.isnan(y).any(1), 3, np.where(low[:, 0], 1, np.where(low.any(1), 0, 2)))
+    if len(x) < 2:
+        return np.full(len(y), np.nan), code
+    k = np.maximum(low.argmax(1), 1)
+    d = np.diff(y, axis=1) / np.diff(x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        m = np.concatenate([d[:, :1], np.where(d[:, :-1] * d[:, 1:] > 0, 2 * d[:, :-1] * d[:, 1:] / (d[:, :-1] + d[:, 1:]), 0.0), d[:, -1:]], 1)
+    left, right = x[k - 1], x[k]
+    lo, hi, h = left.copy(), right.copy(), right - left
     for _ in range(steps):
         mid = (lo + hi) / 2
-        t = (mid - x[k - 1]) / h
-        v = (2 * t**3 - 3 * t**2 + 1) * y[k - 1] + h * (t**3 - 2 * t**2 + t) * m[k - 1] + (3 * t**2 - 2 * t**3) * y[k] + h * (t**3 - t**2) * m[k]
-        lo, hi = (mid, hi) if v > level else (lo, mid)
-    return float(2**hi), 0
+        t = (mid - left) / h
+        v = (2 * t**3 - 3 * t**2 + 1) * y[rows, k - 1] + h * (t**3 - 2 * t**2 + t) * m[rows, k - 1] + (3 * t**2 - 2 * t**3) * y[rows, k] + h * (t**3 - t**2) * m[rows, k]
+        lo, hi = np.where(v > level, mid, lo), np.where(v > level, hi, mid)
+    return np.where(code == 0, 2.0**hi, np.nan), code
+
+
+def _alike(curves: pd.DataFrame):
+    """Curves of the same knots as (places, knots, values), so that numpy fits them at once."""
+    keys = curves["xs"].map(tuple)
+    for xs, at in keys.groupby(keys).groups.items():
+        yield at, np.array(xs), np.array(curves.loc[at, "ys"].map(lambda v: [np.nan if z is None else z for z in v]).tolist(), float)
 
 
 def drawn_curves(df: DataFrame, unit: str, group: str, x: str, y: str, reps: int, seed: str) -> DataFrame:
     """``rep, group, xs, ys``: for each replicate (0: all units once) and group the mean of y at each x over the drawn units.
     One draw of units serves all groups, so that curves of a replicate can be compared."""
-    units = df.select(unit).distinct().agg(F.array_sort(F.collect_list(unit)).alias("units"), F.count("*").alias("n"))
-    r = replicates(units, reps).withColumn("h", hits(seed, F.col("n"))).select("rep", F.explode("h").alias("i"), "units").select("rep", F.get("units", F.col("i")).alias(unit))
-    w = r.groupBy("rep", unit).agg(F.count("*").alias("w")).unionByName(df.select(F.lit(0).cast("long").alias("rep"), unit, F.lit(1).cast("long").alias("w")).distinct())
+    w = drawn(df.select(unit).distinct(), unit, reps, seed).groupBy("rep", unit).agg(F.count("*").alias("w")).unionByName(df.select(F.lit(0).cast("long").alias("rep"), unit, F.lit(1).cast("long").alias("w")).distinct())
     sums = df.groupBy(unit, group, x).agg(F.sum(y).alias("s"), F.count(y).alias("k"))
     points = w.join(sums, unit).groupBy("rep", group, x).agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("k"))).alias("v"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col("v").alias("v"))))
@@ -233,11 +244,11 @@ def crossing_intervals(curves: DataFrame, group: str, levels: list[float]) -> Da
 
     def go(frames):
         for d in frames:
-            out = []
-            for rep, g, xs, ys in zip(d["rep"], d[group], d["xs"], d["ys"], strict=True):
-                fit = pav(np.asarray(ys, float))
-                out += [(rep, g, level, *crossing(np.asarray(xs), fit, level), xs[0], xs[-1]) for level in levels]
-            yield pd.DataFrame(out, columns=["rep", group, "level", "at", "code", "least", "most"])
+            for at, xs, ys in _alike(d):
+                fit = isotonic_fits(ys)
+                for level in levels:
+                    where, code = crossings(xs, fit, level)
+                    yield pd.DataFrame({"rep": d.loc[at, "rep"], group: d.loc[at, group], "level": level, "at": where, "code": code.astype(np.int32), "least": float(xs[0]), "most": float(xs[-1])})
 
     kind = dict(curves.dtypes)[group]
     c = curves.mapInPandas(go, f"rep long, {group} {kind}, level double, at double, code int, least double, most double")
@@ -256,7 +267,8 @@ def transfer_band(curves: DataFrame, group: str, base: str) -> DataFrame:
 
     def go(frames):
         for d in frames:
-            d["ys"] = [pav(np.asarray(y, float)) if g == base else y for g, y in zip(d[group], d["ys"], strict=True)]
+            for at, _, ys in _alike(d[d[group] == base]):
+                d.loc[at, "ys"] = pd.Series(list(isotonic_fits(ys)), index=at)
             yield d
 
     fitted = curves.mapInPandas(go, curves.schema)

@@ -160,10 +160,10 @@ def flips(spark, d) -> DataFrame:
 @query(None)
 def crossing_interval(spark, d):
     """Lengths at which the mean change falls to a level, with intervals over items."""
-    return resample.crossing_intervals(resample.drawn_curves(flips(spark, d), "item_id", "lang", "bin", "y", 2_000, SEED), "lang", [0.05, 0.1, 0.2, 0.3])
+    return resample.crossing_intervals(resample.drawn_curves(flips(spark, d), "item_id", "lang", "bin", "y", resample.BOOTSTRAPS, SEED), "lang", [0.05, 0.1, 0.2, 0.3])
 
 
 @query(None)
 def held_out_transfer(spark, d):
     """Languages against the fitted curve of English, over the same draws of items."""
-    return resample.transfer_band(resample.drawn_curves(flips(spark, d), "item_id", "lang", "bin", "y", 2_000, SEED), "lang", "en")
+    return resample.transfer_band(resample.drawn_curves(flips(spark, d), "item_id", "lang", "bin", "y", resample.BOOTSTRAPS, SEED), "lang", "en")

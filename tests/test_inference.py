@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgate.functions import text as T
-from siftgate.operators import integrity, pairs, resample, scoring
+from siftgate.operators import fit, integrity, pairs, resample, scoring
+from siftgate.plans import inference
 
 SEED = "s"
 
@@ -80,11 +81,49 @@ def test_curves_crossings_and_transfer(spark):
     c.unpersist()
 
 
-def test_pav_and_crossing():
-    assert resample.pav(np.array([3.0, 1, 2, 0])).tolist() == [3, 1.5, 1.5, 0]
-    v, code = resample.crossing(np.array([64, 128, 256]), np.array([1.0, 0.5, 0.0]), 0.5)
-    assert code == 0 and abs(v - 128) < 1e-6
-    assert [resample.crossing(np.array([64, 128]), np.array(y), 0.5)[1] for y in ([0.4, 0.1], [0.9, 0.8], [0.9, math.nan])] == [1, 2, 3]
+def pooled(y):
+    """Non-increasing fit by pooling neighbours."""
+    out = []
+    for v in y:
+        out.append([v, 1])
+        while len(out) > 1 and out[-2][0] < out[-1][0]:
+            (p, m), (q, n) = out[-2], out.pop()
+            out[-1] = [(p * m + q * n) / (m + n), m + n]
+    return [v for v, n in out for _ in range(n)]
+
+
+def test_fits_and_crossings_of_many_curves(spark):
+    rnd = np.random.default_rng(4)
+    y = np.concatenate([[[3.0, 1, 2, 0], [1, 1, 1, 1], [0, 1, 2, 3]], rnd.normal(size=(50, 4)), [[1, np.nan, 0, 0]]])
+    assert np.allclose(resample.isotonic_fits(y)[:-1], [pooled(v) for v in y[:-1]]) and np.isnan(resample.isotonic_fits(y)[-1]).any()
+    v, code = resample.crossings(np.array([64, 128, 256]), np.array([[1.0, 0.5, 0.0]]), 0.5)
+    assert code.tolist() == [0] and abs(v[0] - 128) < 1e-6
+    assert resample.crossings(np.array([64, 128]), np.array([[0.4, 0.1], [0.9, 0.8], [0.9, np.nan]]), 0.5)[1].tolist() == [1, 2, 3]
+    # the same rule as the one for a single curve
+    bins = [64, 128, 256, 512]
+    for i, curve in enumerate(resample.isotonic_fits(rnd.random((6, 4)))):
+        one = {r.level: r for r in fit.level_crossing(spark.createDataFrame(list(zip(bins, curve.tolist())), "b int, y double"), "b", "y", [0.3, 0.5, 0.7]).collect()}
+        for level, r in one.items():
+            at, code = resample.crossings(np.array(bins), curve[None], level)
+            assert code[0] == r.code and (r.crossing is None or abs(at[0] - r.crossing) < 1e-6), (i, level)
+
+
+def test_intervals_of_curves_run_the_counts_of_the_reference(spark, sf, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def stop(*a):
+        seen.append([x for x in a if isinstance(x, int)][-1])
+        raise Stop
+
+    for f in ("drawn_curves", "caliper_interval", "unit_auroc"):
+        monkeypatch.setattr(resample, f, stop)
+    for q in ("crossing_interval", "held_out_transfer", "caliper_bootstrap", "anchor_bootstrap_auroc"):
+        with pytest.raises(Stop):
+            inference.QUERIES[q](spark, sf)
+    assert seen == [10_000] * 4
 
 
 @pytest.mark.parametrize("block", [4, 50])
