@@ -23,12 +23,16 @@ def numbered(df: DataFrame, hashed: Column, tie: str) -> DataFrame:
 RANGES = 256
 
 
-def indexed(df: DataFrame, by: str) -> DataFrame:
-    """``df`` with ``index``, its place (from 0) in ascending order of ``by``, a numeric column of distinct values without null:
-    places within each range of values behind the sum of the ranges before. Ranges are cut at approximate quantiles."""
+def indexed(df: DataFrame, by: str, within: str | None = None) -> DataFrame:
+    """``df`` with ``index``, its place (from 0) in ascending order of ``by``, a numeric column without null, distinct (``within``:
+    among the rows that share that column). Places within each range of values stand behind the sum of the ranges before;
+    ranges are cut at approximate quantiles."""
     edges = df.approxQuantile(by, [i / RANGES for i in range(1, RANGES)], 0.001)
+    key = [within] if within else []
     d = df.withColumn("range", F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda e: e <= F.col(by))))
-    n = d.groupBy("range").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows
-    inner = F.row_number().over(Window.partitionBy("range").orderBy(by))
-    return d.withColumn("inner", inner).join(n.select("range", before.alias("before")), "range").withColumn("index", F.col("before") + F.col("inner") - 1).drop("range", "inner", "before")
+    n = d.groupBy(*key, "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # RANGES rows
+    inner = F.row_number().over(Window.partitionBy(*key, "range").orderBy(by))
+    n = n.select(*[F.col(k).alias("of") for k in key], F.col("range").alias("upto"), before.alias("before"))
+    j = (F.col("range") == F.col("upto")) & (F.col(within).eqNullSafe(F.col("of")) if within else F.lit(True))
+    return d.withColumn("inner", inner).join(n, j).withColumn("index", F.col("before") + F.col("inner") - 1).drop("range", "inner", "before", "upto", "of")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import order
 
 # Fixed values.
 BINS = [64, 96, 128, 256, 512, 1024, 2048, 4096]
@@ -15,11 +16,13 @@ KEPT = 4
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """``item_id, orig, para`` (without its last word), ``affirm`` (the next item), ``scope`` (nullable)."""
-    w = Window.orderBy("item_id")
+    """``item_id, orig, para`` (without its last word), ``affirm`` (the next item's text, of the last the first's), ``scope``
+    (nullable). Items are numbered by ranges of ids, and neighbours joined by their numbers."""
     words = T.ws_tokens(F.col("text"))
-    first = F.first("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return items.select("item_id", F.col("text").alias("orig"), F.array_join(F.slice(words, 1, F.size(words) - 1), " ").alias("para"), F.coalesce(F.lead("text").over(w), first).alias("affirm"), F.when(F.col("item_id") % 10 != 0, F.col("text")).alias("scope"))
+    numbered = order.indexed(items.select("item_id", "text"), "item_id").persist()
+    follows = numbered.select(F.col("text").alias("affirm"), F.when(F.col("index") > 0, F.col("index") - 1).otherwise(numbered.count() - 1).alias("index"))
+    a = numbered.join(follows, "index")
+    return a.select("item_id", F.col("text").alias("orig"), F.array_join(F.slice(words, 1, F.size(words) - 1), " ").alias("para"), "affirm", F.when(F.col("item_id") % 10 != 0, F.col("text")).alias("scope"))
 
 
 def eligible(a: DataFrame) -> DataFrame:
@@ -39,26 +42,53 @@ def cohort(a: DataFrame) -> DataFrame:
 
 
 def reached(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, text, reach``: the longest bin that a document has enough words for (null: none)."""
-    d = docs.select("doc_id", "lang", "text", T.ws_count(F.col("text")).alias("n"))
+    """``doc_id, lang, reach``: the longest bin that a document has enough words for (null: none). Words are counted once: the
+    table (no texts) is kept."""
+    d = docs.select("doc_id", "lang", T.ws_count(F.col("text")).alias("n"))
     reach = F.greatest(*[F.when(F.col("n") >= T.budget(F.lit(b)), F.lit(b)) for b in BINS])
-    return d.select("doc_id", "lang", "text", reach.alias("reach"))
+    return d.select("doc_id", "lang", reach.alias("reach")).persist()
 
 
-def hosts(docs: DataFrame) -> DataFrame:
-    """Documents with enough words for the longest bin that any of their domain (language) reaches: one host serves all
+def longest(counted: DataFrame) -> DataFrame:
+    """``domain, most``: the longest bin that any document of a domain (language) reaches. A row for each language."""
+    return counted.groupBy(F.col("lang").alias("domain")).agg(F.max("reach").alias("most"))
+
+
+def chosen(counted: DataFrame) -> DataFrame:
+    """Of :func:`reached` the documents with enough words for the longest bin that any of their domain reaches: one host serves all
     of a domain's bins, so lengths are never compared across hosts."""
-    d = reached(docs)
-    most = d.groupBy(F.col("lang").alias("domain")).agg(F.max("reach").alias("most"))
-    return d.join(F.broadcast(most), F.expr("lang <=> domain AND reach = most")).select("doc_id", "lang", "text", "reach")
+    return counted.join(F.broadcast(longest(counted)), F.expr("lang <=> domain AND reach = most")).select("doc_id", "lang", "reach")
+
+
+def hosts(docs: DataFrame) -> DataFrame:
+    """:func:`chosen` with texts."""
+    return docs.select("doc_id", "text").join(chosen(reached(docs)), "doc_id").select("doc_id", "lang", "text", "reach")
+
 
+def places(n: Column, kept: int, *key: Column) -> Column:
+    """``kept`` distinct places below ``n`` (all, if there are fewer), each set as likely as any other: for each bound b from n - kept + 1 to
+    n a hash of key and bound draws one below b, which counts unless it was drawn before; then b - 1 does. In the order of a hash."""
+    bounds = F.filter(F.sequence(F.greatest(n - kept, F.lit(0)) + 1, F.greatest(n, F.lit(1))), lambda b: b <= n)
+    text = [x.cast("string") for x in key]
 
-def draw(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
-    """For each anchor and domain the ``KEPT`` hosts with the lowest hashes, in that order."""
-    pairs = a.select("item_id").crossJoin(hosts(docs).select("doc_id", "lang"))
-    h = F.md5(F.concat_ws("|", F.lit(seed), F.col("item_id").cast("string"), "lang", F.col("doc_id").cast("string")))
-    r = F.row_number().over(Window.partitionBy("item_id", "lang").orderBy(h, "doc_id"))
-    return pairs.withColumn("r", r).where(F.col("r") <= KEPT).select("item_id", "lang", "r", "doc_id")
+    def take(have: Column, b: Column) -> Column:
+        t = F.floor(T.unit_hash(*text, b.cast("string")) * b)
+        return F.concat(have, F.array(F.when(F.array_contains(have, t), b - 1).otherwise(t)))
+
+    drawn = F.aggregate(bounds, F.array().cast("array<long>"), take)
+    return F.transform(F.array_sort(F.transform(drawn, lambda p: F.struct(F.md5(F.concat_ws("|", *text, p.cast("string"))), p.alias("p")))), lambda s: s["p"])
+
+
+def draw(a: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
+    """``item_id, lang, r, doc_id``: for each anchor and domain ``KEPT`` hosts of ``pool(doc_id, lang)`` in the order drawn.
+
+    Hosts are numbered within their domain and looked up by the places drawn: rows are anchors x domains x KEPT, no host is looked at
+    besides those drawn."""
+    numbered = order.indexed(pool.select("doc_id", "lang"), "doc_id", "lang")
+    n = pool.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each domain
+    each = a.select("item_id").crossJoin(F.broadcast(n)).withColumn("places", places(F.col("n"), KEPT, F.lit(seed), F.col("item_id"), F.coalesce("lang", F.lit(""))))
+    each = each.select("item_id", F.col("lang").alias("of"), F.posexplode("places").alias("r", "place"))
+    return each.join(numbered, F.expr("of <=> lang AND place = index")).select("item_id", "lang", (F.col("r") + 1).alias("r"), "doc_id")
 
 
 def sentence_counts(sents: Column) -> Column:
@@ -74,19 +104,19 @@ def frame(sents: Column, upto: Column, words: Column) -> Column:
     return F.concat(F.slice(sents, F.lit(1), whole), F.when(rest > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
 
 
-def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
+def titration(a: DataFrame, docs: DataFrame, seed: str, first: DataFrame | None = None) -> DataFrame:
     """Member texts and lexical score for each anchor, domain, bin, position and pair class.
 
     The frame is the first clean host's first sentences, as many words as the budget leaves beside ``orig``, so that every
     member ``a`` has the bin's words exactly; the payload goes in between two sentences. ``scope`` pairs need a scope
-    payload that takes half of the budget at most."""
-    first = first_clean(a, docs, seed).select("item_id", "lang", "doc_id")
+    payload that takes half of the budget at most. ``first``: :func:`first_clean`, if it is there already."""
+    first = (first_clean(a, docs, seed) if first is None else first).select("item_id", "lang", "doc_id", "reach")
     e = eligible(a).where("fits").select("item_id", "bin", "orig", "para", "affirm", "scope")
     # each host's sentences are counted once, each frame's tokens too: positions and pair classes don't change them
-    h = hosts(docs).join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "reach", T.sentences(F.col("text")).alias("sents"))
+    h = docs.select("doc_id", "text").join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.sentences(F.col("text")).alias("sents"))
     h = h.withColumn("upto", sentence_counts(F.col("sents")))
     left = (T.budget(F.col("bin")) - T.ws_count(F.col("orig"))).cast("int")
-    j = e.join(first, "item_id").join(h, "doc_id").where("bin <= reach").withColumn("frame", frame(F.col("sents"), F.col("upto"), left)).drop("sents", "upto")
+    j = e.join(first, "item_id").where("bin <= reach").join(h, "doc_id").withColumn("frame", frame(F.col("sents"), F.col("upto"), left)).drop("sents", "upto")
     j = j.withColumn("tokens", T.token_set(F.array_join("frame", " ")))
     scope = F.when(F.greatest(T.ws_count(F.col("orig")), T.ws_count(F.col("scope"))) <= T.budget(F.col("bin")) / 2, F.col("scope"))
     kinds = F.filter(F.array(*[F.struct(F.lit(n).alias("pair"), F.col("orig").alias("x"), y.alias("y")) for n, y in (("flip", F.col("affirm")), ("faithful", F.col("para")), ("scope", scope))]), lambda s: s["y"].isNotNull())
@@ -107,21 +137,31 @@ def titration(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
     return j.select("item_id", "lang", "bin", "position", "slot", "pair", spliced("x").alias("text_a"), spliced("y").alias("text_b"), "payload_ws", "host_set", "shared", "either", "score")
 
 
-def unfilled(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
+def unfilled(a: DataFrame, docs: DataFrame, seed: str, first: DataFrame | None = None) -> DataFrame:
     """``item_id, lang, bin, position`` of the eligible cells without a frame: no drawn host is clean, or none has the words."""
-    most = reached(docs).groupBy("lang").agg(F.max("reach").alias("most"))
-    u = eligible(a).where("fits").crossJoin(F.broadcast(most))  # a row per language
-    u = u.join(first_clean(a, docs, seed).select("item_id", "lang", "doc_id"), ["item_id", "lang"], "left").where("doc_id IS NULL OR most IS NULL OR bin > most")
+    first = first_clean(a, docs, seed) if first is None else first
+    u = eligible(a).where("fits").crossJoin(F.broadcast(longest(reached(docs)))).withColumnRenamed("domain", "lang")  # a row per language
+    u = u.join(first.select("item_id", "lang", "doc_id"), ["item_id", "lang"], "left").where("doc_id IS NULL OR most IS NULL OR bin > most")
     return u.select("item_id", "lang", "bin", F.explode(F.array(*[F.lit(n) for n, _ in POSITIONS])).alias("position"))
 
 
+#: Anchors that look into a host in one row.
+ASKS = 256
+
+
 def first_clean(a: DataFrame, docs: DataFrame, seed: str) -> DataFrame:
-    """``item_id, lang, r, doc_id``: of each anchor's drawn hosts the first that holds none of its payloads."""
+    """``item_id, lang, r, doc_id, reach``: of each anchor's drawn hosts the first that holds none of its payloads.
+
+    Payloads are brought to the hosts, up to ``ASKS`` anchors in a row: a host's text is folded once for all of them and never
+    copied to an anchor. The table (no texts) is kept."""
     needles = F.array_compact(F.array(*[T.fold(F.col(c)) for c in ("orig", "para", "affirm", "scope")])).alias("needles")
-    j = draw(a, docs, seed).join(a.select("item_id", needles), "item_id")
-    j = j.join(hosts(docs).select("doc_id", T.fold(F.col("text")).alias("body")), "doc_id")
-    clean = j.where(~F.exists("needles", lambda n: F.col("body").contains(n)))
-    return clean.groupBy("item_id", "lang").agg(F.min("r").alias("r"), F.min_by("doc_id", "r").alias("doc_id"))
+    pool = chosen(reached(docs)).persist()
+    asks = draw(a, pool, seed).join(a.select("item_id", needles), "item_id")
+    asks = asks.groupBy("doc_id", F.floor(F.col("item_id") / ASKS).alias("part")).agg(F.collect_list(F.struct("item_id", "lang", "r", "needles")).alias("asks"))
+    j = docs.select("doc_id", T.fold(F.col("text")).alias("body")).join(asks, "doc_id")
+    clean = j.select("doc_id", F.explode(F.filter("asks", lambda x: ~F.exists(x["needles"], lambda n: F.col("body").contains(n)))).alias("x")).select("doc_id", "x.item_id", "x.lang", "x.r")
+    best = clean.groupBy("item_id", "lang").agg(F.min(F.struct("r", "doc_id")).alias("x")).select("item_id", "lang", "x.r", "x.doc_id")
+    return best.join(pool.select("doc_id", "reach"), "doc_id").select("item_id", "lang", "r", "doc_id", "reach").persist()
 
 
 def native_windows(found: DataFrame, bins: list[int]) -> DataFrame:

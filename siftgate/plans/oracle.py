@@ -62,11 +62,21 @@ def sents(x: str) -> str:
     return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
+def _place(k: int) -> str:
+    """CTE of the k-th of four draws without replacement: one below the bound n - 4 + k, or the bound's own if that was drawn."""
+    t = f"floor(('0x' || substr(md5('20260805|' || item_id || '|' || lang || '|' || (n - 4 + {k})), 1, 8))::BIGINT / 4294967296.0 * (n - 4 + {k}))::BIGINT"
+    return f"p{k} AS (SELECT item_id, lang, n, CASE WHEN n - 4 + {k} < 1 THEN have ELSE list_append(have, CASE WHEN list_contains(have, {t}) THEN n - 4 + {k} - 1 ELSE {t} END) END AS have FROM p{k - 1})"
+
+
 #: Hosts have the words of the longest bin that any document of their language reaches; of four drawn ones the first counts
 #: that holds no payload of the anchor.
 HOSTS = f"""rc AS (SELECT doc_id, lang, text, n, (SELECT max(bin) FROM unnest([64, 96, 128, 256, 512, 1024, 2048, 4096]) u(bin) WHERE ceil(bin / 1.3) <= n)::INT AS reach FROM (SELECT doc_id, lang, text, len({ws('text')}) AS n FROM documents)),
 mx AS (SELECT lang, max(reach) AS most FROM rc GROUP BY lang), ho AS (SELECT rc.* FROM rc JOIN mx ON rc.lang IS NOT DISTINCT FROM mx.lang AND reach = most),
-dr AS (SELECT item_id, lang, r::INT AS r, doc_id FROM (SELECT item_id, lang, doc_id, row_number() OVER (PARTITION BY item_id, lang ORDER BY md5('20260805|' || item_id || '|' || lang || '|' || doc_id), doc_id) AS r FROM an, (SELECT doc_id, lang FROM ho)) WHERE r <= 4),
+hn AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM ho),
+p0 AS (SELECT item_id, lang, n, []::BIGINT[] AS have FROM an, (SELECT DISTINCT lang, n FROM hn)),
+{", ".join(_place(k) for k in (1, 2, 3, 4))},
+pr AS (SELECT item_id, lang, unnest(have) AS place FROM p4),
+dr AS (SELECT item_id, lang, row_number() OVER (PARTITION BY item_id, lang ORDER BY md5('20260805|' || item_id || '|' || lang || '|' || place), place)::INT AS r, doc_id FROM pr JOIN hn USING (lang, place)),
 hf AS (SELECT doc_id, {FOLD.format('text')} AS body FROM ho),
 cl AS (SELECT item_id, dr.lang, min(r) AS r, arg_min(dr.doc_id, r) AS doc_id FROM dr JOIN an USING (item_id) JOIN hf ON hf.doc_id = dr.doc_id
   WHERE NOT contains(body, {FOLD.format('orig')}) AND NOT contains(body, {FOLD.format('para')}) AND NOT contains(body, {FOLD.format('affirm')}) AND NOT coalesce(contains(body, {FOLD.format('scope')}), false) GROUP BY item_id, dr.lang)"""

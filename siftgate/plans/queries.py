@@ -35,10 +35,15 @@ def vec_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_pairs(spark, d) -> DataFrame:
+    """Each document beside the next of its language and source. Neighbours are found among ids alone, by ranges of them; texts
+    are then joined by id, so no group of documents is ever sorted with its texts."""
     docs = table(spark, d, "documents")
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    p = docs.select("doc_id", "lang", "source", F.col("text").alias("a"), F.lead("text").over(w).alias("b")).where("b IS NOT NULL")
-    return p.withColumn("jaccard", T.jaccard(F.col("a"), F.col("b")))
+    ids = order.indexed(docs.select("doc_id", "lang", "source", F.struct("lang", "source").alias("group")), "doc_id", "group").persist()
+    after = ids.select(F.col("group").alias("of"), (F.col("index") - 1).alias("place"), F.col("doc_id").alias("next_id"))
+    p = ids.join(after, F.expr("group <=> of AND index = place")).select("doc_id", "lang", "source", "next_id")
+    p = docs.select("doc_id", F.col("text").alias("a")).join(p, "doc_id")
+    p = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("next_id"), F.col("text").alias("b")).join(p, "next_id")
+    return p.select("doc_id", "lang", "source", "a", "b").withColumn("jaccard", T.jaccard(F.col("a"), F.col("b")))
 
 
 def labelled_pairs(spark, d) -> DataFrame:
@@ -278,7 +283,7 @@ def blind_packet(spark, d):
 
 
 def host_draw(spark, d):
-    return passages.draw(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED)
+    return passages.draw(passages.anchors(table(spark, d, "benchmark")), passages.chosen(passages.reached(table(spark, d, "documents"))), SEED)
 
 
 def shard_parity(spark, d):
@@ -309,8 +314,9 @@ def constant_cohort(spark, d):
 
 def splice_stimuli(spark, d):
     """A cell that no host fills is a row without a pair class."""
-    c = cells(spark, d)
-    none = passages.unfilled(passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents"), SEED)
+    a, docs = passages.anchors(table(spark, d, "benchmark")), table(spark, d, "documents")
+    first = passages.first_clean(a, docs, SEED)
+    c, none = passages.titration(a, docs, SEED, first), passages.unfilled(a, docs, SEED, first)
     r = c.select("item_id", "lang", "bin", "position", "pair", F.sha2("text_a", 256).alias("a"), F.sha2("text_b", 256).alias("b"), "payload_ws", F.round("score", 9).alias("score"))
     return r.unionByName(none, allowMissingColumns=True)
 

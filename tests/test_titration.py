@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 
@@ -47,3 +48,24 @@ def test_payloads_stand_between_sentences_and_short_frames_collide(spark):
     assert got == {(b, n): _spliced(host, math.ceil(b / 1.3) - 16, q, item) for b in passages.BINS for n, q in (("early", 0.05), ("middle", 0.5), ("late", 0.95))}
     slots = cells.groupBy("bin", "slot").count().where("count > 1").select("bin").collect()
     assert 64 in {r.bin for r in slots} and 4096 not in {r.bin for r in slots}
+
+
+def _drawn(seed, item, lang, n, kept):
+    """Draws without replacement, bound by bound."""
+    u = lambda b: int(int(hashlib.md5(f"{seed}|{item}|{lang}|{b}".encode()).hexdigest()[:8], 16) / 2**32 * b)
+    have = []
+    for b in range(max(n - kept, 0) + 1, n + 1):
+        have.append(b - 1 if u(b) in have else u(b))
+    return sorted(have, key=lambda p: hashlib.md5(f"{seed}|{item}|{lang}|{p}".encode()).hexdigest())
+
+
+def test_hosts_are_drawn_by_places_without_a_crossing(spark):
+    sizes = {"en": 1000, "de": 5, "fr": 2}
+    pool = spark.createDataFrame([(1000 * k + 7 * i, lang) for k, (lang, n) in enumerate(sizes.items()) for i in range(n)], "doc_id long, lang string")
+    a = spark.createDataFrame([(i,) for i in range(30)], "item_id long")
+    got = passages.draw(a, pool, SEED)
+    want = {(i, lang, r + 1, 1000 * k + 7 * p) for i in range(30) for k, (lang, n) in enumerate(sizes.items()) for r, p in enumerate(_drawn(SEED, i, lang, n, 4))}
+    assert {tuple(r) for r in got.select("item_id", "lang", "r", "doc_id").collect()} == want and len(want) == 30 * (4 + 4 + 2)
+    assert len({w[3] for w in want if w[1] == "en"}) > 90  # no host is favoured
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Cross") == 1 and "doc_id" not in plan[plan.index("Cross") :].split("\n")[1]  # anchors x domains only
