@@ -3,8 +3,9 @@
 Two generative models of hashed word n-grams (single words and pairs, in spaces of their own): the target from
 labelled clean documents, the raw one from all documents. A document's log weight is the sum of the log ratios
 of its n-grams; adding Gumbel noise and keeping the k largest samples k documents without replacement in
-proportion to their weights. k is a budget of documents. Where none is given it is the number of clean documents to be expected, their share among
-the labelled documents times the number of documents. It hangs on no score.
+proportion to their weights. k is a budget of documents. Where none is given it is a share of all documents, the one that a draw takes of the labelled documents
+without part in the target model if it is to hold all but ``LOSS`` of their clean ones. So the labelled sample sets the budget, and the draw
+over all documents decides who fills it.
 
 The target model is fitted on at most ``sample`` labelled clean documents, every second by md5 of their id (a
 documented bound). The raw model counts every document. Both models have a fixed number of buckets, as hashed n-gram
@@ -34,6 +35,8 @@ BUCKETS = WORDS + PAIRS
 #: Added to both counts of a bucket: rare n-grams say little.
 PRIOR = 2.0
 SAMPLE = 20_000
+#: Share of the clean documents that the budget may leave out.
+LOSS = 0.01
 SEED = "draw-1"
 CHUNK = 1 << 21
 
@@ -102,10 +105,14 @@ def kth_key(keys: DataFrame, k: int) -> float:
             k -= r["n"]
 
 
-def budget(labels: DataFrame, n: int) -> int:
-    """Of ``n`` documents those expected to be clean: their share among ``labels(doc_id, q, t)``, one row an id. All if none is."""
-    m, clean = labels.agg(F.count("*"), F.count_if("q = 1 AND t = 0")).first()
-    return math.ceil(n * clean / m) if clean else n
+def budget(held: DataFrame, n: int, loss: float = LOSS) -> int:
+    """Of ``n`` documents how many to draw: the share that a draw takes of the labelled ones ``held(key, clean)`` if it is to hold all but
+    ``loss`` of the clean ones, times n. All, where none is clean."""
+    n_clean = held.where("clean").count()
+    if not n_clean:
+        return n
+    least = kth_key(held.where("clean").select("key"), n_clean - int(n_clean * loss))
+    return math.ceil(n * held.agg(F.avg((F.col("key") >= F.lit(least)).cast("int"))).first()[0])
 
 
 def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, sample: int = SAMPLE, seed: str = SEED) -> DataFrame:
@@ -119,7 +126,7 @@ def _resample(d: DataFrame, labels: DataFrame, k: int | None, sample: int, seed:
     told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t"))
     clean = told.where("q = 1 AND t = 0")
     clean = clean.select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("h")).withColumn("half", F.conv(F.substring("h", 32, 1), 16, 10).cast("int") % 2)
-    # one half of the clean documents can be in the target model, the other is there for measuring it
+    # one half of the clean documents can be in the target model, the other tells the budget
     target = np.array([r[0] for r in clean.where("half = 0").orderBy("h", "doc_id").limit(sample).select("doc_id").collect()], np.int64)
     counts = d.select("doc_id", "text").mapInArrow(_count(target), "bucket int, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")).toArrow()
     raw, aim = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -138,7 +145,10 @@ def _resample(d: DataFrame, labels: DataFrame, k: int | None, sample: int, seed:
     scored = scored.withColumn("key", F.col("log_weight") - F.log(-F.log(u)))
     scored = C.table(scored if text else scored.drop("text"), "weights")
     if k is None:
-        k = budget(told, scored.count())
+        # of the labelled documents half, so that both kinds stand in their proportion
+        half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 32, 1), 16, 10).cast("int") % 2
+        held = told.where(half == 1).select("doc_id", F.expr("q = 1 AND t = 0").alias("clean")) if len(target) else told.where("false").select("doc_id", F.lit(False).alias("clean"))
+        k = budget(scored.select("doc_id", "key").join(held, "doc_id").select("key", "clean"), scored.count())
     return scored.withColumn("kept", F.col("key") >= F.lit(kth_key(scored.select("key"), k)))
 
 

@@ -44,17 +44,30 @@ def rows_of(r):
     return [(x.doc_id, 0 if x.text_before is None else x.text_before.count("\n") + 1, x.n_removed_lines, len(x.removed), hashlib.sha256((x.text or "").encode()).hexdigest()) for x in r.collect()]
 
 
-def test_short_passages_amid_own_lines_go(spark):
+def test_repeated_passages_lose_a_line_at_each_end_on_average(spark):
+    """Passages of n lines between lines of each text's own: what goes lies within the passage, ends are left by the boundaries."""
     rows = []
-    for n in (2, 3, 4, 5):
-        for k in range(40):
+    for n in (2, 4, 8, 16):
+        for k in range(60):
             passage = [f"passage {n} {k} line {i}" for i in range(n)]
             rows += [(len(rows) + j, "\n".join([f"own {n} {k} {j} a", f"own {n} {k} {j} b", *passage, f"own {n} {k} {j} c", f"own {n} {k} {j} d"])) for j in (0, 1)]
     r = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(x.text.count("own") == 4 for x in r)
     assert all(x.n_removed_lines == 0 for x in r if x.doc_id % 2 == 0)
-    every = 40 * (2 + 3 + 4 + 5)
-    assert every * 0.9 <= sum(x.n_removed_lines for x in r) <= every
+    for i, (n, least) in enumerate(((2, 0.15), (4, 0.45), (8, 0.7), (16, 0.85))):
+        got = sum(x.n_removed_lines for x in r if i * 120 <= x.doc_id < (i + 1) * 120) / (60 * n)
+        assert least <= got <= 1, (n, got)
+
+
+def test_chunks_are_content_defined_and_of_several_lines(spark, sf):
+    """Three lines on average in long texts; boundaries within a passage don't move with what stands around it."""
+    text = [f"line {i}" for i in range(3000)]
+    sizes = [j - i + 1 for i, j in chunks(text)]
+    assert 2.8 < sum(sizes) / len(sizes) < 3.2 and max(sizes) > 6 and sizes.count(2) < 0.6 * len(sizes)
+    inner = {(i, j) for i, j in chunks(text) if 100 < i and j < 2900}
+    assert inner == {(i - 7, j - 7) for i, j in chunks([f"before {i}" for i in range(7)] + text + ["behind"]) if 107 < i and j < 2907}
+    found = line_dedup.line_dedup(spark.createDataFrame([(0, "\n".join(text)), (1, "\n".join(["own", *text, "own too"]))], "doc_id long, text string")).where("doc_id = 1").first()
+    assert found.n_removed_lines > 2990
 
 
 def test_line_dedup_equals_plain_chunks(spark, monkeypatch):

@@ -255,6 +255,25 @@ def test_draw_is_the_top_k_and_favours_the_target(spark):
     assert again == {i: x.key for i, x in r.items()}
 
 
+def test_the_budget_is_a_share_and_no_threshold(spark):
+    """Half of the labelled documents are clean, none of the others is: a threshold would keep a sixth of all, the budget draws half."""
+    rnd = random.Random(6)
+    good, bad = [f"g{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join(rnd.choice(good if i < 600 and i % 2 else bad) for _ in range(60))) for i in range(1800)]
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(600)])
+    r = quality_classifier.importance_resample(documents(spark, rows, clashes=False), labels).collect()
+    kept = [x for x in r if x.kept]
+    assert 0.4 * 1800 < len(kept) < 0.6 * 1800
+    assert sum(x.doc_id < 600 and x.doc_id % 2 for x in kept) >= 295
+    assert min(x.key for x in kept) > max(x.key for x in r if not x.kept)
+
+
+def test_rows_without_an_id_draw_apart(spark):
+    docs = documents(spark, [(None, f"text {i}") for i in range(20)], clashes=False)
+    r = quality_classifier.importance_resample(docs, labels_of(spark), k=5).collect()
+    assert sum(x.kept for x in r) == 5
+
+
 def test_log_weights_equal_plain_sums(spark):
     """Texts of few words, so that no two n-grams share a bucket."""
     rows = [(i, " ".join("abcdefgh"[(i * j) % 8] for j in range(1, 12))) for i in range(1, 40)]
