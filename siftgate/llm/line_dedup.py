@@ -3,7 +3,8 @@ place. Native.
 
 Boundaries come from a rolling hash over two neighbouring lines. A chunk opens at a line if the hash of it and the next
 line is divisible by ``EVERY``, and closes at the first line from there on for which other digits of the hash
-of the line before and itself are (a text's first and last lines always open and close one). So a chunk has two
+of the line before and itself are (a text's first and last lines always open and close one). Another opens behind each closing line, so that
+no line between the first opening and the last closing one is left out. So a chunk has two
 lines or more, 1 + ``EVERY`` on average within a long text, and hangs on nothing but its own lines: text put in before or behind a passage
 shifts no boundary within it. What a repeated passage loses are the lines before its first opening and behind its last closing one,
 ``EVERY`` - 1 lines at each end on average, none where it begins or ends a text; so passages of two or three lines in foreign surroundings often stay.
@@ -36,7 +37,7 @@ CHUNKS = f"""
 transform(array(split(text, '\\n')), ls -> transform(array(transform(filter(sequence(0, size(ls) - 1), i -> i < size(ls) - 1), i -> xxhash64(ls[i], ls[i + 1]))), r ->
  transform(array(filter(sequence(0, size(r) - 1), e -> size(r) > 0 AND (e = size(r) - 1 OR pmod(shiftright(r[e], 16), {EVERY}) = 0))), ends ->
   transform(filter(transform(
-    flatten(transform(ends, (e, k) -> transform(filter(sequence(if(k = 0, 0, ends[greatest(k - 1, 0)] + 1), e), i -> i = 0 OR pmod(r[i], {EVERY}) = 0), i -> struct(i, e + 1 AS j)))),
+    flatten(transform(ends, (e, k) -> transform(filter(sequence(if(k = 0, 0, ends[greatest(k - 1, 0)] + 1), e), i -> i = 0 OR pmod(r[i], {EVERY}) = 0 OR coalesce(pmod(shiftright(get(r, i - 2), 16), {EVERY}) = 0, false)), i -> struct(i, e + 1 AS j)))),
     c -> struct(c.i, c.j, array_join(slice(ls, c.i + 1, c.j - c.i + 1), '\\n') AS body)), c -> c.body RLIKE '{WORD}'),
    c -> struct(c.i, c.j, xxhash64(c.body) AS h)))[0])[0])[0]
 """
