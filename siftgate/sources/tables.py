@@ -44,10 +44,10 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
-def offset_index(lines: DataFrame) -> DataFrame:
-    """``offset:page:title`` lines; titles may hold colons."""
+def offset_index(lines: DataFrame, *more: str) -> DataFrame:
+    """``offset:page:title`` lines; titles may hold colons. Columns in ``more`` are kept."""
     x = F.split("value", ":", 3)
-    return lines.select(x[0].cast("long").alias("offset"), x[1].cast("long").alias("page"), x[2].alias("title"))
+    return lines.select(*more, x[0].cast("long").alias("offset"), x[1].cast("long").alias("page"), x[2].alias("title"))
 
 
 def files_with_digest(spark: SparkSession, path: str) -> DataFrame:

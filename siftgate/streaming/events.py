@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 LATE = "2 hours"
 
 
@@ -31,12 +30,7 @@ def settled(stream: DataFrame) -> DataFrame:
     """Runs an aggregate over all files that are there and returns its last state. Each batch's state is a table in the
     shared folder, so a lost executor or a restart repeats a batch and not the stream."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="siftgate-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     last = []
 
     def put(batch: DataFrame, number: int) -> None:
