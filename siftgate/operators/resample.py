@@ -261,9 +261,10 @@ def crossing_intervals(curves: DataFrame, group: str, levels: list[float]) -> Da
     return g.select(group, "level", F.round("point", 1).alias("point"), "point_code", *bound("lo", "low"), *bound("hi", "high"), "left_censored", "right_censored")
 
 
-def transfer_band(curves: DataFrame, group: str, base: str) -> DataFrame:
-    """``group, x, observed, predicted, low, high, inside``: curves of the other groups against the fitted curve of ``base``,
-    replicate by replicate; inside: the interval of the differences holds 0."""
+def transfer_band(curves: DataFrame, group: str, base: str, by: list[str] | None = None) -> DataFrame:
+    """``by, group, x, observed, predicted, low, high, inside``: curves of the other groups against the isotonic fit of ``base`` (of the same
+    ``by``), replicate by replicate; inside: the interval of the differences holds 0."""
+    by = by or []
 
     def go(frames):
         for d in frames:
@@ -271,10 +272,9 @@ def transfer_band(curves: DataFrame, group: str, base: str) -> DataFrame:
                 d.loc[at, "ys"] = pd.Series(list(isotonic_fits(ys)), index=at)
             yield d
 
-    fitted = curves.mapInPandas(go, curves.schema)
-    points = fitted.select("rep", group, F.explode(F.arrays_zip("xs", "ys")).alias("p")).select("rep", group, F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
-    pred = points.where(F.col(group) == base).select("rep", "x", F.col("y").alias("pred"))
-    j = points.where(F.col(group) != base).join(pred, ["rep", "x"]).withColumn("gap", F.when(F.col("rep") > 0, F.col("y") - F.col("pred")))
+    points = curves.mapInPandas(go, curves.schema).select(*by, "rep", group, F.explode(F.arrays_zip("xs", "ys")).alias("p")).select(*by, "rep", group, F.col("p.xs").alias("x"), F.col("p.ys").alias("y"))
+    pred = points.where(F.col(group) == base).select(*by, "rep", "x", F.col("y").alias("pred"))
+    j = points.where(F.col(group) != base).join(pred, [*by, "rep", "x"]).withColumn("gap", F.when(F.col("rep") > 0, F.col("y") - F.col("pred")))
     at = lambda c: F.max(F.when(F.col("rep") == 0, F.col(c)))
-    g = j.groupBy(group, "x").agg(at("y").alias("o"), at("pred").alias("p"), F.percentile("gap", 0.025).alias("lo"), F.percentile("gap", 0.975).alias("hi"))
-    return g.select(group, "x", F.round("o", 6).alias("observed"), F.round("p", 6).alias("predicted"), F.round("lo", 4).alias("low"), F.round("hi", 4).alias("high"), ((F.round("lo", 4) <= 0) & (F.round("hi", 4) >= 0)).alias("inside"))
+    g = j.groupBy(*by, group, "x").agg(at("y").alias("o"), at("pred").alias("p"), F.percentile("gap", 0.025).alias("lo"), F.percentile("gap", 0.975).alias("hi"))
+    return g.select(*by, group, "x", F.round("o", 6).alias("observed"), F.round("p", 6).alias("predicted"), F.round("lo", 4).alias("low"), F.round("hi", 4).alias("high"), ((F.round("lo", 4) <= 0) & (F.round("hi", 4) >= 0)).alias("inside"))
