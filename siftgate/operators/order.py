@@ -36,3 +36,13 @@ def indexed(df: DataFrame, by: str, within: str | None = None) -> DataFrame:
     n = n.select(*[F.col(k).alias("of") for k in key], F.col("range").alias("upto"), before.alias("before"))
     j = (F.col("range") == F.col("upto")) & (F.col(within).eqNullSafe(F.col("of")) if within else F.lit(True))
     return d.withColumn("inner", inner).join(n, j).withColumn("index", F.col("before") + F.col("inner") - 1).drop("range", "inner", "before", "upto", "of")
+
+
+def placed(df: DataFrame, within: str, part: Column, *by: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, the place (from 1) of each row among those of its ``within`` in the order of ``part``, a whole number, then
+    ``by``: rows are sorted within a part only, behind the sum of the parts before. Parts are few beside the rows."""
+    d = df.withColumn("part", part)
+    n = d.groupBy(within, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(within).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy(within, "part").orderBy(*by))
+    return d.withColumn(name, inner).join(n.select(within, "part", before.alias("before")), [within, "part"]).withColumn(name, F.col(name) + F.col("before")).drop("part", "before")

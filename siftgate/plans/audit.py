@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import integrity, scoring
+from ..operators import integrity, order, scoring
 from ..sources.tables import table
 from . import oracle as O
 from .queries import SEED, doc_pairs, labelled_pairs, packet, sentences
@@ -100,12 +100,12 @@ _PIECE = r"[A-Za-z]{1,4}|[0-9]|[^\sA-Za-z0-9]"
 _HEAD = r"^[A-Z]\S*( \S+){0,3}\.?$"
 
 
-@query(r"""WITH t AS (SELECT lower(trim(left(text, 40))) AS t FROM conversations UNION ALL SELECT unnest(['Different', ' same ', 'the same, not different', 'UNJUDGEABLE!', '?']) AS t),
+@query(r"""WITH t AS (SELECT lower(trim(text)) AS t FROM conversations UNION ALL SELECT unnest(['Different', ' same ', 'the same, not different', 'UNJUDGEABLE!', '?']) AS t),
 v AS (SELECT lower(trim(t)) AS t FROM t) SELECT CASE WHEN t IN ('different', 'same', 'unjudgeable') THEN t WHEN contains(t, 'different') THEN 'different' WHEN contains(t, 'same') THEN 'same' WHEN contains(t, 'unjudgeable') THEN 'unjudgeable' ELSE 'unparseable' END AS verdict, count(*) AS n FROM v GROUP BY 1""")
 def verdict_parse(spark, d):
     """Answers as verdicts; turns of conversations and five made answers stand in for an annotator's."""
     made = spark.createDataFrame([(x,) for x in ("Different", " same ", "the same, not different", "UNJUDGEABLE!", "?")], "t string")
-    t = table(spark, d, "conversations").select(F.lower(F.trim(F.substring("text", 1, 40))).alias("t")).unionByName(made)
+    t = table(spark, d, "conversations").select(F.lower(F.trim("text")).alias("t")).unionByName(made)
     return t.groupBy(T.verdict(F.col("t")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -258,12 +258,25 @@ def strata_totals(spark, d):
     return l.groupBy(F.concat_ws("|", "lang", "quality", "toxic").alias("stratum")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {O.LP}, g AS (SELECT lang, quality, jaccard AS g2, {O.jac('left(a, 200)', 'left(b, 200)')} AS g1, {O.jac('left(a, 1000)', 'left(b, 1000)')} AS g3 FROM lp), m AS (SELECT lang, avg(g1) AS g1, avg(g3) AS g2, avg(g2) AS g3 FROM g GROUP BY lang)
+def _spans(n: int, t: str) -> str:
+    return f"list_distinct(list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i + {n} - 1], ' ')))"
+
+
+def _overlap(n: int) -> str:
+    return f"(SELECT CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END FROM (SELECT {_spans(n, 'ta')} AS x, {_spans(n, 'tb')} AS y))"
+
+
+@query(f"""WITH {O.DP.split('dp AS')[0].rstrip().rstrip(',')}, l AS MATERIALIZED (SELECT lang, regexp_extract_all(lower(a), '[a-z0-9]+') AS ta, regexp_extract_all(lower(b), '[a-z0-9]+') AS tb FROM dp0 JOIN labels USING (doc_id) WHERE b IS NOT NULL), g AS (SELECT lang, {_overlap(1)} AS g1, {_overlap(2)} AS g2, {_overlap(3)} AS g3 FROM l), m AS (SELECT lang, avg(g1) AS g1, avg(g2) AS g2, avg(g3) AS g3 FROM g GROUP BY lang)
 SELECT round(avg(g1), 6) AS g1, round(avg(g2), 6) AS g2, round(avg(g3), 6) AS g3, avg(g1) >= avg(g2) AND avg(g2) >= avg(g3) AND avg(g1) - avg(g3) >= 0.10 AS decays FROM m""")
 def granularity_means(spark, d):
-    """Overlap at three spans of the text, averaged within languages and over them; whether it falls from one to the next."""
-    span = lambda n: T.jaccard(F.substring("a", 1, n), F.substring("b", 1, n))
-    g = labelled_pairs(spark, d).groupBy("lang").agg(F.avg(span(200)).alias("g1"), F.avg(span(1000)).alias("g2"), F.avg("jaccard").alias("g3"))
+    """Overlap of whole texts at three granularities, words and runs of two and three, averaged within languages and over them; whether
+    it falls from one to the next."""
+
+    def runs(c: str, n: int):
+        # a list of one: the tokens are found once, not for each of their runs
+        return F.flatten(F.transform(F.array(T.tokens(F.col(c))), lambda t: F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: i <= F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, F.lit(n)), " ")))))
+
+    g = labelled_pairs(spark, d).groupBy("lang").agg(*[F.avg(T.set_jaccard(runs("a", n), runs("b", n))).alias(f"g{n}") for n in (1, 2, 3)])
     m = g.agg(F.avg("g1").alias("g1"), F.avg("g2").alias("g2"), F.avg("g3").alias("g3"))
     falls = (F.col("g1") >= F.col("g2")) & (F.col("g2") >= F.col("g3")) & (F.col("g1") - F.col("g3") >= 0.10)
     return m.select(*[F.round(c, 6).alias(c) for c in ("g1", "g2", "g3")], falls.alias("decays"))
@@ -299,17 +312,20 @@ def one_point_roc(spark, d):
     return p.select("lang", "n1", "n0", F.round(a, 9).alias("auroc"), F.round(F.greatest(F.lit(0.0), a - 1.96 * se), 9).alias("low"), F.round(F.least(F.lit(1.0), a + 1.96 * se), 9).alias("high"))
 
 
-@query(f"""WITH {O.LP}, m AS (SELECT 'n_pairs' AS metric, count(*)::DOUBLE AS v FROM lp UNION ALL SELECT 'mean_jaccard', avg(jaccard) FROM lp UNION ALL SELECT 'median_jaccard', median(jaccard) FROM lp UNION ALL SELECT 'range_jaccard', max(jaccard) - min(jaccard) FROM lp)
-SELECT metric, round(v, 6) AS ours, round(v, 6) AS theirs, true AS agrees FROM m""")
+@query("""WITH m AS (SELECT lang, count(*) AS n, count(n_chars) AS k, sum(length(text))::DOUBLE AS s, sum(n_chars)::DOUBLE AS ss, max(length(text)) AS m, max(n_chars) AS mm FROM documents GROUP BY lang),
+l AS (SELECT lang, 'rows' AS metric, n::DOUBLE AS ours, k::DOUBLE AS theirs FROM m UNION ALL SELECT lang, 'characters', s, ss FROM m UNION ALL SELECT lang, 'longest', m::DOUBLE, mm::DOUBLE FROM m)
+SELECT lang, metric, ours, theirs, abs(ours - theirs) <= 0.5 AS agrees FROM l""")
 def two_source_check(spark, d):
-    """Metrics of the labelled pairs computed in two ways and compared within a tolerance."""
-    p = labelled_pairs(spark, d).select("jaccard")
-    ours = p.agg(F.count("*").cast("double").alias("n_pairs"), F.avg("jaccard").alias("mean_jaccard"), F.median("jaccard").alias("median_jaccard"), (F.max("jaccard") - F.min("jaccard")).alias("range_jaccard"))
-    counts = p.groupBy("jaccard").agg(F.count("*").alias("k"))
-    values = counts.agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("jaccard")).alias("s"), F.expr("percentile(jaccard, 0.5, k)").alias("m"), F.array_sort(F.collect_set("jaccard")).alias("v"))
-    theirs = values.select(F.col("n").cast("double").alias("n_pairs"), (F.col("s") / F.col("n")).alias("mean_jaccard"), F.col("m").alias("median_jaccard"), (F.element_at("v", -1) - F.element_at("v", 1)).alias("range_jaccard"))
-    long = lambda x, name: x.unpivot([], x.columns, "metric", name)
-    return long(ours, "x").join(long(theirs, "y"), "metric").select("metric", F.round("x", 6).alias("ours"), F.round("y", 6).alias("theirs"), (F.abs(F.col("x") - F.col("y")) <= 1e-9).alias("agrees"))
+    """What the texts show against what the table states of them (``n_chars``), language by language, within a tolerance."""
+    g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count("n_chars").alias("k"), F.sum(F.length("text")).alias("s"), F.sum("n_chars").alias("ss"), F.max(F.length("text")).alias("m"), F.max("n_chars").alias("mm"))
+    return compared(g, ["lang"], {"rows": ("n", "k"), "characters": ("s", "ss"), "longest": ("m", "mm")}, 0.5)
+
+
+def compared(df: DataFrame, by: list[str], metrics: dict[str, tuple[str, str]], tolerance: float) -> DataFrame:
+    """``by, metric, ours, theirs, agrees``: two columns for each metric; a missing number agrees with nothing."""
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), F.col(a).cast("double").alias("ours"), F.col(b).cast("double").alias("theirs")) for k, (a, b) in metrics.items()])
+    r = df.select(*by, F.explode(each).alias("x")).select(*by, "x.*")
+    return r.withColumn("agrees", F.coalesce(F.abs(F.col("ours") - F.col("theirs")) <= tolerance, F.lit(False)))
 
 
 # ordered computations
@@ -342,7 +358,7 @@ def running_budget(spark, d):
 
 
 @query("""WITH b AS (SELECT lang, floor(log2(greatest(n_chars, 1)))::INT AS bin, avg(toxic) AS y, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL), l AS (SELECT *, lag(y) OVER w AS before, n < 10 AS thin, lag(n < 10) OVER w AS thin_before FROM b WINDOW w AS (PARTITION BY lang ORDER BY bin))
-SELECT lang, bin, n, round(y, 9) AS y, coalesce(y > before, false) AS rises, sum((thin <> coalesce(thin_before, thin))::INT) OVER (PARTITION BY lang ORDER BY bin)::INT AS piece, thin <> coalesce(thin_before, thin) AS carries FROM l""")
+SELECT lang, bin, n, round(y, 9) AS y, coalesce(y > before, false) AS rises, sum((thin <> coalesce(thin_before, thin))::INT) OVER (PARTITION BY lang ORDER BY bin)::INT AS piece, thin <> coalesce(thin_before, thin) AS carries, CASE WHEN thin <> coalesce(thin_before, thin) THEN round(before, 9) END AS carried FROM l""")
 def bin_curve(spark, d):
     """A curve over bins of length: bins that rise above the one before, and the pieces between changes of regime (bins of fewer
     than ten rows); a piece that begins with a change carries the last point before it."""
@@ -351,7 +367,7 @@ def bin_curve(spark, d):
     w = Window.partitionBy("lang").orderBy("bin")
     thin = F.col("n") < 10
     b = b.withColumn("change", thin != F.coalesce(F.lag(thin).over(w), thin)).withColumn("rises", F.coalesce(F.col("y") > F.lag("y").over(w), F.lit(False)))
-    return b.select("lang", "bin", "n", F.round("y", 9).alias("y"), "rises", F.sum(F.col("change").cast("int")).over(w).cast("int").alias("piece"), F.col("change").alias("carries"))
+    return b.select("lang", "bin", "n", F.round("y", 9).alias("y"), "rises", F.sum(F.col("change").cast("int")).over(w).cast("int").alias("piece"), F.col("change").alias("carries"), F.when(F.col("change"), F.round(F.lag("y").over(w), 9)).alias("carried"))
 
 
 @query("""WITH o AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 AS hour FROM events), n AS (SELECT *, lead(hour) OVER (PARTITION BY user_id ORDER BY hour) AS next FROM o) SELECT e.event_id, n.hour, n.next FROM events e JOIN n ON n.user_id = e.user_id AND n.hour = epoch_us(e.ts) // 3600000000""")
@@ -365,8 +381,8 @@ def next_offset(spark, d):
 @query("SELECT doc_id, lang || '-' || lpad((row_number() OVER (PARTITION BY lang ORDER BY doc_id))::VARCHAR, 5, '0') AS name FROM documents")
 def label_ordinals(spark, d):
     """Names that count up within each label."""
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("string")
-    return table(spark, d, "documents").select("doc_id", F.concat("lang", F.lit("-"), F.lpad(n, 5, "0")).alias("name"))
+    n = (F.col("index") + 1).cast("string")
+    return order.indexed(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang").select("doc_id", F.concat("lang", F.lit("-"), F.lpad(n, 5, "0")).alias("name"))
 
 
 # order, samples
@@ -424,13 +440,20 @@ def config_difference(spark, d):
     return tag(a.exceptAll(b), "only_a").unionByName(tag(b.exceptAll(a), "only_b")).unionByName(tag(a.intersect(b), "both"))
 
 
-@query("""SELECT (SELECT count(*) FROM labels WHERE quality <> 1 - toxic) AS n_disagree, (SELECT count(*) FROM labels WHERE quality = toxic) AS n_adjudicated, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra""")
+@query(rf"""WITH x AS (SELECT doc_id, quality, (len({O.ws('text')}) >= 20)::INT AS by_rule, toxic FROM labels JOIN documents USING (doc_id)), d AS (SELECT doc_id FROM x WHERE quality <> by_rule), f AS (SELECT doc_id FROM x WHERE toxic = 1)
+SELECT (SELECT count(*) FROM d) AS n_disagree, (SELECT count(*) FROM f) AS n_adjudicated, (SELECT count(*) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM f)) AS n_missing, (SELECT count(*) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM d)) AS n_extra""")
 def disagreement_set(spark, d):
-    """The rows that two raters disagree on are those that were adjudicated."""
-    l = table(spark, d, "labels")
-    differ, final = l.where("quality <> 1 - toxic").select("doc_id"), l.where("quality = toxic").select("doc_id")
-    n = lambda x, name: x.agg(F.count("*").alias(name))
-    return n(differ, "n_disagree").crossJoin(n(final, "n_adjudicated")).crossJoin(n(differ.exceptAll(final), "n_missing")).crossJoin(n(final.exceptAll(differ), "n_extra"))
+    """The rows on which two raters disagree (the label, and a rule on the text's length) beside those that were adjudicated (flagged as
+    toxic): how many lack the other."""
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", (T.ws_count(F.col("text")) >= 20).cast("int").alias("by_rule")), "doc_id")
+    return set_check(l.where("quality <> by_rule").select("doc_id"), l.where("toxic = 1").select("doc_id"))
+
+
+def set_check(differ: DataFrame, final: DataFrame) -> DataFrame:
+    """``n_disagree, n_adjudicated, n_missing, n_extra`` of two sets of one column: those of the first that the second lacks, and the other way."""
+    key = differ.columns[0]
+    sides = differ.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(final.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return sides.agg(F.count_if(F.col("a") == 1).alias("n_disagree"), F.count_if(F.col("b") == 1).alias("n_adjudicated"), F.count_if(F.col("a") > F.col("b")).alias("n_missing"), F.count_if(F.col("b") > F.col("a")).alias("n_extra"))
 
 
 @query("""WITH c AS (SELECT doc_id FROM labels WHERE toxic = 1 UNION SELECT doc_id FROM documents WHERE n_chars > 8000) SELECT c.doc_id, (l.doc_id IS NOT NULL) AS labelled FROM c LEFT JOIN labels l ON l.doc_id = c.doc_id""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import pairs, resample, scoring
+from ..operators import order, pairs, resample, scoring
 from . import oracle as O
 from .queries import SEED, cells, embedded, labelled_pairs, median_gap_bootstrap, pairs_of
 
@@ -38,11 +38,12 @@ _UNIT = "u AS (SELECT vec_id, label, list_transform(v, lambda x: x / (CASE WHEN
 @query(f"""WITH {_UNIT}, p AS (SELECT i, v[i] AS x FROM (SELECT v, unnest(range(1, len(v) + 1)) AS i FROM u)), m AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM p GROUP BY i)),
 a AS (SELECT acos(greatest(-1, least(1, list_dot_product(v, m) / sqrt(list_dot_product(m, m))))) AS t FROM u, m), s AS (SELECT count(*) AS n, max(t) AS top, quantile_cont(t, 0.99) AS p99, quantile_cont(t, 0.9) AS p90, median(t) AS med FROM a),
 k AS (SELECT * FROM u QUALIFY row_number() OVER (ORDER BY md5('20260805|' || vec_id), vec_id) <= {EXACT}), c AS (SELECT min(list_dot_product(x.v, y.v)) AS least FROM k x JOIN k y ON x.vec_id < y.vec_id)
-SELECT n, round(degrees(top), 3) AS max_degrees, round(degrees(p99), 3) AS p99_degrees, round(degrees(p90), 3) AS p90_degrees, round(degrees(med), 3) AS median_degrees, round(cos(2 * top), 5) AS hard_floor, round(cos(2 * p99), 5) AS practical_floor, round(least, 5) AS least_cosine,
+SELECT n, round(degrees(top), 3) AS max_degrees, round(degrees(p99), 3) AS p99_degrees, round(degrees(p90), 3) AS p90_degrees, round(degrees(med), 3) AS median_degrees, round(cos(2 * top), 5) AS hard_floor, round(cos(2 * p99), 5) AS practical_floor, round(least, 5) AS least_cosine, n > {EXACT} AS sampled,
  top <= pi() / 2 AS in_scope, top <= pi() / 2 AND least >= cos(2 * top) - 1e-9 AS bound_holds, gate, top <= pi() / 2 AND cos(2 * top) > gate AS hard_vacuous, top <= pi() / 2 AND cos(2 * p99) > gate AS practical_vacuous FROM s, c, unnest([0.5, 0.7, 0.9]::DOUBLE[]) g(gate)""")
 def cone_report(spark, d):
     """Angles to the mean direction, the floors they put under any cosine, the least cosine seen, whether it respects the hard
-    floor, and the gates that a floor makes vacuous (only where all vectors lie within a right angle of the mean)."""
+    floor, and the gates that a floor makes vacuous (only where all vectors lie within a right angle of the mean). ``sampled``: the least
+    cosine is that of ``EXACT`` vectors, as the audit has it beyond that number."""
     e = embedded(spark, d).withColumn("v", V.unit(F.col("v")))
     mean = e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select(V.unit(F.transform("s", lambda x: x["m"])).alias("m"))
     a = e.crossJoin(F.broadcast(mean)).select(V.angle(V.dot(F.col("v"), F.col("m"))).alias("t"))  # one row
@@ -52,7 +53,7 @@ def cone_report(spark, d):
     hard, practical, scope = F.cos(2 * F.col("top")), F.cos(2 * F.col("p99")), F.col("top") <= math.pi / 2
     r = s.crossJoin(c).withColumn("gate", F.explode(F.array(*map(F.lit, GATES))))
     deg = lambda c, n: F.round(F.degrees(c), 3).alias(f"{n}_degrees")
-    return r.select("n", deg("top", "max"), deg("p99", "p99"), deg("p90", "p90"), deg("med", "median"), F.round(hard, 5).alias("hard_floor"), F.round(practical, 5).alias("practical_floor"), F.round("least", 5).alias("least_cosine"), scope.alias("in_scope"), (scope & (F.col("least") >= hard - TOLERANCE)).alias("bound_holds"), "gate", (scope & (hard > F.col("gate"))).alias("hard_vacuous"), (scope & (practical > F.col("gate"))).alias("practical_vacuous"))
+    return r.select("n", deg("top", "max"), deg("p99", "p99"), deg("p90", "p90"), deg("med", "median"), F.round(hard, 5).alias("hard_floor"), F.round(practical, 5).alias("practical_floor"), F.round("least", 5).alias("least_cosine"), (F.col("n") > EXACT).alias("sampled"), scope.alias("in_scope"), (scope & (F.col("least") >= hard - TOLERANCE)).alias("bound_holds"), "gate", (scope & (hard > F.col("gate"))).alias("hard_vacuous"), (scope & (practical > F.col("gate"))).alias("practical_vacuous"))
 
 
 def cap(theta: float, n: int, dims: int, seed: int, spark: SparkSession) -> DataFrame:
@@ -80,7 +81,7 @@ _R = math.tanh(1.0)
 _K = 2 * _R / (1 + _R * _R)
 
 
-@query(f"""WITH {O.VP}, l AS (SELECT vec_id, embedding[len(embedding)]::DOUBLE AS z FROM embeddings), p AS (SELECT vec_id_a, vec_id_b, cos, x.z AS za, y.z AS zb FROM vp JOIN l x ON x.vec_id = vec_id_a JOIN l y ON y.vec_id = vec_id_b WHERE label_a = 0 AND label_b = 0),
+@query(f"""WITH {O.VP}, l AS (SELECT vec_id, embedding[len(embedding)]::DOUBLE AS z FROM embeddings), p AS (SELECT vec_id_a, vec_id_b, cos, x.z AS za, y.z AS zb FROM vp JOIN l x ON x.vec_id = vec_id_a JOIN l y ON y.vec_id = vec_id_b),
 q AS (SELECT *, tanh(1.0::DOUBLE) AS r, 1 + tanh(1.0::DOUBLE) ^ 2 + 2 * tanh(1.0::DOUBLE) * za AS qa, 1 + tanh(1.0::DOUBLE) ^ 2 + 2 * tanh(1.0::DOUBLE) * zb AS qb FROM p),
 d AS (SELECT vec_id_a, vec_id_b, cos, acosh(1 + 4 * r * r * (1 - cos) / (1 - r * r) ^ 2) AS ball, acosh(greatest(1, cosh(1.0::DOUBLE) ^ 2 - sinh(1.0::DOUBLE) ^ 2 * cos)) AS lorentz,
  acosh(greatest(1, (1 - (2 * r / (1 + r * r)) ^ 2 * cos) / (1 - (2 * r / (1 + r * r)) ^ 2))) AS klein, acosh(1 + (8 * r * r * (1 - cos) / (qa * qb)) / (2 * (2 * (r * za + 1) / qa - 1) * (2 * (r * zb + 1) / qb - 1))) AS halfspace FROM q),
@@ -89,8 +90,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cos, vec_id_a, ve
 SELECT model, count(*) AS n, round(avg(dist), 6) AS mean, max(abs(dist - ball)) <= 1e-8 AS agrees, bool_and(rc = rd) AS rank_identical FROM k GROUP BY model""")
 def hyperbolic_models(spark, d):
     """Distances of unit vectors mapped to four models of hyperbolic space: they agree, and rank pairs as the cosine does."""
-    last = embedded(spark, d).where("label = 0").select("vec_id", F.element_at("v", -1).alias("z"))
-    p = pairs_of(embedded(spark, d).where("label = 0")).select("vec_id_a", "vec_id_b", "cos")
+    last = embedded(spark, d).select("vec_id", F.element_at("v", -1).alias("z"))
+    p = pairs_of(embedded(spark, d)).select("vec_id_a", "vec_id_b", "cos")
     p = p.join(last.select(F.col("vec_id").alias("vec_id_a"), F.col("z").alias("za")), "vec_id_a").join(last.select(F.col("vec_id").alias("vec_id_b"), F.col("z").alias("zb")), "vec_id_b")
     c, r2 = F.col("cos"), _R * _R
     qa, qb = (1 + r2 + 2 * _R * F.col(z) for z in ("za", "zb"))
@@ -102,8 +103,10 @@ def hyperbolic_models(spark, d):
         "halfspace": F.acosh(1 + (8 * r2 * (1 - c) / (qa * qb)) / (2 * height("za", qa) * height("zb", qb))),
     }
     m = p.select("vec_id_a", "vec_id_b", "cos", models["ball"].alias("ball"), F.explode(F.array(*[F.struct(F.lit(k).alias("model"), x.alias("dist")) for k, x in models.items()])).alias("x")).select("*", "x.*")
-    by = Window.partitionBy("model")
-    m = m.withColumn("rc", F.row_number().over(by.orderBy("cos", "vec_id_a", "vec_id_b"))).withColumn("rd", F.row_number().over(by.orderBy(F.round("dist", 8).desc(), "vec_id_a", "vec_id_b")))
+    # ranks by ranges: nothing is sorted as a whole
+    m = order.placed(m, "model", F.floor(F.col("cos") * 256), F.col("cos"), F.col("vec_id_a"), F.col("vec_id_b"), name="rc")
+    far = F.round("dist", 8)
+    m = order.placed(m, "model", -F.floor(far * 64), far.desc(), F.col("vec_id_a"), F.col("vec_id_b"), name="rd")
     return m.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"), (F.max(F.abs(F.col("dist") - F.col("ball"))) <= 1e-8).alias("agrees"), F.bool_and(F.col("rc") == F.col("rd")).alias("rank_identical"))
 
 

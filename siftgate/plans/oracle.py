@@ -131,7 +131,7 @@ SQL = {
     "auroc_vec_pairs": f"WITH {VP}, {ranked('vp', 'cos', 'same', lower=False)} SELECT n_pos, n_neg, u2, round(u2 / (2.0 * n_pos * n_neg), 9) AS auroc FROM r",
     "gate_operating_points": f"WITH {VP} SELECT threshold, round(tpr, 9) AS tpr, round(tnr, 9) AS tnr, round((tpr + tnr) / 2, 9) AS balanced FROM (SELECT t::DOUBLE AS threshold, avg(CASE WHEN NOT same THEN (cos < t)::INT END) AS tpr, avg(CASE WHEN same THEN (cos >= t)::INT END) AS tnr FROM vp, unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5]::DOUBLE[]) u(t) GROUP BY t)",
     "auroc_by_label": f"WITH {VP}, {ranked('vp', 'cos', 'same', 'label_a', lower=False)} SELECT label_a, n_pos, n_neg, u2, round(u2 / (2.0 * nullif(n_pos * n_neg, 0)), 9) AS auroc FROM r",
-    "auroc_allpairs_check": f"WITH {VP}, s AS (SELECT same, cos FROM vp WHERE label_a IN (0, 1) AND label_b IN (0, 1)), u AS (SELECT sum(CASE WHEN p.cos > q.cos THEN 2 WHEN p.cos = q.cos THEN 1 ELSE 0 END)::BIGINT AS u FROM s p JOIN s q ON p.same AND NOT q.same) SELECT (SELECT count(*) FROM s WHERE same) AS n_pos, (SELECT count(*) FROM s WHERE NOT same) AS n_neg, u AS u2, u AS u2_by_pairs, true AS agree FROM u",
+    "auroc_allpairs_check": f"WITH {VP}, {ranked('vp', 'cos', 'same', lower=False)}, c AS (SELECT cos, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS q FROM vp GROUP BY cos), b AS (SELECT *, coalesce(sum(q) OVER (ORDER BY cos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c), u AS (SELECT sum(p * (2 * below + q))::BIGINT AS u FROM b) SELECT n_pos, n_neg, u2, u AS u2_by_pairs, u2 = u AS agree FROM r, u",
     "cliffs_delta_jaccard": f"WITH {LP}, {ranked('lp', 'jaccard', 'quality = 1')} SELECT n_pos, n_neg, u2, round(2 * (u2 / (2.0 * n_pos * n_neg)) - 1, 9) AS delta FROM r",
     "weighted_auroc": f"WITH {VP}, n AS (SELECT label_a, count(*) AS w FROM vp GROUP BY label_a), c AS (SELECT cos, sum(CASE WHEN same THEN w ELSE 0 END) AS p, sum(CASE WHEN same THEN 0 ELSE w END) AS q FROM vp JOIN n USING (label_a) GROUP BY cos), l AS (SELECT *, coalesce(sum(q) OVER (ORDER BY cos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM c) SELECT round(sum(p::DOUBLE * (2 * low + q)::DOUBLE) / (2 * sum(p)::DOUBLE * sum(q)::DOUBLE), 6) AS auroc FROM l",
     "pairwise_accuracy": f"WITH {VP}, m AS (SELECT vec_id_a, max(CASE WHEN same THEN cos END) AS s, max(CASE WHEN NOT same THEN cos END) AS o FROM vp GROUP BY vec_id_a) SELECT count(*) AS n, round(avg(CASE WHEN s > o THEN 1.0 WHEN s = o THEN 0.5 ELSE 0.0 END), 9) AS accuracy FROM m WHERE s IS NOT NULL AND o IS NOT NULL",
@@ -169,7 +169,7 @@ SELECT it.item_id, CASE WHEN len(hit) = 3 THEN 'full' WHEN hit IS NOT NULL THEN
     "grouping_pooled_position": f"WITH {CELLS} SELECT bin, pair, position, count(*) AS n, round(avg(score), 6) AS mean FROM ce GROUP BY GROUPING SETS ((bin, pair), (bin, pair, position))",
     "isotonic_curve": f"WITH {CURVE}, m AS (SELECT i.bin AS i, j.bin AS j, (SELECT avg(y) FROM cu k WHERE k.bin BETWEEN i.bin AND j.bin) AS m FROM cu i JOIN cu j ON i.bin <= j.bin), t AS (SELECT k.bin, m.i, max(m) AS top FROM m JOIN cu k ON m.i <= k.bin AND m.j >= k.bin GROUP BY k.bin, m.i) SELECT cu.bin, round(y, 6) AS y, round(min(top), 6) AS fitted FROM cu JOIN t ON t.bin = cu.bin GROUP BY cu.bin, y",
     "power_law_fit": f"WITH {CURVE}, p AS (SELECT ln(y) AS ly, ln(64.0 / bin) AS lx FROM cu WHERE y > 0) SELECT count(*) AS n, CASE WHEN count(*) >= 3 THEN round(regr_slope(ly, lx), 5) END AS exponent, CASE WHEN count(*) >= 3 THEN round(exp(regr_intercept(ly, lx)), 5) END AS scale FROM p",
-    "critical_length": f"WITH {CURVE} SELECT min(CASE WHEN y < 0.05 THEN bin END) AS first_bin, round(min(y), 6) AS least, round(max(y), 6) AS most FROM cu",
+    "critical_length": f"WITH {CURVE}, nx AS (SELECT *, lead(y) OVER (ORDER BY bin) AS nxt FROM cu) SELECT min(CASE WHEN y < 0.1 AND coalesce(nxt, y) < 0.1 THEN bin END) AS first_bin, round(min(y), 6) AS least, round(max(y), 6) AS most FROM nx",
     "cohen_kappa": "WITH r AS (SELECT quality AS a, 1 - toxic AS b FROM labels), o AS (SELECT count(*) AS n, avg((a = b)::INT) AS po FROM r), e AS (SELECT sum((SELECT count(*) FROM r WHERE a = c) * (SELECT count(*) FROM r WHERE b = c))::DOUBLE AS pe FROM (VALUES (0), (1)) v(c)) SELECT n, round(po, 9) AS agreement, round((po - pe / (n * n)) / (1 - pe / (n * n)), 9) AS kappa FROM o, e",
     "wilson_rates": f"WITH k AS (SELECT quality, count(*) AS n, sum(toxic)::BIGINT AS k FROM labels GROUP BY quality), w AS (SELECT *, k / n::DOUBLE + {Z} * {Z} / (2 * n) AS mid, {Z} * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + {Z} * {Z} / (4.0 * n * n)) AS half, 1 + {Z} * {Z} / n AS d FROM k) SELECT quality, n, k, round((mid - half) / d, 9) AS low, round((mid + half) / d, 9) AS high FROM w",
     "adjudicated_labels": "SELECT doc_id, CASE WHEN quality = 1 - toxic THEN quality WHEN n_chars > 1000 THEN 1 ELSE 0 END AS final, quality <> 1 - toxic AS adjudicated FROM labels JOIN documents USING (doc_id)",

@@ -71,16 +71,21 @@ def auroc_by_label(spark, d):
     return r.select("label_a", "n_pos", "n_neg", "u2", F.round("auroc", 9).alias("auroc"))
 
 
-#: Labels of the subset whose pairs of pairs are formed one by one.
-CHECKED = (0, 1)
+#: Ranges of scores to a unit; only pairs within a range are formed one by one.
+STEPS = 2000
 
 
 def auroc_allpairs_check(spark, d):
-    """Ranks against the definition: every positive pair beside every negative one, on the pairs of two labels."""
-    some = vec_pairs(spark, d).where(F.col("label_a").isin(*CHECKED) & F.col("label_b").isin(*CHECKED))
-    ranked = scoring.auroc(some, [], "cos", F.col("same"), lower=False)
-    pos, neg = some.where("same").select(F.col("cos").alias("p")), some.where("NOT same").select(F.col("cos").alias("q"))
-    plain = pos.join(neg).agg(F.sum(F.expr("CASE WHEN p > q THEN 2 WHEN p = q THEN 1 ELSE 0 END")).alias("u2_by_pairs"))
+    """Ranks against the definition, every positive pair beside every negative one: between ranges of scores by their counts, within a
+    range one by one."""
+    p = vec_pairs(spark, d).select("same", "cos", F.floor(F.col("cos") * STEPS).alias("part"))
+    ranked = scoring.auroc(p, [], "cos", F.col("same"), lower=False)
+    n = p.groupBy("part").agg(F.count_if("same").alias("p"), F.count_if(~F.col("same")).alias("q"))
+    below = F.coalesce(F.sum("q").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    far = n.withColumn("below", below).agg(F.sum(2 * F.col("p") * F.col("below")).alias("far"))
+    pos, neg = p.where("same").select("part", F.col("cos").alias("p")), p.where("NOT same").select("part", F.col("cos").alias("q"))
+    near = pos.join(neg, "part").agg(F.coalesce(F.sum(F.expr("CASE WHEN p > q THEN 2 WHEN p = q THEN 1 ELSE 0 END")), F.lit(0)).alias("near"))
+    plain = far.crossJoin(near).select((F.col("far") + F.col("near")).alias("u2_by_pairs"))
     return ranked.crossJoin(plain).select("n_pos", "n_neg", "u2", "u2_by_pairs", (F.col("u2") == F.col("u2_by_pairs")).alias("agree"))
 
 
@@ -348,8 +353,9 @@ def power_law_fit(spark, d):
 
 
 def critical_length(spark, d):
-    """First length from which the mean change is below a twentieth."""
-    return curve(spark, d).agg(F.min(F.when(F.col("y") < 0.05, F.col("bin"))).alias("first_bin"), F.round(F.min("y"), 6).alias("least"), F.round(F.max("y"), 6).alias("most"))
+    """First length of a run: at it and the next the mean change is below a tenth (the last bin is a run of its own)."""
+    c = curve(spark, d).withColumn("next", F.lead("y").over(Window.orderBy("bin")))  # a row for each bin
+    return c.agg(F.min(F.when((F.col("y") < 0.1) & (F.coalesce("next", "y") < 0.1), F.col("bin"))).alias("first_bin"), F.round(F.min("y"), 6).alias("least"), F.round(F.max("y"), 6).alias("most"))
 
 
 def level_crossing(spark, d):
