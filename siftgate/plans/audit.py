@@ -5,12 +5,13 @@ Each stands beside its SQL, which is written apart from it."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import integrity, order, scoring
+from ..operators import integrity, order, scoring, simjoin
 from ..sources.tables import table
 from . import oracle as O
 from .queries import SEED, doc_pairs, labelled_pairs, packet, sentences
@@ -576,3 +577,20 @@ def nested_flatten(spark, d):
     """A map in JSON, flattened to a row per key."""
     m = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "k")).where("key = 'k'")
     return m.select("event_id", "k", F.when(F.col("k") >= 50, "high").otherwise("low").alias("side"))
+
+
+# joins over all documents
+
+#: Sentences with so much of their words in common are matches.
+ALIKE = Fraction(1, 2)
+
+
+@query(f"""WITH {O.DS}, st AS (SELECT list_sort(list_filter({O.TOK.format('sent')}, lambda x: NOT list_contains({O.STOP}, x))) AS t FROM ds WHERE length(sent) BETWEEN 30 AND 600),
+se AS (SELECT md5(array_to_string(t, ' ')) AS key, t, len(t) AS size, count(*) AS n FROM st WHERE len(t) > 0 GROUP BY t), w AS (SELECT key, size, unnest(t) AS w FROM se),
+p AS (SELECT a.key AS a, b.key AS b, count(*) AS shared, a.size AS na, b.size AS nb FROM w a JOIN w b ON a.w = b.w AND a.key < b.key AND 2 * least(a.size, b.size) >= greatest(a.size, b.size) GROUP BY ALL),
+l AS (SELECT a, b, shared::DOUBLE / (na + nb - shared) AS s FROM p WHERE 2 * shared >= na + nb - shared), e AS (SELECT a AS key, s FROM l UNION ALL SELECT b, s FROM l), g AS (SELECT key, count(*) AS n_links, max(s) AS best FROM e GROUP BY key)
+SELECT se.key, n, coalesce(n_links, 0) AS n_links, round(best, 9) AS best FROM se LEFT JOIN g USING (key)""")
+def sentence_links(spark, d):
+    """Each distinct set of a sentence's words (without stop words) in all documents: its sentences, and the sets alike."""
+    s = sentences(spark, d).where(F.length("sent").between(30, 600)).select(T.stopped(T.token_set(F.col("sent"))).alias("t"))
+    return simjoin.linked(simjoin.distinct_sets(s, "t"), ALIKE).select("key", "n", "n_links", F.round("best", 9).alias("best"))

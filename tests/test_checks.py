@@ -28,6 +28,6 @@ def test_places_by_parts_equal_a_sort(spark):
     for g in "ab":
         own = sorted((x, i) for i, k, x in rows if k == g)
         assert all(got[i] == n for n, (_, i) in enumerate(own, 1))
-    ids = {r.i: r.index for r in order.indexed(df, "i", "g").collect()}
+    ids = {r["i"]: r["index"] for r in order.indexed(df, "i", "g").collect()}
     for g in "ab":
         assert [ids[i] for i, k, _ in rows if k == g] == list(range(sum(k == g for _, k, _ in rows)))
