@@ -3,7 +3,7 @@
 What is removed: each word covered by a window of ``window`` words whose word sequence also starts in a
 document with a smaller doc_id (a null id counts as the largest).
 
-How. The lengths are window, half of it (rounded up), and so on down to ``LEAST`` words or fewer: 4, 7 and 13 as registered. At the shortest
+How. The lengths are window, half of it (rounded up), and so on down to ``LEAST`` words or fewer: 7 and 13 as registered (a third length, 4, took more memory than one executor may have where phrases are very common). At the shortest
 length only the owner string of each window is looked up (see :mod:`.windows`), a fraction of all positions;
 windows whose string occurs once are done. Those that are left are tested at twice the length, until the window
 itself is reached or no candidates survive. Longer lengths could not change what is removed.
@@ -27,7 +27,7 @@ from . import windows as K
 
 WINDOW = 13
 #: Lengths are halved as long as they exceed this.
-LEAST = 4
+LEAST = 8
 BATCH = 1_000_000
 CHUNK = 1 << 19
 BYTE = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64)
