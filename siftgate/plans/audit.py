@@ -594,3 +594,44 @@ def sentence_links(spark, d):
     """Each distinct set of a sentence's words (without stop words) in all documents: its sentences, and the sets alike."""
     s = sentences(spark, d).where(F.length("sent").between(30, 600)).select(T.stopped(T.token_set(F.col("sent"))).alias("t"))
     return simjoin.linked(simjoin.distinct_sets(s, "t"), ALIKE).select("key", "n", "n_links", F.round("best", 9).alias("best"))
+
+
+# routing
+
+#: Pairs of a class that the rules don't know that go to the arbiter, at most.
+SAMPLE_CAP = 200
+
+
+def bottom(df: DataFrame, by: str, hashed: Column, tie: str, k: int) -> DataFrame:
+    """The ``k`` rows of each group with the lowest hashes. Each task keeps the k lowest of what it holds before anything is shuffled, so
+    no group meets as a whole."""
+    r = F.row_number().over(Window.partitionBy(by).orderBy("hash", tie))
+    return df.withColumn("hash", hashed).withColumn("r", r).where(F.col("r") <= k).drop("hash", "r")
+
+
+@query(f"""WITH {O.LP}, x AS (SELECT doc_id, quality, nullif({O.EDIT}, 'other') AS rule, CASE WHEN toxic = 1 THEN 'unparseable' WHEN quality = 0 THEN 'scope' WHEN jaccard < 0.05 THEN 'keyword' ELSE 'identifier' END AS bulk FROM lp),
+y AS (SELECT *, bulk = 'unparseable' OR coalesce(bulk <> rule, bulk IN ('keyword', 'number')) AS differ FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY bulk ORDER BY md5('20260805|' || doc_id), doc_id) AS r, count(*) OVER (PARTITION BY bulk) AS n_pool FROM y WHERE NOT differ AND rule IS NULL),
+s AS (SELECT y.*, z.n_pool, CASE WHEN y.differ THEN 'disagreement' WHEN z.r <= {SAMPLE_CAP} THEN 'class_sample' END AS reason FROM y LEFT JOIN z USING (doc_id)),
+a AS (SELECT *, CASE WHEN reason IS NOT NULL AND doc_id % 7 <> 0 THEN CASE WHEN quality = 1 THEN 'keyword' ELSE 'scope' END END AS arbiter FROM s)
+SELECT doc_id, rule, bulk, reason, arbiter, CASE WHEN reason IS NOT NULL THEN coalesce(arbiter, nullif(bulk, 'unparseable'), rule, 'scope') ELSE coalesce(rule, bulk) END AS final, reason IS NULL AND rule IS NULL AS unsampled, reason IS NOT NULL AND arbiter IS NULL AS unresolved, n_pool FROM a""")
+def cascade_sample(spark, d):
+    """Which pairs go to the arbiter: all that rule and bulk label disagree on, and of each class that the rules don't know a seeded sample,
+    whose denominator stands beside it; then the final label, the arbiter's before the bulk's before the rule's. An arbiter that says
+    nothing (here: for one id in seven) leaves the pair unresolved, never silently."""
+    p = labelled_pairs(spark, d)
+    rule = T.edit_class(F.col("a"), F.col("b"))
+    bulk = F.when(F.col("toxic") == 1, "unparseable").when(F.col("quality") == 0, "scope").when(F.col("jaccard") < 0.05, "keyword").otherwise("identifier")
+    x = p.select("doc_id", "quality", F.when(rule != "other", rule).alias("rule"), bulk.alias("bulk"))
+    differ = (F.col("bulk") == "unparseable") | F.coalesce(F.col("bulk") != F.col("rule"), F.col("bulk").isin("keyword", "number"))
+    x = x.withColumn("differ", differ).persist()
+    pool = x.where("NOT differ AND rule IS NULL")
+    chosen = bottom(pool, "bulk", F.md5(F.concat_ws("|", F.lit(SEED), "doc_id")), "doc_id", SAMPLE_CAP).select("doc_id", F.lit(True).alias("sampled"))
+    sizes = pool.groupBy("bulk").agg(F.count("*").alias("n_pool"))  # a row for each class
+    s = x.join(chosen, "doc_id", "left").join(F.broadcast(sizes), "bulk", "left")
+    unseen = ~F.col("differ") & F.col("rule").isNull()
+    s = s.withColumn("n_pool", F.when(unseen, F.col("n_pool"))).withColumn("reason", F.when(F.col("differ"), "disagreement").when(F.col("sampled"), "class_sample"))
+    s = s.withColumn("arbiter", F.when(F.col("reason").isNotNull() & (F.col("doc_id") % 7 != 0), F.when(F.col("quality") == 1, "keyword").otherwise("scope")))
+    known = F.when(F.col("bulk") != "unparseable", F.col("bulk"))
+    final = F.when(F.col("reason").isNotNull(), F.coalesce("arbiter", known, "rule", F.lit("scope"))).otherwise(F.coalesce("rule", "bulk"))
+    return s.select("doc_id", "rule", "bulk", "reason", "arbiter", final.alias("final"), (F.col("reason").isNull() & F.col("rule").isNull()).alias("unsampled"), (F.col("reason").isNotNull() & F.col("arbiter").isNull()).alias("unresolved"), "n_pool")
