@@ -11,10 +11,11 @@ sixteenth), then those up to a quarter, then the rest. For each term and tier it
 impact that the tiers after it hold. Building the index shuffles nothing, and every document is in it.
 
 Search. Queries are taken in blocks of about ``ITEMS``; the weights of a block's terms come from one sum over the shards' counts.
-A first scan reads the first tier's columns only and finds for each item the K-th best of the partial scores: a floor that every document in
-the result reaches. A second scan asks each shard and item for proof: if the best partial score plus the sum of weighted
-residual bounds lies below the floor, the shard has nothing more for the item. Pairs of shard and item that lack this proof fall through to the second tier, with its smaller
-residuals, and those that lack it again to the third, after which scores are exact. Only exact scores are
+A first scan reads the first tier's columns only and finds for each item the K documents of the best partial scores. A second one
+scores just these exactly: the least of K exact scores is a floor that every document in the result reaches. The third scan goes
+down the tiers: after each, a document's bound is its score so far plus the weighted residual bounds of the item's terms that it hasn't shown yet.
+Where no document of a shard can reach an item's floor, that is the proof, and the pair of shard and item is done. Pairs that lack it fall through
+to the next tier, with the documents that may still reach the floor and no others; after the last tier scores are exact. Only exact scores are
 returned, at most K for each shard and item; the best K of an item are taken by a rank that is limited in each task before it is shuffled.
 
 Cases: null and empty texts and texts without terms have none and are never found; very long texts are a shard of their own; equal scores go by
@@ -151,8 +152,9 @@ class _Scorer:
         self.t = at[self.q]
         return len(self.q) > 0
 
-    def add(self, row: dict, tier: int, scores: np.ndarray, items: np.ndarray) -> None:
-        """Adds the tier's weighted impacts to ``scores`` (items x documents)."""
+    def add(self, row: dict, tier: int, scores: np.ndarray, items: np.ndarray, column: np.ndarray, owed: np.ndarray | None = None) -> None:
+        """Adds the tier's weighted impacts to ``scores`` (items x documents); ``column`` is the place of each of the shard's documents there,
+        or -1. ``owed``: from it the residual bounds of the terms shown are taken."""
         n = row[f"n{tier}"]
         begin = np.cumsum(n, dtype=np.int64) - n
         for s in range(0, len(self.q), COLUMNS):
@@ -161,9 +163,14 @@ class _Scorer:
             if total := int(k.sum()):
                 which = np.repeat(np.arange(len(q)), k)
                 at = np.arange(total) + np.repeat(begin[t] - (np.cumsum(k) - k), k)
-                part = np.zeros((len(q), scores.shape[1]))
-                part[which, row[f"at{tier}"][at]] = self.weights[q][which] * row[f"impact{tier}"][at]
-                scores += self.asks[np.ix_(items, q)] @ part
+                to = column[row[f"at{tier}"][at]]
+                which, at, to = which[to >= 0], at[to >= 0], to[to >= 0]
+                part, ask = np.zeros((len(q), scores.shape[1])), self.asks[np.ix_(items, q)]
+                part[which, to] = self.weights[q][which] * row[f"impact{tier}"][at]
+                scores += ask @ part
+                if owed is not None:
+                    part[which, to] = self.weights[q][which] * row["rest1"][t][which]
+                    owed -= ask @ part
 
     def rest(self, row: dict, tier: int, items: np.ndarray) -> np.ndarray:
         """What the tiers after this one can add to any document's score at most."""
@@ -176,24 +183,49 @@ def _rows(batch: pa.RecordBatch):
         yield {name: np.frombuffer(batch.column(i)[k].as_buffer(), LAYOUT[name]) for i, name in enumerate(batch.schema.names)}
 
 
-def _floors(shared, top: int):
-    """The best partial scores of each item from the first tier, at most ``top`` of them for each task."""
+def _partial(shared, top: int):
+    """The documents of the best partial scores of each item from the first tier, at most ``top`` of them for each task."""
 
     def go(batches):
         scorer = _Scorer(*shared.value)
         n = len(scorer.asks)
         every = np.arange(n)
-        best = np.zeros((n, 0))
+        best, docs = np.zeros((n, 0)), np.zeros((n, 0), np.int64)
         for batch in batches:
             for row in _rows(batch):
                 if scorer.open(row):
-                    scores = np.zeros((n, int(row["at1"].max()) + 1))
-                    scorer.add(row, 1, scores, every)
-                    best = np.concatenate([best, scores], 1)
+                    scores = np.zeros((n, len(row["rids"])))
+                    scorer.add(row, 1, scores, every, np.arange(scores.shape[1]))
+                    best, docs = np.concatenate([best, scores], 1), np.concatenate([docs, np.broadcast_to(row["rids"], scores.shape)], 1)
                     if best.shape[1] > top:
-                        best = -np.partition(-best, top - 1, 1)[:, :top]
+                        at = np.argpartition(-best, top - 1, 1)[:, :top]
+                        best, docs = np.take_along_axis(best, at, 1), np.take_along_axis(docs, at, 1)
         item, at = np.nonzero(best)
-        yield pa.record_batch([pa.array(item.astype(np.int32)), pa.array(best[item, at].astype(np.int64))], ["item", "score"])
+        yield pa.record_batch([pa.array(item.astype(np.int32)), pa.array(docs[item, at]), pa.array(best[item, at].astype(np.int64))], ["item", "rid", "score"])
+
+    return go
+
+
+def _completed(shared, wanted: dict[int, list[int]]):
+    """Exact scores of the documents in ``wanted`` for the items listed there."""
+    asked = np.array(sorted(wanted), np.int64)
+
+    def go(batches):
+        scorer = _Scorer(*shared.value)
+        every = np.arange(len(scorer.asks))
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                some = np.flatnonzero(np.isin(row["rids"], asked))
+                if len(some) and scorer.open(row):
+                    column = np.full(len(row["rids"]), -1)
+                    column[some] = np.arange(len(some))
+                    scores = np.zeros((len(every), len(some)))
+                    for t in (1, 2, 3):
+                        scorer.add(row, t, scores, every, column)
+                    out += [(i, int(scores[i, c])) for c, rid in enumerate(row["rids"][some].tolist()) for i in wanted[rid]]
+            columns = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64()), strict=True)], ["item", "score"])
 
     return go
 
@@ -214,18 +246,24 @@ def _exact(shared, floors: np.ndarray, top: int, proofs: bool):
                 items = np.arange(len(scorer.asks))
                 tier = np.ones(len(items), np.int32)
                 if scorer.open(row):
-                    scores = np.zeros((len(items), len(row["rids"])))
+                    docs = np.arange(len(row["rids"]))
+                    scores, owed = np.zeros((len(items), len(docs))), np.zeros((len(items), len(docs)))
                     for t in (1, 2, 3):
-                        scorer.add(row, t, scores, items)
-                        lacks = scores.max(1) + scorer.rest(row, t, items) >= floors[items]
+                        column = np.full(len(row["rids"]), -1)
+                        column[docs] = np.arange(len(docs))
+                        # what a document may still get: the rest of each term that it hasn't shown, by the bound behind the first tier
+                        scorer.add(row, t, scores, items, column, owed)
+                        open_ = scores + owed + scorer.rest(row, 1, items)[:, None] >= floors[items][:, None] if t < 3 else scores >= floors[items][:, None]
+                        lacks, may = open_.any(1), open_.any(0)
                         tier[items[lacks]] = min(3, t + 1)
-                        items, scores = items[lacks], scores[lacks]
+                        items, docs = items[lacks], docs[may]
+                        scores, owed = scores[lacks][:, may], owed[lacks][:, may]
                         if not len(items):
                             break
-                    order = np.lexsort((row["rids"], row["ids"], row["no_id"]))
+                    order = np.lexsort((row["rids"][docs], row["ids"][docs], row["no_id"][docs]))
                     for i, s in zip(items.tolist(), scores, strict=True):
                         ok = order[s[order] >= floors[i]]
-                        out += [] if proofs else [(i, int(row["rids"][x]), None if row["no_id"][x] else int(row["ids"][x]), int(s[x]), 3) for x in ok[np.argsort(-s[ok], kind="stable")][:top]]
+                        out += [] if proofs else [(i, int(row["rids"][docs[x]]), None if row["no_id"][docs[x]] else int(row["ids"][docs[x]]), int(s[x]), 3) for x in ok[np.argsort(-s[ok], kind="stable")][:top]]
                 if proofs:
                     out += [(i, 0, 0, 0, t) for i, t in enumerate(tier.tolist())]
             columns = list(zip(*out, strict=True)) or [()] * 5
@@ -270,11 +308,15 @@ def _found(index: Index, items: DataFrame, item_id: str, top: int, proofs: bool)
         for i, r in enumerate(block):
             asks[i, np.searchsorted(terms, np.array(r["terms"], np.int64))] = 1
         shared = spark.sparkContext.broadcast((terms, weights, asks))
-        best = index.shards.select(*FIRST).mapInArrow(_floors(shared, top), "item int, score long")
-        rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score")))
+        rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "rid"))
+        partial = index.shards.select("rids", *FIRST).mapInArrow(_partial(shared, top), "item int, rid long, score long")
+        wanted: dict[int, list[int]] = {}
+        for r in partial.withColumn("r", rank).where(F.col("r") <= top).collect():  # ``top`` rows for each query of the block
+            wanted.setdefault(r["rid"], []).append(r["item"])
+        done = index.shards.mapInArrow(_completed(shared, wanted), "item int, score long").groupBy("item").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         floors = np.ones(len(block))
-        for r in best.withColumn("r", rank).where(F.col("r") <= top).where(F.col("r") == top).collect():
-            floors[r["item"]] = max(1, r["score"])
+        for r in done.where(F.col("n") >= top).collect():
+            floors[r["item"]] = max(1, r["least"])
         exact = index.shards.mapInArrow(_exact(shared, floors, top, proofs), FOUND)
         names = F.create_map(*[x for i, r in enumerate(block) for x in (F.lit(i), F.lit(r["item_id"]).cast("long"))])[F.col("item")].alias("item_id")
         if proofs:
