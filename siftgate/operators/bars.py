@@ -62,9 +62,17 @@ def _aurocs(table: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(n)), n)
     score, flip = table.column("scores").combine_chunks().flatten().to_numpy(), table.column("flips").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
     values, code = np.unique(score, return_inverse=True)
-    p, q = np.zeros((len(values), width), np.int64), np.zeros((len(values), width), np.int64)
-    np.add.at(p, code[flip], w[row[flip]])
-    np.add.at(q, code[~flip], w[row[~flip]])
+
+    def drawn(of: np.ndarray) -> np.ndarray:
+        """Draws at each score, replicate by replicate."""
+        out, o = np.zeros((len(values), width), np.int64), np.argsort(code[of], kind="stable")
+        c = code[of][o]
+        if len(c):
+            first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            out[c[first]] = np.add.reduceat(w[row[of][o]], first, axis=0)
+        return out
+
+    p, q = drawn(flip), drawn(~flip)
     u = (q * (2 * (np.cumsum(p, 0) - p) + p)).sum(0)
     total = 2.0 * p.sum(0) * q.sum(0)
     a = np.where(total > 0, u / np.where(total > 0, total, 1), np.nan)
