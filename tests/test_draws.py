@@ -1,7 +1,10 @@
 import hashlib
 
-import numpy as np
-from siftgate.operators import draws
+import random
+
+import pytest
+
+from siftgate.operators import draws, resample
 
 
 def test_md5_of_arrays_is_md5():
@@ -26,3 +29,26 @@ def test_no_draw_is_shuffled(spark):
     assert plan.rdd.getNumPartitions() > 1
     got = {r.rep: r.m for r in plan.collect()}
     assert len(got) == 500 and got[3] == sum(at.sum() for _, at in draws.places("s", range(3, 4), 50))
+
+
+@pytest.mark.parametrize("band", [6.0, 0.05])
+def test_permutation_with_shares_and_missed_bands(spark, monkeypatch, band):
+    monkeypatch.setattr(resample, "SHARE", 16)
+    monkeypatch.setattr(resample, "BAND", band)
+    rnd = random.Random(5)
+    rows = [(i * 37, rnd.random() < 0.7, round(rnd.random(), 6)) for i in range(90)]
+    n, k, v = len(rows), sum(p for _, p, _ in rows), {u: round(x * 1e6) for u, _, x in rows}
+    far = lambda t: abs(t * n - sum(v.values()) * k)
+    lowest = lambda rep: sorted((hashlib.md5(f"s|{rep}|{u}".encode()).hexdigest(), u) for u in v)[:k]
+    hits = sum(far(sum(v[u] for _, u in lowest(rep))) >= far(sum(v[u] for u, p, _ in rows if p)) for rep in range(1, 121))
+    got = resample.permutation(spark.createDataFrame(rows, "u int, p boolean, x double"), "u", "p", "x", 120, "s").first()
+    assert (got.n_pos, got.hits) == (k, hits)
+
+
+def test_missing_values_are_drawn_but_not_counted(spark):
+    rows = [(i, i % 2 == 0, None if i % 5 == 0 else float(i)) for i in range(21)]
+    df = spark.createDataFrame(rows, "u int, p boolean, x double")
+    assert resample.mean_interval(df, "u", "x", 20, "s").first().low is not None
+    assert resample.unit_auroc(df, "u", "p", "x", 20, "s").first().n == sum(x is not None for *_, x in rows)
+    r = resample.median_gap(df, "u", "p", "x", reps=20, seed="s", low=1, high=20).first()
+    assert r.low <= r.point <= r.high
