@@ -313,13 +313,26 @@ def one_point_roc(spark, d):
     return p.select("lang", "n1", "n0", F.round(a, 9).alias("auroc"), F.round(F.greatest(F.lit(0.0), a - 1.96 * se), 9).alias("low"), F.round(F.least(F.lit(1.0), a + 1.96 * se), 9).alias("high"))
 
 
-@query("""WITH m AS (SELECT lang, count(*) AS n, count(n_chars) AS k, sum(length(text))::DOUBLE AS s, sum(n_chars)::DOUBLE AS ss, max(length(text)) AS m, max(n_chars) AS mm FROM documents GROUP BY lang),
+@query(f"""WITH {O.LP}, jc AS (SELECT jaccard AS j, count(*) AS k FROM lp GROUP BY jaccard), ju AS (SELECT *, sum(k) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS upto, sum(k) OVER () AS n FROM jc WHERE j IS NOT NULL),
+o1 AS (SELECT count(*)::DOUBLE AS n, avg(jaccard) AS m, median(jaccard) AS d, max(jaccard) - min(jaccard) AS r FROM lp),
+t1 AS (SELECT (SELECT sum(k) FROM jc)::DOUBLE AS n, sum(k * j) / sum(k) AS m, (max(CASE WHEN upto - k <= (n - 1) // 2 AND (n - 1) // 2 < upto THEN j END) + max(CASE WHEN upto - k <= n // 2 AND n // 2 < upto THEN j END)) / 2 AS d, max(j) - min(j) AS r FROM ju),
+pm AS (SELECT unnest(['n_pairs', 'mean_jaccard', 'median_jaccard', 'range_jaccard']) AS metric, unnest([o1.n, o1.m, o1.d, o1.r]) AS x, unnest([t1.n, t1.m, t1.d, t1.r]) AS y FROM o1, t1),
+m AS (SELECT lang, count(*) AS n, count(n_chars) AS k, sum(length(text))::DOUBLE AS s, sum(n_chars)::DOUBLE AS ss, max(length(text)) AS m, max(n_chars) AS mm FROM documents GROUP BY lang),
 l AS (SELECT lang, 'rows' AS metric, n::DOUBLE AS ours, k::DOUBLE AS theirs FROM m UNION ALL SELECT lang, 'characters', s, ss FROM m UNION ALL SELECT lang, 'longest', m::DOUBLE, mm::DOUBLE FROM m)
-SELECT lang, metric, ours, theirs, abs(ours - theirs) <= 0.5 AS agrees FROM l""")
+SELECT lang, metric, ours, theirs, abs(ours - theirs) <= 0.5 AS agrees FROM l UNION ALL SELECT 'all pairs', metric, round(x, 6), round(y, 6), coalesce(abs(x - y) <= 1e-9, false) FROM pm""")
 def two_source_check(spark, d):
-    """What the texts show against what the table states of them (``n_chars``), language by language, within a tolerance."""
+    """What the texts show against what the table states of them (``n_chars``), language by language, and metrics of the labelled pairs from the
+    pairs against those from counts by value, each within a tolerance."""
+    p = labelled_pairs(spark, d).select("jaccard").persist()  # a number for each pair
+    ours = p.agg(F.count("*").alias("n"), F.avg("jaccard").alias("m"), F.median("jaccard").alias("d"), (F.max("jaccard") - F.min("jaccard")).alias("r"))
+    counts, known = p.groupBy("jaccard").agg(F.count("*").alias("k")), F.col("jaccard").isNotNull()
+    mean = F.sum(F.col("k") * F.col("jaccard")) / F.sum(F.when(known, F.col("k")))
+    theirs = counts.agg(F.sum("k").alias("nn"), mean.alias("mm"), F.expr("percentile(jaccard, 0.5, k)").alias("dd"), (F.max("jaccard") - F.min("jaccard")).alias("rr"))
+    both = ours.crossJoin(theirs).withColumn("lang", F.lit("all pairs"))
+    each = compared(both, ["lang"], {"n_pairs": ("n", "nn"), "mean_jaccard": ("m", "mm"), "median_jaccard": ("d", "dd"), "range_jaccard": ("r", "rr")}, 1e-9)
+    each = each.select("lang", "metric", F.round("ours", 6).alias("ours"), F.round("theirs", 6).alias("theirs"), "agrees")
     g = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count("n_chars").alias("k"), F.sum(F.length("text")).alias("s"), F.sum("n_chars").alias("ss"), F.max(F.length("text")).alias("m"), F.max("n_chars").alias("mm"))
-    return compared(g, ["lang"], {"rows": ("n", "k"), "characters": ("s", "ss"), "longest": ("m", "mm")}, 0.5)
+    return compared(g, ["lang"], {"rows": ("n", "k"), "characters": ("s", "ss"), "longest": ("m", "mm")}, 0.5).unionByName(each)
 
 
 def compared(df: DataFrame, by: list[str], metrics: dict[str, tuple[str, str]], tolerance: float) -> DataFrame:

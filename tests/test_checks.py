@@ -31,3 +31,9 @@ def test_places_by_parts_equal_a_sort(spark):
     ids = {r["i"]: r["index"] for r in order.indexed(df, "i", "g").collect()}
     for g in "ab":
         assert [ids[i] for i, k, _ in rows if k == g] == list(range(sum(k == g for _, k, _ in rows)))
+
+
+def test_two_sources_hold_the_labelled_pairs_too(spark, sf):
+    got = {r.metric: r for r in audit.two_source_check(spark, sf).where("lang = 'all pairs'").collect()}
+    assert set(got) == {"n_pairs", "mean_jaccard", "median_jaccard", "range_jaccard"} and all(r.agrees for r in got.values())
+    assert got["n_pairs"].ours == audit.labelled_pairs(spark, sf).count() > 0
