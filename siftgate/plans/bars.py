@@ -118,7 +118,7 @@ def bars_of_points(spark, d):
 def interval_bars(name: str, p: DataFrame, reps: int, seed: str) -> DataFrame:
     """H1 (the change falls as a power of the length), H2a (long texts are told at chance), H2c (so is every cell of the
     configuration in use) and H6 (curves of the home language hold for the others) for ``p`` of :func:`scored`."""
-    w = bars.weights(p, "item_id", reps, seed).persist()
+    w = bars.weights(p, "item_id", reps, seed)
     home = p.where(F.col("lang") == HOME)
     curves = resample.drawn_curves(home.where("pair = 'flip'").withColumn("y", 1 - F.col("score")), "item_id", "config", "bin", "y", reps, seed)
     fits = bars.exponent_intervals(bars.exponents(curves), LEXICAL).where("alpha IS NOT NULL").persist()  # a row for each configuration
