@@ -50,7 +50,10 @@ def ext_sketches(spark, d):
     both = types.agg(F.expr("1").alias("one"), at("error").alias("x"), at("purchase").alias("y")).select(F.expr("theta_sketch_estimate(theta_intersection(x, y))").alias("both_about"))
     users = lambda k: e.where(F.col("event_type") == k).select("user_id")
     exact_both = users("error").intersect(users("purchase")).agg(F.count("*").alias("both_users"))
-    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.approx_count_distinct("user_id", 0.01).alias("about"), F.percentile_approx("value", 0.5, 10_000).alias("mid"))
+    # beside a distinct count Spark would keep a buffer of each sketch for every user
+    distinct = e.select("event_type", "user_id").distinct().groupBy(F.col("event_type").alias("of")).agg(F.count("user_id").alias("users"))
+    g = e.groupBy("event_type").agg(F.count("*").alias("n"), F.approx_count_distinct("user_id", 0.01).alias("about"), F.percentile_approx("value", 0.5, 10_000).alias("mid"))
+    g = g.join(distinct, F.expr("event_type <=> of")).drop("of")
     rank = e.join(F.broadcast(g.select("event_type", "mid")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") < F.col("mid")).cast("int")).alias("below"), F.avg((F.col("value") <= F.col("mid")).cast("int")).alias("upto"))  # a row for each type
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), DISTINCT * F.col(b))
     r = g.join(rank, "event_type").join(types.select("event_type", "by_days"), "event_type").crossJoin(F.broadcast(both)).crossJoin(F.broadcast(exact_both))  # a row each
