@@ -26,11 +26,11 @@ def query(sql: str):
 @query(f"""WITH e AS (SELECT event_id, epoch_us(ts) AS at, event_type, value FROM events)
 SELECT x.event_id AS error_id, count(*) AS n, count(*) FILTER (e.event_type = 'error') AS n_errors, round(sum(e.value), 6) AS total FROM e x JOIN e ON e.at >= x.at AND e.at < x.at + {30 * MINUTE} WHERE x.event_type = 'error' GROUP BY 1""")
 def ext_interval_join(spark, d):
-    """What happens within half an hour of each error, whoever did it: a join by inequalities on bins of time."""
+    """What happens within half an hour of each error, whoever did it: sums over a moving stretch of time, from sums by minutes."""
     e = table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value")
-    after = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("start"), (F.col("at") + 30 * MINUTE).alias("end"))
-    j = intervals.within(e, "at", after, "start", "end")
-    return j.groupBy("error_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), F.round(F.sum("value"), 6).alias("total"))
+    sums = {"n": F.lit(1), "n_errors": F.coalesce((F.col("event_type") == "error").cast("int"), F.lit(0)), "total": F.col("value")}
+    r = intervals.ahead(e, "at", F.col("event_type") == "error", "event_id", MINUTE, 30, sums)
+    return r.select(F.col("event_id").alias("error_id"), "n", "n_errors", F.round("total", 6).alias("total"))
 
 
 #: Bounds on the relative errors of the sketches.
