@@ -83,3 +83,33 @@ def test_scorecard_verdicts(spark):
     none = spark.createDataFrame([(None,)], "x double")
     got = scorecard.scorecard([scorecard.bar(df, "a", "x", low=0.4), scorecard.bar(df, "b", "x", high=0.4), scorecard.bar(none, "c", "x", low=0.0)]).collect()
     assert [r.verdict for r in got] == ["pass", "fail", "vacuous"]
+
+
+def test_bars_are_computed_in_turn(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def bars():
+        for i in range(3):
+            assert seen.value == i  # the bars before are done
+            yield scorecard.bar(spark.range(1).select(F.lit(0.5).alias("x")).mapInArrow(counting, "x double"), str(i), "x", low=0.4)
+
+    assert [(r.bar, r.verdict) for r in scorecard.scorecard(bars()).collect()] == [(str(i), "pass") for i in range(3)]
+
+
+def test_isotonic_computes_its_bins_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(2, 0.8), (4, 0.9), (8, 0.1)], "bin int, y double").repartition(1).mapInArrow(counting, "bin int, y double")
+    got = {r.bin: r.fitted for r in fit.isotonic(df, "bin", "y").collect()}
+    assert math.isclose(got[2], 0.85) and math.isclose(got[4], 0.85) and got[8] == 0.1
+    assert seen.value == 3
