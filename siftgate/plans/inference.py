@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import order, pairs, resample, scoring
+from ..operators import hyperbolic, pairs, resample, scoring
 from . import oracle as O
-from .queries import SEED, cells, embedded, labelled_pairs, median_gap_bootstrap, pairs_of
+from .queries import SEED, cells, embedded, labelled_pairs, median_gap_bootstrap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,10 +77,6 @@ def cap_sampling(spark, d):
     return rows
 
 
-_R = math.tanh(1.0)
-_K = 2 * _R / (1 + _R * _R)
-
-
 @query(f"""WITH {O.VP}, l AS (SELECT vec_id, embedding[len(embedding)]::DOUBLE AS z FROM embeddings), p AS (SELECT vec_id_a, vec_id_b, cos, x.z AS za, y.z AS zb FROM vp JOIN l x ON x.vec_id = vec_id_a JOIN l y ON y.vec_id = vec_id_b),
 q AS (SELECT *, tanh(1.0::DOUBLE) AS r, 1 + tanh(1.0::DOUBLE) ^ 2 + 2 * tanh(1.0::DOUBLE) * za AS qa, 1 + tanh(1.0::DOUBLE) ^ 2 + 2 * tanh(1.0::DOUBLE) * zb AS qb FROM p),
 d AS (SELECT vec_id_a, vec_id_b, cos, acosh(1 + 4 * r * r * (1 - cos) / (1 - r * r) ^ 2) AS ball, acosh(greatest(1, cosh(1.0::DOUBLE) ^ 2 - sinh(1.0::DOUBLE) ^ 2 * cos)) AS lorentz,
@@ -90,24 +86,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cos, vec_id_a, ve
 SELECT model, count(*) AS n, round(avg(dist), 6) AS mean, max(abs(dist - ball)) <= 1e-8 AS agrees, bool_and(rc = rd) AS rank_identical FROM k GROUP BY model""")
 def hyperbolic_models(spark, d):
     """Distances of unit vectors mapped to four models of hyperbolic space: they agree, and rank pairs as the cosine does."""
-    last = embedded(spark, d).select("vec_id", F.element_at("v", -1).alias("z"))
-    p = pairs_of(embedded(spark, d)).select("vec_id_a", "vec_id_b", "cos")
-    p = p.join(last.select(F.col("vec_id").alias("vec_id_a"), F.col("z").alias("za")), "vec_id_a").join(last.select(F.col("vec_id").alias("vec_id_b"), F.col("z").alias("zb")), "vec_id_b")
-    c, r2 = F.col("cos"), _R * _R
-    qa, qb = (1 + r2 + 2 * _R * F.col(z) for z in ("za", "zb"))
-    height = lambda z, q: 2 * (_R * F.col(z) + 1) / q - 1
-    models = {
-        "ball": F.acosh(1 + 4 * r2 * (1 - c) / (1 - r2) ** 2),
-        "lorentz": F.acosh(F.greatest(F.lit(1.0), math.cosh(1) ** 2 - math.sinh(1) ** 2 * c)),
-        "klein": F.acosh(F.greatest(F.lit(1.0), (1 - _K**2 * c) / (1 - _K**2))),
-        "halfspace": F.acosh(1 + (8 * r2 * (1 - c) / (qa * qb)) / (2 * height("za", qa) * height("zb", qb))),
-    }
-    m = p.select("vec_id_a", "vec_id_b", "cos", models["ball"].alias("ball"), F.explode(F.array(*[F.struct(F.lit(k).alias("model"), x.alias("dist")) for k, x in models.items()])).alias("x")).select("*", "x.*")
-    # ranks by ranges: nothing is sorted as a whole
-    m = order.placed(m, "model", F.floor(F.col("cos") * 256), F.col("cos"), F.col("vec_id_a"), F.col("vec_id_b"), name="rc")
-    far = F.round("dist", 8)
-    m = order.placed(m, "model", -F.floor(far * 64), far.desc(), F.col("vec_id_a"), F.col("vec_id_b"), name="rd")
-    return m.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("dist"), 6).alias("mean"), (F.max(F.abs(F.col("dist") - F.col("ball"))) <= 1e-8).alias("agrees"), F.bool_and(F.col("rc") == F.col("rd")).alias("rank_identical"))
+    m = hyperbolic.compared(embedded(spark, d))
+    return m.select("model", "n", F.round("mean", 6).alias("mean"), (F.col("apart") <= 1e-8).alias("agrees"), "rank_identical")
 
 
 @query(f"""WITH {O.CELLS}, x AS (SELECT position, score, pair = 'flip' AS flip FROM ce WHERE pair IN ('flip', 'faithful') AND bin <= 512), {O.ranked('x', 'score', 'flip', 'position')},
