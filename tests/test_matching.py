@@ -113,3 +113,23 @@ def test_isotonic_computes_its_bins_once(spark):
     got = {r.bin: r.fitted for r in fit.isotonic(df, "bin", "y").collect()}
     assert math.isclose(got[2], 0.85) and math.isclose(got[4], 0.85) and got[8] == 0.1
     assert seen.value == 3
+
+
+def test_isotonic_holds_its_source_once(spark):
+    fits = fit.isotonic(spark.range(2, 9, 2).select(F.col("id").alias("bin"), (1 / F.col("id")).alias("y")), "bin", "y")
+    assert fits._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    empty = fit.isotonic(spark.createDataFrame([], "bin int, y double"), "bin", "y")
+    assert empty.columns == ["bin", "y", "fitted"] and empty.collect() == []
+
+
+def test_bars_of_one_frame_compute_it_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    one = spark.range(1).select(F.lit(0.5).alias("x")).mapInArrow(counting, "x double")
+    got = scorecard.scorecard([scorecard.bars(one, ("a", "x", 0.4), ("b", "x", None, 0.4), ("c", "x", 0.5, 0.5))]).collect()
+    assert [tuple(r) for r in got] == [("a", 0.5, "pass"), ("b", 0.5, "fail"), ("c", 0.5, "pass")] and seen.value == 1

@@ -69,3 +69,9 @@ def test_hosts_are_drawn_by_places_without_a_crossing(spark):
     assert len({w[3] for w in want if w[1] == "en"}) > 90  # no host is favoured
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Cross") == 1 and "doc_id" not in plan[plan.index("Cross") :].split("\n")[1]  # anchors x domains only
+
+
+def test_plans_hold_no_caches(spark):
+    a, docs = _tables(spark)
+    for df in (a, passages.titration(a, docs, SEED), passages.unfilled(a, docs, SEED)):
+        assert "InMemory" not in df._jdf.queryExecution().optimizedPlan().toString()
